@@ -8,6 +8,7 @@ training batch is drawn from one bucket and needs no padding.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,25 +22,44 @@ from pyspark.sql import functions as F
 from landfold.llm.common import text_or_empty
 
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 WORD = re.compile(r"[^ \n\t\r]+")
+#: Lower-cased text: runs of letters up to white space or one full stop or comma before it, and all else up to white space.
+PLAIN = re.compile(r"[a-zß-öø-ÿ]+(?=[ \n]|[.,](?:[ \n]|\Z)|\Z)|[.,](?=[ \n]|\Z)|[^ \n\t\r]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Beyond these letters, words go to the tokenizer as they stand.
+WIDE = re.compile("[^\x00-\u024f]")
 
 
 class WordIds(dict):
-    """Ids of a white-space separated word as little-endian bytes; the tokenizer drops white space and never joins across it."""
+    """Ids of a white-space separated word as little-endian bytes; the tokenizer drops white space and never joins across it.
+
+    The tokenizer lower-cases, and parts letters from a full stop or comma after them, so that such parts are looked
+    up alone. A run of plain letters is one piece of its own: it goes straight to the tokenizer's model.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.pieces = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= 64 and LETTERS.fullmatch(word):
+            piece = word if word.isascii() else self.pieces(word)[0][0]
+            ids = [t.id for t in self.model(piece)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        data = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = data
+        return data
+
+    def of(self, text: str) -> bytes:
+        words = WORD.findall(text) if WIDE.search(text) else PLAIN.findall(text.lower())
+        return b"".join(map(self.__getitem__, words))
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -50,12 +70,12 @@ def piece_lengths(n: int, most: int) -> list[int]:
 def _pieces(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, made, part = WordIds(path), Counter(), TaskContext.get().partitionId()
-        get, end = words.__getitem__, np.asarray([end_id], "<u4").tobytes()
+        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             docs, out, ids = batch.column(0), [], []
             held = 0
             for row, text in enumerate(batch.column(1).to_pylist()):
-                data = b"".join(map(get, WORD.findall(text))) + end
+                data = words.of(text) + end
                 n, start = len(data) // 4, 0
                 for length in piece_lengths(n, most):
                     piece = data[start * 4 : (start + length) * 4]
