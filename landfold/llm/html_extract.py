@@ -26,12 +26,13 @@ RAW = frozenset("script style textarea title noscript template svg iframe object
 OUT = frozenset("nav footer aside form menu dialog button select search option fieldset label".split())
 IN = frozenset("article main".split())
 OUT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|"
+    r"(?:^|[\s_-])(?<!with.)(?<!has.)(?<!no.)(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|"
     r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|sidebar|side|widgets?|related|recommend(?:ed|ations?)?|"
-    r"share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|discussion|breadcrumbs?|menu|nav|navbar|navigation|footer|header|"
-    r"masthead|copyright|pager|pagination|login|search|toolbar|skip|topbar|disclaimer|outbrain|taboola)(?=$|[\s_-])",
+    r"share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|discussion|breadcrumbs?|menu|nav|navbar|navigation|footer|"
+    r"copyright|pager|pagination|login|search|toolbar|skip|disclaimer|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
 IN_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
 OUT_ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|alert|alertdialog|dialog|menu|menubar|form)\b""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|$|=|/)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -58,11 +59,11 @@ class Element:
         lean = parent.lean if parent is not None else 0.0
         named = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes and name not in ("body", "html") else ""
         if name in OUT or (named and OUT_NAME.search(named)) or (attributes and OUT_ROLE.search(attributes)):
-            lean += W_OUT
-        elif name == "header" and not self.inside:
+            lean = min(lean, 0.0) + W_OUT  # what holds the part counts no more
+        elif not self.inside and (name == "header" or (named and HEADER_NAME.search(named))):
             lean += W_HEADER
         elif name in IN:
-            lean += W_IN
+            lean = min(lean + W_IN, W_IN)
         elif named and IN_NAME.search(named):
             lean += W_IN_NAME
         if attributes and HIDDEN.search(attributes):
