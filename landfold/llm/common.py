@@ -1,46 +1,16 @@
-"""Shared pieces of the training-data operators: written intermediate tables, numbering, runs of rows."""
+"""Shared pieces of the training-data operators: numbering, blocks of pairs, keys of texts."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from landfold.tables import forget, new_path, runs, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where unset (tests) a local one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="landfold-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/landfold/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends there and a lost executor costs nothing."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["forget", "labels_of_pairs", "new_path", "numbered", "passes_for", "runs", "shared_dir", "shuffle_partitions", "text_key", "text_or_empty", "with_block_pairs", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -75,35 +45,6 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     return rows.join(parts, [group, "_part"]).withColumn("n", F.col("_before") + F.col("_at") - F.col("_first")).drop("_before", "_first")
 
 
-def runs(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Each run of rows with equal keys, as one array a column, from frames sorted by the keys."""
-    held: list[dict[str, np.ndarray]] = []
-
-    def joined() -> dict[str, np.ndarray]:
-        return held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-
-    for frame in frames:
-        n = len(frame)
-        if not n:
-            continue
-        columns = {c: frame[c].to_numpy() for c in frame.columns}
-        new = np.zeros(n, bool)
-        for k in keys:
-            new[1:] |= columns[k][1:] != columns[k][:-1]
-        if held and any(held[-1][k][-1] != columns[k][0] for k in keys):
-            yield joined()
-            held = []
-        edges = [0, *np.flatnonzero(new).tolist(), n]
-        for a, b in zip(edges, edges[1:]):
-            part = {c: v[a:b] for c, v in columns.items()}
-            if a:
-                yield joined()
-                held = []
-            held.append(part)
-    if held:
-        yield joined()
-
-
 def with_block_pairs(df: DataFrame, size: str, member: str, most: int) -> DataFrame:
     """Deal a group's rows to chunks of about ``most`` and send each row to every pair of chunks it is part of.
 

@@ -1,38 +1,18 @@
-"""Connected components by alternating large-star and small-star rounds (Kiveris et al. 2014) on DataFrames."""
+"""Connected components of links between any two columns of one orderable type."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landfold.llm.common import forget, written
+from landfold.tables import components
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Edges with a null end and loops are ignored; repeated edges count once; no edges give no rows. Each round takes
-    minima with map-side aggregation and equi-joins, so a hub's edges are never gathered in one task, and its result
-    is written to the shared folder. Rounds grow with the logarithm of the graph's size.
+    Edges with a null end and loops are ignored, repeated edges count once, no edges give no rows. Nodes without an
+    edge are not listed.
     """
-    a_, b_ = F.col(a), F.col(b)
-    now = written(
-        edges.where(a_.isNotNull() & b_.isNotNull() & (a_ != b_)).select(F.greatest(a_, b_).alias("u"), F.least(a_, b_).alias("v")).distinct(),
-        "edges",
-    )
-    seen = None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        new = written(small, "edges")
-        forget(now)
-        now = new
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", "node"))
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return components(ends.where(F.col("a").isNotNull() & F.col("b").isNotNull()))

@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landfold.llm.common import numbered, text_or_empty
+from landfold.llm.common import numbered, shuffle_partitions, text_or_empty
 
 
 def whole_shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
@@ -121,6 +121,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mixed_schedule(docs, **options).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("slot").alias("_slot"))
     rows = docs.withColumn("_row", row_key())
     rows = rows.join(plan, (F.col("_row") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    from landfold.llm.common import shuffle_partitions
-
     return rows.repartitionByRange(shuffle_partitions(spark), "_slot", "_row").sortWithinPartitions("_slot", "_row").select(*docs.columns)
