@@ -73,7 +73,7 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 3.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 1.0, least: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss on binned columns. One label only, or no row: no tree, just the base rate."""
     inner = 2**depth - 1
     rate_1 = (y.sum() + 1.0) / (len(y) + 2.0)
