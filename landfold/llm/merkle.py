@@ -114,7 +114,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id"), F.lit(low)).cast("long").alias("_order"))
     ids = rows.select((-F.col("_order").cast("double")).alias("x"))
     bounds = sorted(set(ids.approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)))
-    splits = [-float("inf"), *bounds, float("inf")]
+    splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
     rows = rows.withColumn("x", -F.col("_order").cast("double"))
     rows = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(rows).withColumn("bucket", F.col("bucket").cast("int")).drop("x")
     rows = rows.withColumn("_tie", F.xxhash64("text"))
@@ -131,7 +131,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     dealt = heads_rows.withColumn("_t", F.explode(targets))
     return (
         dealt.select(F.col("_t.b").alias("bucket"), F.col("_t.o").alias("only_next"), "doc_id", "text", "_order", "_tie")
-        .repartition(shuffle_partitions(spark), "bucket")
+        .repartitionByRange(shuffle_partitions(spark), "bucket")
         .sortWithinPartitions("bucket", "only_next", F.desc("_order"), F.desc("_tie"))
         .select("bucket", "doc_id", "text", "only_next")
     )
