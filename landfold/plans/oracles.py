@@ -240,7 +240,7 @@ add("compass8", "SELECT photo_id, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(
 add("apply_corrections", """SELECT site_id, scene_id, x, y FROM (SELECT *, y * 100 + x AS i FROM m) WHERE CASE WHEN i % 97 = 1 OR i % 194 = 0 THEN FALSE WHEN i % 97 = 0 AND land THEN TRUE ELSE buffer END""")
 
 # water, land cover, buffer
-add("water_votes", """SELECT f.site_id, x, y, sum((blue > greatest(18, med + 10) AND sqrt(greatest(0, q / n - (s / n) * (s / n))) < 12)::INT) AS votes, count(*) AS refs FROM f JOIN md USING (site_id, scene_id) GROUP BY ALL""",
+add("water_votes", """SELECT f.site_id, x, y, sum((blue > greatest(18, med + 10) AND sqrt(greatest(0, q / n - (s / n) * (s / n))) < 12)::INT)::BIGINT AS votes, count(*) AS refs FROM f JOIN md USING (site_id, scene_id) GROUP BY ALL""",
     focal("f", "(SELECT * FROM bands WHERE scene_id IN ('c', 'd'))", {"s": "lum", "q": "lum * lum", "n": "1"}, 2)
     + ", md AS (SELECT site_id, scene_id, blue AS med FROM (SELECT *, row_number() OVER (PARTITION BY site_id, scene_id ORDER BY blue) - 1 AS i, count(*) OVER (PARTITION BY site_id, scene_id) AS c FROM bands) WHERE i = c // 2)")
 add("coastal_zone", """SELECT site_id, scene_id, x, y FROM (SELECT l.*, w.water, bool_or(w.water) OVER (PARTITION BY l.site_id, l.scene_id, region) AS hit FROM l JOIN w USING (site_id, scene_id, x, y)) WHERE hit AND NOT water""",
@@ -334,7 +334,7 @@ GRID = "ts AS (SELECT {0}::DOUBLE + i * {2} AS t FROM range({3}) r(i))"
 add("observed_area_at", """SELECT site_id, t, round(CASE WHEN t <= 1990 THEN (SELECT area_ha FROM series s WHERE s.site_id = z.site_id AND year = 1990) WHEN t >= 2022 THEN (SELECT area_ha FROM series s WHERE s.site_id = z.site_id AND year = 2022)
 ELSE (SELECT s.area_ha + (t - s.year) / (n.year - s.year) * (n.area_ha - s.area_ha) FROM (SELECT *, CASE scene_id WHEN 'a' THEN 'b' WHEN 'b' THEN 'c' WHEN 'c' THEN 'd' ELSE 'e' END AS nx FROM series) s JOIN series n ON n.site_id = s.site_id AND n.scene_id = s.nx
   WHERE s.site_id = z.site_id AND s.year < t AND t <= n.year) END, 6) AS area_ha FROM sites z, ts""", GRID.format(1988, 0, 0.5, 85))
-add("area_change_rate", f"SELECT site_id, year, area_ha, round({RATE}, 6) AS rate FROM oseries WINDOW w AS (PARTITION BY site_id ORDER BY year)")
+add("area_change_rate", f"SELECT site_id, year::INT AS year, area_ha, round({RATE}, 6) AS rate FROM oseries WINDOW w AS (PARTITION BY site_id ORDER BY year)")
 add("buffer_share", "SELECT site_id, scene_id, round(CASE WHEN scene_id <> 'e' THEN count(*) FILTER (buffer) * 0.0004::DOUBLE / (count(*) FILTER (land) * 0.0004::DOUBLE) * 100 END, 6) AS share_pct FROM m GROUP BY site_id, scene_id")
 add("frame_years", """SELECT site_id, year::DOUBLE AS t FROM series UNION SELECT site_id, y::DOUBLE FROM setup, (SELECT unnest(range(1900, 2400, 5)) AS y) WHERE y > start_year AND y <= x_max
 UNION SELECT site_id, floor(disappear_year + 0.5) FROM setup WHERE disappear_year IS NOT NULL""", SETUP)
@@ -362,7 +362,7 @@ have AS (SELECT site_id, t, count(*) AS n FROM now GROUP BY ALL),
 frm AS (SELECT z.site_id, ts.t, CASE WHEN ts.t > 2022 THEN 'pred' WHEN ts.t IN (SELECT year FROM scenes) THEN 'obs' ELSE 'interp' END AS mode, coalesce(have.n, 0) * 0.0004::DOUBLE AS area_ha, coalesce(gone.n, 0) * 0.0004::DOUBLE AS lost_ha,
 CASE WHEN ts.t > 1990 THEN 1990 END AS compare_year FROM sites z CROSS JOIN ts LEFT JOIN have ON have.site_id = z.site_id AND have.t = ts.t LEFT JOIN gone ON gone.site_id = z.site_id AND gone.t = ts.t)"""
 add("frame_summary", "SELECT site_id, t, mode, round(area_ha, 6) AS area_ha, round(lost_ha, 6) AS lost_ha, compare_year FROM frm", ", ".join([INTERVALS, frames(1988, 2040, 4), order(True, 0), SETUP, FUTURE, SUMMARY]))
-add("write_frame_table", "SELECT site_id::VARCHAR AS site_id, t::VARCHAR AS year, mode, printf('%.2f', area_ha) AS buffer_ha, printf('%.2f', lost_ha) AS lost_ha, compare_year FROM frm", ", ".join([INTERVALS, frames(1990, 2022, 4), order(True, 0), SETUP, FUTURE, SUMMARY]))
+add("write_frame_table", "SELECT site_id::VARCHAR AS site_id, t::VARCHAR AS year, mode, printf('%.2f', area_ha) AS buffer_ha, printf('%.2f', lost_ha) AS lost_ha, compare_year::BIGINT AS compare_year FROM frm", ", ".join([INTERVALS, frames(1990, 2022, 4), order(True, 0), SETUP, FUTURE, SUMMARY]))
 
 # trend and projection
 add("fit_trend", """SELECT site_id, 'linear' AS model, 'linear' AS kind, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, points, TRUE AS ok FROM lin

@@ -71,7 +71,7 @@ def write_and_read_pixels(spark, sf_dir):
 
 @query
 def regrid_nearest(spark, sf_dir):
-    return images.regrid_nearest(X.scene_pixels(spark, sf_dir), 70, 130).select(*PIXEL, "r", "g", "b")
+    return images.regrid_nearest(X.scene_pixels(spark, sf_dir), 70, 130).select(*K, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "r", "g", "b")
 
 
 def catalogue(spark, sf_dir) -> DataFrame:

@@ -139,7 +139,7 @@ def movie_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def years(spark: SparkSession, first: float = 1988.0, last: float = 2030.0, step: float = 0.5) -> DataFrame:
     """(t): a half-year grid; a request of bounded size."""
     n = int((last - first) / step)
-    return spark.range(n + 1).select((first + F.col("id") * step).alias("t"))
+    return spark.range(n + 1).select((F.lit(float(first)) + F.col("id") * float(step)).alias("t"))
 
 
 def rle_values(spark: SparkSession, sf_dir: str) -> DataFrame:
