@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landfold.keys import PIXEL
 from landfold.operators.bands import half_up
 from landfold.operators.distance import distance_transform
+from landfold.tables import written
 
 #: Fixed values of the counter-based generator (mulberry32).
 STEP, MASK32 = 0x6D2B79F5, 0xFFFFFFFF
@@ -124,11 +125,12 @@ def build_intervals(masks: DataFrame, seed: int = 1, jitter_px: float = 0) -> Da
     moved = mask_transitions(masks)
     far = distance_transform(masks, "forest", "_f").join(distance_transform(masks, "buffer", "_b"), PIXEL)
     moved = moved.join(far, PIXEL).withColumn("_p", (F.when(F.col("kind") == "lost", F.col("_f")).otherwise(F.col("_b")) / 3).cast("float"))
+    moved = written(moved.drop("_f", "_b"), "moved")  # only changed pixels; numbers and ranks read them several times
     if jitter_px > 0:
         moved = raster_number(moved, ["site_id", "k", "kind"], "_n")
         lost = moved.where("kind = 'lost'").groupBy("site_id", "k").agg(F.count(F.lit(1)).alias("_lost"))
         moved = moved.join(lost, ["site_id", "k"], "left").withColumn("_j", F.col("_n") + F.when(F.col("kind") == "gained", F.coalesce("_lost", F.lit(0))).otherwise(0))
-        moved = moved.withColumn("_p", (F.col("_p") + jitter(F.lit(seed) + F.col("k") * 7919, F.col("_j")) * jitter_px).cast("float"))
+        moved = written(moved.withColumn("_p", (F.col("_p") + jitter(F.lit(seed) + F.col("k") * 7919, F.col("_j")) * jitter_px).cast("float")), "moved")
     return priority_order(moved, "_p", ["site_id", "k", "kind"]).select("site_id", "scene_id", "k", "y0", "y1", "x", "y", "kind", "rank")
 
 
