@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from landfold.keys import PIXEL
 from landfold.operators import distance, geometry, regions
-from landfold.tables import written
 
 
 def _flag(px: DataFrame, pixels: DataFrame | None, name: str) -> DataFrame:
@@ -27,10 +26,14 @@ def human_mask(px: DataFrame, settlement: DataFrame | None, min_region_px: float
 
 def buffer_band(px: DataFrame, band_px: float) -> DataFrame:
     """px(land, human, sparse) with ``band`` and ``buffer``; no band width: no band, all sparse land without people."""
+    px = px if band_px <= 0 else distance.with_distance(px, "human", "_human")
+    return _band(px, band_px).drop("_human")
+
+
+def _band(px: DataFrame, band_px: float) -> DataFrame:
     if band_px <= 0:
         return px.withColumn("band", F.lit(False)).withColumn("buffer", F.expr("sparse and not human"))
-    px = distance.with_distance(px, "human", "_d")
-    return px.withColumn("band", F.expr(f"land and not human and _d / 3 <= {band_px}")).withColumn("buffer", F.expr("band and sparse")).drop("_d")
+    return px.withColumn("band", F.expr(f"land and not human and _human / 3 <= {band_px}")).withColumn("buffer", F.expr("band and sparse"))
 
 
 def buffer_zone(
@@ -41,22 +44,24 @@ def buffer_zone(
     """px(land, forest, sparse, open, built, water, coast) with ``human``, ``band`` and ``buffer``, in pixels.
 
     Corrections come after the region filters and before the area of interest, which cuts buffer and band only.
-    Pixels are written between steps that read them twice (a mask and its distances), so that no step runs again.
+    The distance to human land serves the band and the adjacency. Region filters write their pixels, by tile.
     """
-    px = written(buffer_band(written(human_mask(px, settlement, min_human_region_px), "human"), band_px), "band")
+    px = human_mask(px, settlement, min_human_region_px)
+    if band_px > 0 or adjacency_px > 0:
+        px = distance.with_distance(px, "human", "_human")
+    px = _band(px, band_px)
     if forest_near_px > 0:
         px = regions.remove_small_regions(px, "forest", min_forest_region_px, 8, "_main")
-        px = distance.with_distance(px, "_main", "_d")
-        px = written(px.withColumn("buffer", F.expr(f"buffer and _d / 3 <= {forest_near_px}")).drop("_main", "_d"), "near")
+        px = distance.with_distance(px, "_main", "_d").withColumn("buffer", F.expr(f"buffer and _d / 3 <= {forest_near_px}")).drop("_main", "_d")
     if coast_away_px > 0:
         px = distance.with_distance(px, F.col("water") | F.col("coast"), "_d")
         px = px.withColumn("buffer", F.expr(f"buffer and _d / 3 > {coast_away_px}")).drop("_d")
-    px = written(_flag(px, exclude, "_out").withColumn("buffer", F.expr("buffer and not _out")).drop("_out"), "inland")
+    px = _flag(px, exclude, "_out").withColumn("buffer", F.expr("buffer and not _out")).drop("_out")
     px = regions.remove_small_regions(px, "buffer", min_buffer_region_px, 8, "_kept").withColumn("buffer", F.col("_kept")).drop("_kept")
     if adjacency_px > 0:
-        px = written(px, "large")
-        px = distance.with_distance(px, "human", "_d").withColumn("_close", F.expr(f"_d / 3 <= {adjacency_px}"))
-        px = regions.keep_touching_regions(px, "buffer", "_close", 8, "_kept").withColumn("buffer", F.col("_kept")).drop("_kept", "_close", "_d")
+        px = px.withColumn("_close", F.expr(f"_human / 3 <= {adjacency_px}"))
+        px = regions.keep_touching_regions(px, "buffer", "_close", 8, "_kept").withColumn("buffer", F.col("_kept")).drop("_kept", "_close")
+    px = px.drop("_human")
     if corrections is not None:
         px = geometry.apply_corrections(px, corrections)
     if aoi is not None:

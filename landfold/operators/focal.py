@@ -89,7 +89,7 @@ def feature_vector(bands: DataFrame, smooth: int = 3, tex_radius: int = 2) -> Da
     return focal_means(df, {"f_edge": "_e"}, max(smooth, tex_radius)).drop("_t", "_w", "_l", "_e")
 
 
-def _box(a: np.ndarray, r: int) -> np.ndarray:
+def box_sum(a: np.ndarray, r: int) -> np.ndarray:
     """Sum over the clipped window, by cumulative sums."""
     for axis in (0, 1):
         c = np.cumsum(np.concatenate([np.zeros_like(a.take([0], axis)), a], axis), axis)
@@ -100,7 +100,7 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 
 
 def _tile_features(lum, chroma, green, inside, border, smooth: int, tex: int) -> list[np.ndarray]:
-    mean = lambda a, r: _box(np.where(inside, a, 0.0), r) / np.maximum(_box(inside.astype(float), r), 1) if r > 0 else a
+    mean = lambda a, r: box_sum(np.where(inside, a, 0.0), r) / np.maximum(box_sum(inside.astype(float), r), 1) if r > 0 else a
     std = lambda a, r: np.sqrt(np.maximum(0, mean(a * a, r) - mean(a, r) ** 2))
     low = np.where(inside, lum, np.inf)
     for axis in (0, 1):
@@ -113,19 +113,20 @@ def _tile_features(lum, chroma, green, inside, border, smooth: int, tex: int) ->
     return [mean(a, smooth) for a in (lum, chroma, green, std(lum, tex), low, std(lum, 2 * tex + 1))] + [mean(edge, max(smooth, tex))]
 
 
-def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256) -> DataFrame:
-    """(site_id, scene_id, x, y, seven features): the same features in one exchange.
+def to_tiles(px: DataFrame, halo: int, tile: int) -> DataFrame:
+    """px with ``tx, ty``: each pixel once for its own tile and once for each neighbour whose halo it is in."""
+    span = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - halo, F.lit(0)) / tile), F.floor(F.least(F.col(c) + halo, F.col(n) - 1) / tile))
+    return px.withColumn("tx", F.explode(span("x", "width"))).withColumn("ty", F.explode(span("y", "height")))
+
+
+def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(site_id, scene_id, x, y, carried columns without nulls, seven features): the same features in one exchange.
 
     Each pixel goes to its own tile and, within the halo, to the neighbouring ones; a task computes one tile with
     cumulative sums. The halo covers the widest window, so that the tile's size does not change results.
     """
     halo = 2 * tex_radius + 1 + max(smooth, tex_radius)
-    span = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
-    dealt = (
-        bands.select(*PIXEL, "lum", "chroma", "green").join(sizes, "site_id")
-        .withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
-        .where("tx >= 0 and ty >= 0 and tx * {0} < width and ty * {0} < height".format(tile))
-    )
+    dealt = to_tiles(bands.select(*PIXEL, "lum", "chroma", "green", *carry).join(sizes, "site_id"), halo, tile)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x0, y0 = g["x"].min(), g["y"].min()
@@ -144,15 +145,22 @@ def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radiu
         border[:, [k for k in (0, width - 1) if x0 <= k < x0 + w] - x0] = True
         found = _tile_features(*planes, inside, border, smooth, tex_radius)
         own = ((g["x"] // tile == tx) & (g["y"] // tile == ty)).to_numpy()
-        out = g.loc[own, PIXEL].copy()
+        out = g.loc[own, [*PIXEL, *carry]].copy()
         for name, a in zip(FEATURES, found):
             out[name] = a[at][own]
         return out
 
-    schema = ", ".join(f"{c} {t}" for c, t in dealt.select(*PIXEL).dtypes) + ", " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = ", ".join(f"{c} {t}" for c, t in dealt.select(*PIXEL, *carry).dtypes) + ", " + ", ".join(f"{f} double" for f in FEATURES)
     return dealt.groupBy(*K, "tx", "ty").applyInPandas(run, schema)
 
 
+def close_open(a: np.ndarray, r: int) -> np.ndarray:
+    """A closing, then an opening of a mask; outside the array counts as false."""
+    full = (2 * r + 1) ** 2
+    grow, shrink = (lambda m: box_sum(m.astype(np.int64), r) > 0), (lambda m: box_sum(m.astype(np.int64), r) == full)
+    return grow(shrink(shrink(grow(a))))
+
+
 def dilate(px: DataFrame, col: str, r: int, out: str = "mask") -> DataFrame:
     """True if any pixel of the square window is true; r <= 0 copies."""
     if r <= 0:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landfold.keys import K, PIXEL
 from landfold.operators import focal, regions
 from landfold.operators.bands import built_rule, grayscale_flag
-from landfold.operators.focal import FEATURES
+from landfold.operators.focal import FEATURES, box_sum, close_open, to_tiles
 from landfold.operators.geometry import disc_pixels, for_scenes
 from landfold.operators.stats import otsu_threshold
 from landfold.tables import written
@@ -115,18 +117,18 @@ def threshold_classify(px: DataFrame) -> DataFrame:
     return px.withColumn("cls", F.when(F.col("land"), cls)).drop("_otsu", "_max")
 
 
-def clean_classes(px: DataFrame, clean: int = 2, min_region_px: int = 80) -> DataFrame:
-    """px(land, forest, sparse, built) cleaned, with ``open``.
+def clean_forest(px: DataFrame, clean: int = 2) -> DataFrame:
+    """px(land, forest, sparse, built) with forest closed and opened on land, where it clears sparse, not built."""
+    if clean <= 0:
+        return px
+    px = focal.morph_open(focal.morph_close(px, "forest", clean, "_c"), "_c", clean, "_f")
+    return px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_c", "_f")
 
-    Forest is closed and opened on land and clears sparse, not built. Small open regions become sparse; then small
-    regions of that sparse become forest.
-    """
-    if clean > 0:
-        px = focal.morph_open(focal.morph_close(px, "forest", clean, "_c"), "_c", clean, "_f")
-        px = px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_c", "_f")
+
+def clean_regions(px: DataFrame, min_region_px: int = 80) -> DataFrame:
+    """px(land, forest, sparse, built) with ``open``: small open regions become sparse; then small regions of that sparse become forest."""
     px = px.withColumn("open", F.expr("land and not forest and not built and not sparse"))
     if min_region_px > 1:
-        px = written(px, "cleaned")  # two region passes read it
         px = regions.remove_small_regions(px, "open", min_region_px, 8, "_o")
         px = px.withColumn("sparse", F.expr("sparse or (open and not _o)")).withColumn("open", F.col("_o")).drop("_o")
         px = regions.remove_small_regions(px, "sparse", max(1, min_region_px // 2), 8, "_s")
@@ -134,26 +136,110 @@ def clean_classes(px: DataFrame, clean: int = 2, min_region_px: int = 80) -> Dat
     return px
 
 
+def clean_classes(px: DataFrame, clean: int = 2, min_region_px: int = 80) -> DataFrame:
+    """px(land, forest, sparse, built) cleaned, with ``open``."""
+    return clean_regions(clean_forest(px, clean), min_region_px)
+
+
 def flags_of(px: DataFrame) -> DataFrame:
     return px.withColumns({c: F.coalesce(F.col("cls") == c, F.lit(False)) for c in ("forest", "sparse", "built")})
 
 
-def classify_scene(bands: DataFrame, coast: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, clean: int = 2, min_region_px: int = 80, majority: int = 2, var_floor: float = 9.0, tile: int = 256) -> DataFrame:
-    """(site_id, scene_id, x, y, land, coast, water, forest, sparse, open, built, by_samples): the whole job for all scenes.
-
-    coast: bands with water and coast. Scenes with forest and open samples go by prototypes and majority, the others
-    by threshold. Window sizes and region sizes are the same for all scenes of a call.
+def scene_models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float = 9.0) -> DataFrame:
+    """One row a scene: arrays of prototypes (p_forest ...), va, parameters, by_samples, and Otsu's threshold on land."""
+    prototypes, variances = train_prototypes(features, samples, sizes, var_floor)
+    known = F.count_if(F.col("class") == "forest") * F.count_if(F.col("class") == "open") > 0
+    lists = [F.collect_list(F.when(F.col("class") == c, F.col("mu"))).alias(f"p_{c}") for c in CLASSES]
+    model = prototypes.groupBy(*K).agg(*lists, known.alias("by_samples")).join(share_variance(variances, var_floor), K)
+    wanted = params.select(*K, "bias", "strictness", "builtMin", "builtChromaMax", "forestMax")
+    return wanted.join(model, K, "left").join(otsu_threshold(features, "f_lum", "land"), K).withColumn("by_samples", F.coalesce("by_samples", F.lit(False)))
+
+
+def _decided(f: dict[str, np.ndarray], m: dict) -> np.ndarray:
+    """Place in CLASSES of each land pixel by the model of its scene; the arithmetic of decide_class and threshold_classify."""
+
+    def distance2(mu, va) -> np.ndarray:
+        return sum((f[n] - mu[k]) * (f[n] - mu[k]) / va[k] for k, n in enumerate(FEATURES))
+
+    score = {c: np.max([-0.5 * distance2(mu, m["va"]) for mu in m[f"p_{c}"]], axis=0) for c in CLASSES if m[f"p_{c}"] is not None and len(m[f"p_{c}"])}
+    rule = (f["f_lum"] > m["builtMin"]) & (f["f_chroma"] < m["builtChromaMax"])
+    if not m["by_samples"]:
+        limit = m["threshold"] if pd.isna(m["forestMax"]) else m["forestMax"]
+        fixed = [limit + 40 if k == 0 else limit + 20 if k == 4 else 0.0 for k in range(len(FEATURES))]
+        built = score["built"] > -0.5 * distance2(fixed, [400.0] * len(FEATURES)) if "built" in score else rule
+        return np.where(f["f_lum"] < limit - m["bias"] * 5, 0, np.where(built, 3, 2))
+    none = np.full(len(rule), -np.inf)
+    s = np.stack([score["forest"], score["sparse"] + m["bias"] * 0.5 if "sparse" in score else none, score["open"] + m["bias"], score["built"] if "built" in score else np.where(rule, np.inf, none)])
+    best = s.argmax(axis=0)
+    two = np.sort(s, axis=0)[-2:]
+    sure = ~np.isfinite(two).all(axis=0)
+    margin = np.where(sure, np.inf, 2 * (np.where(sure, 0, two[1]) - np.where(sure, 0, two[0])))
+    return np.where(best == 3, 3, np.where(margin < m["strictness"], 0, best))
+
+
+def class_tiles(features: DataFrame, models: DataFrame, sizes: DataFrame, majority: int = 2, clean: int = 2, tile: int = 256) -> DataFrame:
+    """(site_id, scene_id, x, y, land, coast, water, by_samples, forest, sparse, built): scores, classes, majority and cleaning.
+
+    One exchange of pixels: a task has one tile with a halo as wide as all windows in turn, and its scene's model row.
+    The column form of the same steps is ``classes_by_columns``; the tile's size does not change a result.
     """
-    features = written(focal.feature_tiles(bands, sizes, tile=tile), "features")
-    px = features.join(coast.select(*PIXEL, "water", "coast"), PIXEL).withColumn("land", F.expr("not water and not coast"))
+    px = features.join(sizes, "site_id")
+    dealt = to_tiles(px, majority + 4 * max(clean, 0), tile).drop("width", "height")
+    grid = sizes.withColumn("tx", F.explode(F.expr(f"sequence(0L, (width - 1) div {tile})"))).withColumn("ty", F.explode(F.expr(f"sequence(0L, (height - 1) div {tile})")))
+    models = models.join(grid.select("site_id", "tx", "ty"), "site_id")
+    shown = [*PIXEL, "land", "coast", "water"]
+
+    def run(g: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(model):
+            return pd.DataFrame(columns=names)
+        m = model.iloc[0].to_dict()
+        x, y, land = (g[c].to_numpy() for c in ("x", "y", "land"))
+        at = (y - y.min(), x - x.min())
+        cls = np.where(land, _decided({n: g[n].to_numpy() for n in FEATURES}, m), -1)
+        planes = np.zeros((4, at[0].max() + 1, at[1].max() + 1), bool)
+        planes[(cls[land], *(a[land] for a in at))] = True
+        if m["by_samples"] and majority > 0:
+            ground = planes.any(axis=0)
+            best = np.stack([box_sum(p.astype(np.int64), majority) for p in planes]).argmax(axis=0)
+            planes = np.stack([(best == k) & ground for k in range(4)])
+        ground = planes.any(axis=0)
+        forest, sparse, built = planes[0], planes[1], planes[3]
+        if clean > 0:
+            forest = close_open(forest, clean) & ground
+            sparse = sparse & ~forest
+        own = (x // tile == g["tx"].iloc[0]) & (y // tile == g["ty"].iloc[0])
+        out = g.loc[own, shown].assign(by_samples=bool(m["by_samples"]))
+        for name, a in (("forest", forest), ("sparse", sparse), ("built", built)):
+            out[name] = a[at][own]
+        return out
+
+    schema = ", ".join(f"{c} {t}" for c, t in features.select(*shown).dtypes) + ", by_samples boolean, forest boolean, sparse boolean, built boolean"
+    names = [*shown, "by_samples", "forest", "sparse", "built"]
+    return dealt.groupBy(*K, "tx", "ty").cogroup(models.groupBy(*K, "tx", "ty")).applyInPandas(run, schema)
+
+
+def classes_by_columns(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, clean: int = 2, majority: int = 2, var_floor: float = 9.0) -> DataFrame:
+    """The rows of ``class_tiles`` by column functions and windows; the form to check it against."""
     prototypes, variances = train_prototypes(features, samples, sizes, var_floor)
-    scored = prototype_scores(px, prototypes, share_variance(variances, var_floor)).join(params, K)
+    scored = prototype_scores(features, prototypes, share_variance(variances, var_floor)).join(params, K)
     known = prototypes.where("class in ('forest', 'open')").groupBy(*K).agg((F.countDistinct("class") == 2).alias("by_samples"))
     scored = written(scored.join(known, K, "left").withColumn("by_samples", F.coalesce("by_samples", F.lit(False))), "scored")
     keep = [*PIXEL, "land", "coast", "water", "by_samples", "forest", "sparse", "built"]
     sampled = focal.majority_filter(flags_of(decide_class(scored.where("by_samples"))), majority).select(*keep)
     plain = flags_of(threshold_classify(scored.where("not by_samples"))).select(*keep)
-    return clean_classes(sampled.unionByName(plain), clean, min_region_px)
+    return clean_forest(sampled.unionByName(plain), clean)
+
+
+def classify_scene(bands: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, clean: int = 2, min_region_px: int = 80, majority: int = 2, var_floor: float = 9.0, tile: int = 256) -> DataFrame:
+    """(site_id, scene_id, x, y, land, coast, water, forest, sparse, open, built, by_samples): the whole job for all scenes.
+
+    bands: with water and coast. Scenes with forest and open samples go by prototypes and majority, the others by
+    threshold. Window sizes and region sizes are the same for all scenes of a call.
+    """
+    px = focal.feature_tiles(bands, sizes, tile=tile, carry=("water", "coast"))
+    features = written(px.withColumn("land", F.expr("not water and not coast")), "features")
+    models = scene_models(features, params, samples, sizes, var_floor)
+    return clean_regions(class_tiles(features, models, sizes, majority, clean, tile), min_region_px)
 
 
 def scene_params(bands: DataFrame, scenes: DataFrame) -> DataFrame:

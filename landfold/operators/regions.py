@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from landfold.keys import K, PIXEL
 from landfold.tables import components, written
@@ -50,6 +51,42 @@ def label_rows(x: np.ndarray, y: np.ndarray, conn: int) -> np.ndarray:
     return out
 
 
+def label_pixels(px: DataFrame, col: str | Column, conn: int = 8, tile: int = TILE) -> DataFrame:
+    """px, all columns kept, with ``_local``: the first pixel in raster order of the pixel's region inside its tile.
+
+    One exchange, keyed by tile. Off the mask ``_local`` is negative and differs by tile, so that no value of
+    (site, scene, _local) holds more rows than a tile.
+    """
+    here = F.coalesce(col if isinstance(col, Column) else F.col(col), F.lit(False))
+    tiles = px.withColumns({"_on": here, "_tx": F.expr(f"cast(x div {tile} as int)"), "_ty": F.expr(f"cast(y div {tile} as int)")})
+
+    def run(t: pa.Table) -> pa.Table:
+        on = t.column("_on").to_numpy()
+        x, y = (t.column(c).to_numpy()[on].astype(np.int64) for c in ("x", "y"))
+        local = np.full(len(on), -1 - (t.column("_ty")[0].as_py() * 2**31 + t.column("_tx")[0].as_py()), np.int64)
+        if len(x):
+            label = label_rows(x, y, conn)
+            first = np.full(label.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, label, y * 2**31 + x)
+            local[on] = first[label]
+        return t.drop_columns(["_on", "_tx", "_ty"]).append_column("_local", pa.array(local))
+
+    schema = StructType([StructField(f.name, f.dataType) for f in px.schema.fields] + [StructField("_local", LongType())])
+    return tiles.groupBy(*K, "_tx", "_ty").applyInArrow(run, schema)
+
+
+def _roots(labelled: DataFrame, conn: int, tile: int) -> DataFrame:
+    """(site_id, scene_id, _local, root) of the pieces that touch a piece of another tile."""
+    node = F.struct(*K, F.col("_local").alias("at"))
+    steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if conn == 8 else [])
+    seam = labelled.where("_local >= 0").where(f"x % {tile} in (0, {tile - 1}) or y % {tile} in (0, {tile - 1})")
+    near = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps)))
+    # only a step into another tile can join two pieces
+    ours = seam.select(*K, near.alias("n"), node.alias("a"), "x", "y").where(f"n.x div {tile} <> x div {tile} or n.y div {tile} <> y div {tile}")
+    edges = ours.select(*K, F.col("n.x").alias("x"), F.col("n.y").alias("y"), "a").join(seam.select(*PIXEL, node.alias("b")), PIXEL).select("a", "b")
+    return components(edges).select(*(F.col(f"node.{k}").alias(k) for k in K), F.col("node.at").alias("_local"), F.col("component.at").alias("root"))
+
+
 def connected_components(px: DataFrame, col: str | Column, conn: int = 8, tile: int = TILE) -> DataFrame:
     """(site_id, scene_id, x, y, region) for the true pixels; region is a hash-free id: the raster-order smallest pixel.
 
@@ -57,57 +94,44 @@ def connected_components(px: DataFrame, col: str | Column, conn: int = 8, tile:
     regions in scan order. Only pixels on the seams between tiles become edges of the graph.
     """
     on = px.where(col if isinstance(col, Column) else F.col(col)).select(*PIXEL)
-    tiles = on.withColumn("tx", F.expr(f"cast(x div {tile} as int)")).withColumn("ty", F.expr(f"cast(y div {tile} as int)"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g["x"].to_numpy(), g["y"].to_numpy()
-        label = label_rows(x, y, conn)
-        place = y.astype(np.int64) * 2**31 + x
-        first = pd.Series(place).groupby(label).transform("min")
-        return g[PIXEL].assign(local=first.to_numpy())
-
-    kinds = dict(on.dtypes)
-    labelled = tiles.groupBy(*K, "tx", "ty").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in PIXEL) + ", local long")
-    labelled = written(labelled, "regions")
-    node = F.struct(*K, F.col("local").alias("at"))
-    steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if conn == 8 else [])
-    seam = labelled.where(f"x % {tile} in (0, {tile - 1}) or y % {tile} in (0, {tile - 1})")
-    near = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps)))
-    other = seam.select(*PIXEL, node.alias("b"))
-    edges = seam.select(*K, near.alias("n"), node.alias("a")).select(*K, F.col("n.x").alias("x"), F.col("n.y").alias("y"), "a").join(other, PIXEL).select("a", "b").where("a <> b")
-    joined = components(edges).select("node.*", F.col("component.at").alias("root"))
-    labels = labelled.join(joined.withColumnRenamed("at", "local"), [*K, "local"], "left")
-    return labels.select(*PIXEL, F.coalesce("root", "local").alias("region"))
+    labelled = written(label_pixels(on, F.lit(True), conn, tile), "regions")
+    labels = labelled.join(_roots(labelled, conn, tile), [*K, "_local"], "left")
+    return labels.select(*PIXEL, F.coalesce("root", "_local").alias("region"))
 
 
 def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*K, "region").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _mark(px: DataFrame, kept: DataFrame, out: str) -> DataFrame:
-    """px with ``out``: whether the pixel is in kept, a table of pixels."""
-    return px.join(kept.select(*PIXEL).withColumn("_in", F.lit(True)), PIXEL, "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_in")
+def _keep(px: DataFrame, col: str, weight: Column, least: float, conn: int, out: str, tile: int) -> DataFrame:
+    """px with ``out``: the pixels of regions whose sum of weights is at least ``least``.
+
+    Pixels are exchanged once, by tile, and written; weights are summed for each piece of a region inside a tile, and
+    only pieces meet other pieces. So px may be read any number of times after.
+    """
+    labelled = written(label_pixels(px.withColumn("_weight", weight.cast("double")), col, conn, tile), "regions")
+    pieces = labelled.where("_local >= 0").groupBy(*K, "_local").agg(F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("_sum"))
+    pieces = pieces.join(_roots(labelled, conn, tile), [*K, "_local"], "left").withColumn("root", F.coalesce("root", "_local"))
+    kept = pieces.groupBy(*K, "root").agg(F.sum("_sum").alias("_sum")).where(F.col("_sum") >= least)
+    kept = pieces.join(kept.select(*K, "root"), [*K, "root"], "left_semi").select(*K, "_local", F.lit(True).alias("_whole"))
+    px = labelled.join(written(kept, "kept"), [*K, "_local"], "left")
+    return px.withColumn(out, F.coalesce("_whole", F.lit(False))).drop("_local", "_weight", "_whole")
 
 
 def remove_small_regions(px: DataFrame, col: str, min_size: float, conn: int = 8, out: str = "mask", tile: int = TILE) -> DataFrame:
     """px with the mask less its regions of fewer than min_size pixels; min_size <= 1 copies."""
     if min_size <= 1:
         return px.withColumn(out, F.col(col))
-    labels = connected_components(px, col, conn, tile)
-    large = region_sizes(labels).where(F.col("size") >= min_size)
-    return _mark(px, labels.join(large, [*K, "region"], "left_semi"), out)
+    return _keep(px, col, F.lit(1), min_size, conn, out, tile)
 
 
 def keep_border_regions(px: DataFrame, col: str, sizes: DataFrame, conn: int = 4, margin: int = 0, out: str = "mask", tile: int = TILE) -> DataFrame:
     """px with the regions that have a pixel within margin of the raster's edge. sizes: site_id, width, height."""
-    labels = connected_components(px, col, conn, tile)
-    edge = F.expr(f"x <= {margin} or y <= {margin} or x >= width - 1 - {margin} or y >= height - 1 - {margin}")
-    touching = labels.join(sizes, "site_id").where(edge).select(*K, "region").distinct()
-    return _mark(px, labels.join(touching, [*K, "region"], "left_semi"), out)
+    edge = F.expr(f"x <= {margin} or y <= {margin} or x >= _width - 1 - {margin} or y >= _height - 1 - {margin}")
+    px = px.join(sizes.select("site_id", F.col("width").alias("_width"), F.col("height").alias("_height")), "site_id", "left")
+    return _keep(px, col, edge.cast("int"), 1, conn, out, tile).drop("_width", "_height")
 
 
 def keep_touching_regions(px: DataFrame, col: str, seed: str, conn: int = 8, out: str = "mask", tile: int = TILE) -> DataFrame:
     """px with the regions that hold a pixel where the boolean column ``seed`` is true."""
-    labels = connected_components(px, col, conn, tile)
-    touching = labels.join(px.where(seed).select(*PIXEL), PIXEL, "left_semi").select(*K, "region").distinct()
-    return _mark(px, labels.join(touching, [*K, "region"], "left_semi"), out)
+    return _keep(px, col, F.col(seed).cast("int"), 1, conn, out, tile)

@@ -20,10 +20,10 @@ def site_water(bands: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
 def land_cover(bands: DataFrame, scenes: DataFrame, samples: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
     """Classes of every pixel of every scene. The bands feed water, coast and features, so they are written once."""
     bands = written(bands.select(*K, "x", "y", "lum", "chroma", "green", "blue"), "bands")
-    coast = water.coastal_zone(bands, site_water(bands, sizes, p)).select(*K, "x", "y", "water", "coast")
+    coast = water.coastal_zone(bands, site_water(bands, sizes, p))
     params = landcover.resolve_params(scenes.select(*K, "params"), grayscale_flag(bands))
     circles = landcover.samples_for_scene(samples, bands.select(*K).distinct())
-    classes = landcover.classify_scene(bands, coast, params, circles, sizes, min_region_px=p["min_region"])
+    classes = landcover.classify_scene(coast, params, circles, sizes, min_region_px=p["min_region"])
     return written(classes, "classes")
 
 

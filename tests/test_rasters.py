@@ -228,3 +228,34 @@ def test_small_circles_train_nothing(spark):
     p, v = landcover.train_prototypes(f, circles, focal.raster_sizes(f))
     assert {r.circle_id: r.n for r in p.collect()} == {"near": 5}
     assert v.first().va == [9.0] * 7
+
+
+def test_class_tiles_equal_columns_for_any_tile(spark):
+    rnd, w, h = random.Random(5), 23, 17
+    level = {0: 40.0, 1: 90.0, 2: 160.0}
+    rows = []
+    for scene in ("a", "b"):
+        for y in range(h):
+            for x in range(w):
+                v = level[(x // 8 + y // 6) % 3]
+                rows.append((0, scene, x, y, rnd.random() < 0.1, x < 2, x >= 2 and rnd.random() < 0.1, *(v + rnd.uniform(-30, 30) for _ in range(7))))
+    kinds = "site_id long, scene_id string, x long, y long, water boolean, land boolean, coast boolean, " + ", ".join(f"{f} double" for f in focal.FEATURES)
+    px = spark.createDataFrame(rows, kinds).withColumn("land", ~F.col("water") & ~F.col("coast"))
+    samples = spark.createDataFrame([(0, "a", "forest", "f", 3.0, 2.0, 2), (0, "a", "sparse", "s", 11.0, 2.0, 2), (0, "a", "open", "o", 19.0, 2.0, 2), (0, "b", "built", "u", 19.0, 2.0, 2)], "site_id long, scene_id string, class string, circle_id string, x double, y double, r int")
+    scenes = spark.createDataFrame([(0, "a", {"bias": 1.0}, False), (0, "b", {}, True)], "site_id long, scene_id string, params map<string,double>, grayscale boolean")
+    params = landcover.resolve_params(scenes.drop("grayscale"), scenes.drop("params"))
+    sizes = focal.raster_sizes(px)
+    names = ["scene_id", "x", "y", "land", "by_samples", "forest", "sparse", "built"]
+    want = sorted(map(tuple, landcover.classes_by_columns(px, params, samples, sizes).select(*names).collect()))
+    assert len({r[5:] for r in want}) > 2 and {r[4] for r in want} == {True, False}
+    models = landcover.scene_models(px, params, samples, sizes)
+    for tile in (7, 256):
+        assert sorted(map(tuple, landcover.class_tiles(px, models, sizes, tile=tile).select(*names).collect())) == want
+
+
+def test_region_and_distance_keep_other_columns(spark):
+    px = grid(spark, noise(3, 20, 9)).withColumns({"n": F.when(F.col("x") % 2 == 0, 2**60 + F.col("y")), "s": F.when(F.col("y") > 3, F.lit("ä")), "m": F.when(F.col("x") != 4, F.col("m"))})
+    want = sorted(map(tuple, px.select("x", "y", "n", "s").collect()), key=repr)
+    assert sorted(map(tuple, regions.remove_small_regions(px, "m", 3, 8, "k", 6).select("x", "y", "n", "s").collect()), key=repr) == want
+    assert sorted(map(tuple, distance.with_distance(px, "m", "d").select("x", "y", "n", "s").collect()), key=repr) == want
+    assert distance.with_distance(px.limit(0), "m", "d").count() == regions.remove_small_regions(px.limit(0), "m", 3).count() == 0
