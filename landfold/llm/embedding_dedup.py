@@ -1,9 +1,9 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by passes of random projections.
 
-Each pass orders the vectors of a label by the concatenated signs of random projections and compares every vector
-with the next ``window`` ones; verified pairs of all passes are united. Equal vectors are first made one. Inside the
-united groups every pair is then compared in bounded blocks, so that numbers of links are exact there, also in a
-group far larger than the window.
+Each pass cuts the vectors of a label into runs with equal leading signs of random projections and compares every
+pair inside a run, in bounded blocks; verified pairs of all passes are united. A pair's chance to share a run depends
+on its own angle only, so that the recall holds however the other vectors lie. Equal vectors are first made one.
+Inside the united groups every pair is then compared, so that numbers of links are exact there.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landfold.llm.common import labels_of_pairs, numbered, passes_for, runs, shuffle_partitions, with_block_pairs, written
+from landfold.llm.common import labels_of_pairs, passes_for, runs, shuffle_partitions, with_block_pairs, written
 from landfold.llm.components import connected_components
 
-#: Signs in a pass's key.
+#: Most signs in a pass's key.
 BITS = 48
-#: Rows of a window task, and of one side of a block of pairs.
-BLOCK, CHUNK = 2048, 1024
+#: Rows of one side of a block of pairs, in the passes and inside groups.
+RUN, CHUNK = 2048, 1024
+#: Vectors of a label that its number of signs is chosen by, and comparisons that cost as much as one more row in a pass.
+DRAWN, ROW_COST = 512, 2500
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
@@ -30,43 +32,47 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, seed: int):
+def _plan(least: float, recall: float, row_cost: float):
+    """The cheapest number of signs for a space, by the angles of a few of its vectors, and the passes that it takes."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        u, size = _unit(g["embedding"].to_numpy()), int(g["size"].iloc[0])
+        same = 1 - np.arccos(np.clip(u @ u.T, -1, 1)) / np.pi
+        same = same[~np.eye(len(u), dtype=bool)] if len(u) > 1 else np.ones(1)
+        tries = [passes_for(recall, (1 - np.arccos(least) / np.pi) ** b) for b in range(BITS + 1)]
+        bits = int(np.argmin([n * (row_cost + size * (same**b).mean()) for b, n in enumerate(tries)]))
+        return pd.DataFrame({"space": [g["space"].iloc[0]], "bits": [bits], "passes": [tries[bits]]})
+
+    return run
+
+
+def _keys(seed: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
-            sizes = frame["space"].to_numpy()
-            for space in np.unique(sizes):
-                part = frame[sizes == space]
-                x = _unit(part["embedding"].to_numpy())
-                d = x.shape[1]
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * BITS))
-                signs = ((x @ planes[d]) > 0).reshape(len(part), passes, BITS)
-                code = (signs * weights).sum(axis=2)
-                yield pd.DataFrame(
-                    {"key": np.repeat(part["key"].to_numpy(), passes), "space": space, "turn": np.tile(np.arange(passes, dtype=np.int32), len(part)), "code": code.ravel()}
-                )
+            for space, part in frame.groupby("space"):
+                x, bits = _unit(part["embedding"].to_numpy()), int(part["bits"].iloc[0])
+                weights = 1 << np.arange(bits, dtype=np.int64)
+                for turn in range(part["passes"].iloc[0]):
+                    at = (x.shape[1], turn)
+                    if at not in planes:
+                        planes[at] = np.random.default_rng([seed, *at]).standard_normal((x.shape[1], BITS))
+                    code = ((x @ planes[at][:, :bits]) > 0) @ weights if bits else np.zeros(len(x), np.int64)
+                    yield pd.DataFrame({"key": part["key"].to_numpy(), "space": space, "turn": np.int32(turn), "code": code})
 
     return run
 
 
-def _windows(window: int, least: float):
+def _linked(least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(frames, ["turn", "block"]):
-            order = np.argsort(g["n"], kind="stable")
-            x, space, key = g["embedding"][order], g["space"][order], g["key"][order]
-            found_a, found_b = [], []
-            for s in np.unique(space):
-                rows = np.flatnonzero(space == s)
-                u = _unit(x[rows])
-                for step in range(1, min(window, len(rows) - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", u[:-step], u[step:]) >= least)
-                    found_a.append(rows[hit])
-                    found_b.append(rows[hit + step])
-            if not found_a:
+        for g in runs(frames, ["space", "turn", "code", "i", "j"]):
+            if len(g["key"]) < 2:
                 continue
-            label = labels_of_pairs(len(key), np.concatenate(found_a), np.concatenate(found_b))
+            i, j, chunk, key = g["i"][0], g["j"][0], g["chunk"], g["key"]
+            u = _unit(g["embedding"])
+            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+            a, b = np.nonzero(u[left] @ u[right].T >= least)
+            label = labels_of_pairs(len(key), left[a], right[b])
             moved = np.flatnonzero(label != np.arange(len(key)))
             if len(moved):
                 yield pd.DataFrame({"a": key[moved], "b": key[label[moved]]})
@@ -91,13 +97,14 @@ def _count_links(least: float):
     return run
 
 
-def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, window: int = 64, recall: float = 0.999, seed: int = 7) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.999, seed: int = 7, row_cost: float = ROW_COST) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors(vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal and their cosine in double precision is at least ``least``.
-    The number of passes follows from the largest label's size, the window and ``recall``: a pair just at ``least``
-    shares enough leading signs in one pass with a probability that sets how many passes reach it. No pass is
-    skipped and no partner is dropped.
+    A pair just at ``least`` shares all signs of a pass with a known probability, from which the number of passes
+    follows so that it is compared with probability ``recall`` or more, whatever the other vectors are. The number
+    of signs only weighs costs (``row_cost``: comparisons that cost as much as a row in one more pass); with none,
+    as in all but large labels, every pair is compared. No pass is skipped and no partner is dropped.
     A vector that is null, empty, zero, or holds null or non-finite components, one with a null label, and one with
     a null vec_id link with nothing (0 links, own component, kept). Vectors of different length never link. Equal
     rows count as separate vectors linked to each other; an id given to several vectors joins their groups. Columns
@@ -114,21 +121,22 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, window: i
         rows.where("key is not null").groupBy("key", "label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).withColumn("space", space),
         "vectors",
     )
-    most = classes.groupBy("space").count().agg(F.max("count")).first()[0] or 1
-    shared = max(0.0, np.log2(most / window))
-    passes = passes_for(recall, (1 - np.arccos(least) / np.pi) ** shared)
-
-    codes = classes.select("key", "space", "embedding").mapInPandas(_keys(passes, seed), "key binary, space long, turn int, code long")
-    placed = numbered(codes, "turn", ["space", "code", "key"], "passes").select("key", "turn", "n")
-    blocks = placed.withColumn("here", (F.col("n") / BLOCK).cast("long")).withColumn(
-        "block", F.explode(F.when((F.col("n") % BLOCK < window) & (F.col("here") > 0), F.array(F.col("here") - 1, F.col("here"))).otherwise(F.array("here")))
-    )
+    sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
+    drawn = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) * F.col("size") < F.lit(DRAWN << 30)
+    plans = classes.join(sizes, "space").where(drawn).select("space", "size", "embedding").groupBy("space")
+    plans = sizes.select("space").join(written(plans.applyInPandas(_plan(least, recall, row_cost), "space long, bits int, passes int"), "plans"), "space", "left")
+    plans = plans.na.fill({"bits": 0, "passes": 1})
+    codes = classes.select("key", "space", "embedding").join(plans, "space").mapInPandas(_keys(seed), "key binary, space long, turn int, code long")
+    codes = written(codes, "passes")
+    long = codes.groupBy("space", "turn", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > RUN)
+    placed = codes.join(F.broadcast(long), ["space", "turn", "code"], "left").withColumn("size", F.coalesce("size", F.lit(1)))
     pairs = (
-        blocks.join(classes.select("key", "space", "embedding"), "key")
-        .select("turn", "block", "n", "key", "space", "embedding")
-        .repartition(shuffle_partitions(spark), "turn", "block")
-        .sortWithinPartitions("turn", "block")
-        .mapInPandas(_windows(window, least), "a binary, b binary")
+        with_block_pairs(placed, "size", "key", RUN)
+        .join(classes.select("key", "embedding"), "key")
+        .select("space", "turn", "code", "i", "j", "chunk", "key", "embedding")
+        .repartition(shuffle_partitions(spark), "space", "turn", "code", "i", "j")
+        .sortWithinPartitions("space", "turn", "code", "i", "j")
+        .mapInPandas(_linked(least), "a binary, b binary")
     )
     same_id = classes.groupBy("first_id").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1")
     same_id = classes.join(same_id, "first_id").select(F.col("key").alias("a"), "b")

@@ -136,6 +136,25 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean, row_cost", [(0.85, 2500), (0.7, 1)])  # without signs, with signs
+def test_dense_cone_equals_brute_force(spark, mean, row_cost):
+    rnd = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    n, d, planted = 6000, 64, 300
+    vec = unit(np.sqrt(mean) * unit(rnd.standard_normal(d)) + np.sqrt(1 - mean) * unit(rnd.standard_normal((n, d))))
+    aside = rnd.standard_normal((planted, d))
+    aside = unit(aside - (aside * vec[:planted]).sum(axis=1, keepdims=True) * vec[:planted])
+    vec = np.float32(np.concatenate([vec, 0.94 * vec[:planted] + np.sqrt(1 - 0.94**2) * aside])).astype(float)
+    vec = unit(vec)
+    a, b = np.nonzero(np.triu(vec @ vec.T >= 0.93, 1))
+    low = embedding_dedup.labels_of_pairs(len(vec), a, b)
+    links = np.bincount(np.concatenate([a, b]), minlength=len(vec))
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vec)], "vec_id long, embedding array<float>, label int").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_duplicates(df, row_cost=row_cost).collect()}
+    missed = sum(got[k] != (links[k], low[k]) for k in range(len(vec)))
+    assert len(a) >= planted and missed <= (0 if row_cost == 2500 else 0.001 * 2 * len(a) + 2)
+
+
 # --- 3
 
 
