@@ -2,15 +2,18 @@
 
 A source with weight w gives its k-th block the release time floor(k / w) and the deadline ceil((k + 1) / w).
 Earliest deadline first among the released blocks puts every block inside its window, so that at any time each
-source is less than one block away from its share. With weights as whole shares of a cycle the schedule repeats, so
-that one cycle's table places every block of every source without a walk over the blocks.
+source is less than one block away from its share. Weights are taken as the exact fractions that they are, so that no
+rounding adds up. The walk over the blocks (not the documents) runs on the driver.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,56 +34,82 @@ def whole_shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     return shares
 
 
-def cycle_table(shares: Mapping[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block in cycle, slot in cycle): one cycle of earliest deadline first over released blocks."""
-    cycle, out = sum(shares.values()), []
-    release = lambda k, c: k * cycle // c
-    deadline = lambda k, c: -(-(k + 1) * cycle // c)
-    waiting = [(0, s, 0) for s in sorted(shares)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    for slot in range(cycle):
+def block_table(weights: Mapping[str, float], blocks: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) by slot: earliest deadline first over the blocks of each source.
+
+    Blocks beyond a source's last are not walked: the slots that would be theirs are left to others inside their
+    windows, or stay empty.
+    """
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must be positive and finite")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    whole = {s: w // common for s, w in whole.items()}
+    total, out, slot = sum(whole.values()), [], 0
+    waiting = [(0, s, 0) for s in sorted(whole) if blocks[s]]
+    ready: list[tuple[int, str, int, int]] = []
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(k, shares[s]), s, k))
-        _, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, (release(k + 1, shares[s]), s, k + 1))
+            release, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // whole[s]), s, k, release))
+        deadline, s, k, release = heapq.heappop(ready)
+        out.append((s, k, release, deadline, slot))
+        if k + 1 < blocks[s]:
+            heapq.heappush(waiting, ((k + 1) * total // whole[s], s, k + 1))
+        slot += 1
     return out
 
 
-def tempered_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
-    """A target weight for each source: its characters to the given power. One row a source reaches the driver."""
+def cycle_table(shares: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block in cycle, slot in cycle): one cycle of whole shares, after which the schedule repeats."""
+    return [(s, k, slot) for s, k, _, _, slot in block_table(shares, shares)]
+
+
+def source_chars(docs: DataFrame) -> dict[str, int]:
+    """A source's characters, one more for each row. One row a source reaches the driver."""
     sums = docs.groupBy(source_name().alias("s")).agg(F.sum(F.length(text_or_empty()) + 1).alias("c"))
-    return {r["s"]: float(r["c"]) ** power for r in sums.collect()}
+    return {r["s"]: r["c"] for r in sums.collect()}
+
+
+def tempered_weights(chars: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
+    """A target weight for each source: its characters to the given power."""
+    return {s: float(c) ** power for s, c in chars.items()}
 
 
 def source_name() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def mixed_schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = 1 << 16, cycle: int = 1000, seed: int = 11) -> DataFrame:
+def mixed_schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = 1 << 16, cycle: int | None = None, seed: int = 11) -> DataFrame:
     """(doc_id, source, key, n_rows, block_no, release, deadline, slot) for every distinct document.
 
     A source's documents stand in an order drawn from ``seed`` and are cut into blocks of ``block_chars`` characters
     (a document belongs to the block where it begins, each counts one character more than its text). ``slot`` is the
     block's place in the interleaving. Sources without a weight (weights given) get the smallest given one, none is
-    dropped; default weights are ``tempered_weights``. When a source has run out its slots stay empty, so that
-    the others keep their ratios. The table of a cycle has ``cycle`` rows (or one a source, if there are more).
+    dropped; default weights are ``tempered_weights``. When a source has run out its slots go to blocks that are
+    released, or stay empty, so that the others keep their ratios. Weights are not rounded; only if a ``cycle`` is
+    given, they become whole shares of so many slots. One row a source and one a block (64 KB) are on the driver.
     Null text counts as empty, null source as the source ''. Equal rows are one row with ``n_rows`` of them, which
     share a block; rows with a null doc_id are told apart by text and source. No documents give no rows.
     """
     spark = docs.sparkSession
-    found = tempered_weights(docs)
+    chars = source_chars(docs) or {"": 0}
+    found = tempered_weights(chars) if any(chars.values()) else {"": 1.0}
     if weights:
         least = min(weights.values())
         found = {s: weights.get(s, least) for s in found}
-    if not found:
-        found = {"": 1.0}
-    shares = whole_shares(found, max(cycle, len(found)))
-    total = sum(shares.values())
-    table = spark.createDataFrame([(s, k, slot, shares[s]) for s, k, slot in cycle_table(shares)], "source string, in_cycle long, at long, share long")
+    if cycle is not None:
+        if cycle < len(found):
+            raise ValueError(f"{len(found)} sources do not fit a cycle of {cycle} slots")
+        found = whole_shares(found, cycle)
+    placed = block_table(found, {s: -(-c // block_chars) for s, c in chars.items()})
+    names = ["source", "block_no", "release", "deadline", "slot"]
+    columns = zip(*placed) if placed else [[]] * 5
+    table = spark.createDataFrame(pa.table([pa.array(list(c), t) for c, t in zip(columns, [pa.string()] + [pa.int64()] * 4)], names))
 
     narrow = docs.select("doc_id", source_name().alias("source"), F.length(text_or_empty()).alias("chars"), row_key().alias("key"))
     narrow = narrow.groupBy("doc_id", "source", "chars", "key").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -93,22 +122,7 @@ def mixed_schedule(docs: DataFrame, weights: Mapping[str, float] | None = None,
     before = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
     rows = rows.join(parts, ["source", "_part"]).withColumn("block_no", F.expr(f"(_before + _sum) div {block_chars}"))
-    share = F.create_map(*[F.lit(x) for s, n in shares.items() for x in (s, n)]) if len(shares) <= 500 else None
-    if share is None:  # too many sources for a literal: their shares come by a join
-        rows = rows.join(table.select("source", "share").distinct(), "source")
-    else:
-        rows = rows.withColumn("share", share[F.col("source")].cast("long"))
-    rows = rows.withColumn("in_cycle", F.col("block_no") % F.col("share"))
-    return rows.join(table.drop("share"), ["source", "in_cycle"]).select(
-        "doc_id",
-        "source",
-        "key",
-        "n_rows",
-        "block_no",
-        F.expr(f"block_no * {total} div share").alias("release"),
-        F.expr(f"((block_no + 1) * {total} + share - 1) div share").alias("deadline"),
-        F.expr(f"(block_no div share) * {total} + at").alias("slot"),
-    )
+    return rows.join(table, ["source", "block_no"]).select("doc_id", "source", "key", "n_rows", "block_no", "release", "deadline", "slot")
 
 
 def row_key() -> Column:

@@ -4,9 +4,11 @@ import base64
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -187,6 +189,28 @@ def test_schedule_places_every_document(spark, odd_docs):
     assert mixing.mixed_schedule(odd_docs.limit(0)).count() == 0 and mixing.mixed_documents(odd_docs.limit(0)).count() == 0
 
 
+def test_weights_are_not_rounded():
+    weights = {"a": 0.7, "b": 0.2994, "c": 0.0004, "d": 1 / 7777}
+    total = sum(map(Fraction, weights.values()))
+    done = collections.Counter()
+    for source, k, release, deadline, slot in mixing.block_table(weights, {s: int(12_000 * w) + 1 for s, w in weights.items()}):
+        w = Fraction(weights[source]) / total
+        assert k == done[source] and math.floor(k / w) == release <= slot < deadline == math.ceil((k + 1) / w)
+        done[source] += 1
+    assert done["a"] > 8000
+
+
+def test_many_sources_keep_their_weights(spark):
+    weights = {f"s{k:04d}": 1.0 + k % 7 for k in range(1200)}
+    docs = spark.createDataFrame([(k * 9 + j, "x" * 9, s) for k, s in enumerate(weights) for j in range(9)], "doc_id long, text string, source string")
+    total = int(sum(weights.values()))
+    rows = mixing.mixed_schedule(docs, weights=weights, block_chars=10).collect()
+    assert len(rows) == len({r.slot for r in rows}) == 1200 * 9
+    for r in rows:
+        w = int(weights[r.source])
+        assert r.block_no * total // w == r.release <= r.slot < r.deadline == -(-(r.block_no + 1) * total // w)
+
+
 # --- 4
 
 
