@@ -35,8 +35,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Token sequences, whose ids follow the mix: files read again come in any order, so the schedule is laid out anew."""
+    return packing.pack_documents(mixing.mixed_documents(docs), tokenizer_path())
 
 
 STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", keep_one_copy), ("secret scans", mask_secrets), ("mixing", mix_sources), ("packing", pack)]

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
-from landfold.llm import ngram_join, queries, secret_scan
+from landfold.llm import mixing, ngram_join, queries, secret_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +42,19 @@ def test_run_equals_the_stages(spark):
     assert sorted(map(tuple, docs.select(cut).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).select(cut).collect()))
 
 
+def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
+    docs = queries.table(spark, SF, "documents").where("doc_id is not null").dropDuplicates(["doc_id"])
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    mixed.repartition(7).write.parquet(str(tmp_path / "mixed"))
+    slot = {r.doc_id: r.slot for r in mixing.mixed_schedule(docs, block_chars=1 << 16).collect()}
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), SF)
+    rows = sorted((r.sequence_id, slot[r.doc_id], r.bucket) for r in packed.select("sequence_id", "doc_id", "bucket").collect())
+    assert len(set(slot.values())) > 3 and len({s for s, _, _ in rows}) == len(rows)
+    for bucket in {b for _, _, b in rows}:
+        slots = [t for _, t, b in rows if b == bucket]
+        assert slots == sorted(slots)
+
+
 def test_stages_take_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "token=abcdefgh12 and words", "en", None, 26)], queries.table(spark, SF, "documents").schema)
     for docs in (odd, odd.limit(0)):
