@@ -184,8 +184,8 @@ def frame_years(series: DataFrame, horizon: DataFrame, step: int = 5) -> DataFra
     return series.select("site_id", F.col("year").cast("double").alias("t")).union(later).union(gone).distinct()
 
 
-def frame_summary(current: DataFrame, lost: DataFrame, masks: DataFrame, years: DataFrame, px_area_ha: float, start_year: float) -> DataFrame:
-    """(site_id, t, mode, area_ha, lost_ha, compare_year) for each requested year. current, lost: pixel rows (site_id, t)."""
+def frame_summary(current: DataFrame, lost: DataFrame, masks: DataFrame, years: DataFrame, px_area_ha: float, starts: DataFrame) -> DataFrame:
+    """(site_id, t, mode, area_ha, lost_ha, compare_year) for each requested year. current, lost: pixel rows (site_id, t); starts: site_id, start_year."""
     seen = masks.select("site_id", "year").distinct()
     at = seen.select("site_id").distinct().join(F.broadcast(years))
     obs = at.join(seen, "site_id").where("abs(year - t) < 1e-6").select("site_id", "t").distinct().withColumn("_obs", F.lit(True))
@@ -193,9 +193,9 @@ def frame_summary(current: DataFrame, lost: DataFrame, masks: DataFrame, years:
     gone = lost.groupBy("site_id", "t").agg((F.count(F.lit(1)) * F.lit(px_area_ha)).alias("lost_ha"))
     first = masks.groupBy("site_id").agg(F.min("year").alias("_first"))
     on = ["site_id", "t"]
-    mode = F.when(F.col("t") > start_year + 1e-9, "pred").when(F.col("_obs"), "obs").otherwise("interp")
+    mode = F.when(F.expr("t > start_year + 1e-9"), "pred").when(F.col("_obs"), "obs").otherwise("interp")
     return (
-        at.join(obs, on, "left").join(area, on, "left").join(gone, on, "left").join(first, "site_id")
+        at.join(obs, on, "left").join(area, on, "left").join(gone, on, "left").join(first, "site_id").join(starts, "site_id")
         .select(*on, mode.alias("mode"), F.coalesce("area_ha", F.lit(0.0)).alias("area_ha"), F.coalesce("lost_ha", F.lit(0.0)).alias("lost_ha"),
                 F.when(F.expr("_first < t - 1e-9"), F.col("_first")).alias("compare_year"))
     )

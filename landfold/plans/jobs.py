@@ -50,15 +50,17 @@ def areas(bands: DataFrame, scenes: DataFrame, samples: DataFrame, polygons: Dat
 def frames(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int = 1, jitter_px: float = 6.0) -> DataFrame:
     """(site_id, t, mode, area_ha, lost_ha, compare_year) of observed, interpolated and projected years.
 
-    masks: dense, with year, buffer, forest, built; the projection starts at each site's last scene. All sites share
-    their last year.
+    masks: dense, with year, buffer, forest, built; the projection starts at each site's own last scene.
     """
-    start_year = float(masks.agg(F.max("year")).first()[0])
+    starts = written(masks.groupBy("site_id").agg(F.max("year").cast("double").alias("start_year")), "starts")
+    latest = starts.agg(F.max("start_year")).first()[0]
+    dated = lambda df: df.join(F.broadcast(starts), "site_id")
     intervals = written(change.build_intervals(masks, seed, jitter_px), "intervals")
-    past = change.interpolate_mask(masks, intervals, years.where(F.col("t") <= start_year + 1e-9))
+    past = dated(change.interpolate_mask(masks, intervals, years.where(F.col("t") <= latest + 1e-9))).where("t <= start_year + 1e-9").drop("start_year")
     series = masks.groupBy("site_id", "scene_id", "year").agg((F.count_if("buffer") * F.lit(px_area_ha)).alias("area_ha"))
     setup = trend.projection_setup(series)
-    order = written(projection.removal_order(masks.where(F.col("year") == start_year), seed, jitter_px), "order")
-    future = projection.projected_mask(order, trend.area_schedule(setup, years.where(F.col("t") > start_year + 1e-9)), px_area_ha)
+    order = written(projection.removal_order(dated(masks).where("year = start_year").drop("start_year"), seed, jitter_px), "order")
+    schedule = dated(trend.area_schedule(setup, years)).where("t > start_year + 1e-9").drop("start_year")
+    future = projection.projected_mask(order, schedule, px_area_ha)
     current = written(past.union(future), "frames")
-    return change.frame_summary(current, change.lost_vs_base(current, masks, years), masks, years, px_area_ha, start_year)
+    return change.frame_summary(current, change.lost_vs_base(current, masks, years), masks, years, px_area_ha, starts)

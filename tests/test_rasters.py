@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landfold.operators import bands, change, distance, focal, geometry, landcover, projection, regions, rle, stats, trend
+from landfold.plans import jobs
 
 RING = ["#####", "#...#", "#.#.#", "#...#", "#####"]
 CHAIN = ["#....", ".#...", "..#..", "...#.", "....#"]
@@ -259,3 +260,17 @@ def test_region_and_distance_keep_other_columns(spark):
     assert sorted(map(tuple, regions.remove_small_regions(px, "m", 3, 8, "k", 6).select("x", "y", "n", "s").collect()), key=repr) == want
     assert sorted(map(tuple, distance.with_distance(px, "m", "d").select("x", "y", "n", "s").collect()), key=repr) == want
     assert distance.with_distance(px.limit(0), "m", "d").count() == regions.remove_small_regions(px.limit(0), "m", 3).count() == 0
+
+
+def test_frames_start_at_each_sites_own_last_scene(spark):
+    def site(name, last):
+        pixels = lambda year, width: [(name, f"{name}{year}", float(year), x, y, x < width, x >= width, False) for x in range(6) for y in range(6)]
+        return pixels(2000, 5) + pixels(last, 4)
+
+    columns = "site_id string, scene_id string, year double, x long, y long, buffer boolean, forest boolean, built boolean"
+    years = spark.createDataFrame([(float(t),) for t in (2005, 2010, 2015, 2020, 2025)], "t double")
+    frames = lambda rows: sorted(map(tuple, jobs.frames(spark.createDataFrame(rows, columns), years, 1.0).collect()))
+    early, late = site("a", 2010), site("b", 2020)
+    together = frames(early + late)
+    assert together == sorted(frames(early) + frames(late))
+    assert [(t, mode, area) for s, t, mode, area, *_ in together if s == "a"][1:] == [(2010.0, "obs", 24.0), (2015.0, "pred", 21.0), (2020.0, "pred", 18.0), (2025.0, "pred", 15.0)]
