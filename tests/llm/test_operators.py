@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landfold.llm import embedding_dedup, html_extract, merkle, mixing, ngram_join, packing, quality, queries, secret_scan, url_filters, warc
+from landfold.llm import embedding_dedup, html_extract, html_samples, merkle, mixing, ngram_join, packing, quality, queries, secret_scan, url_filters, warc
 from landfold.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -500,6 +501,46 @@ def test_odd_pages(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_article_text_with_telling_names_stays():
+    page = """<body><nav><a href=/>Home</a></nav><article><h1>Big title</h1><div class="share-price"><p>The share price rose to 40 today.</p></div>
+    <p class="notice-period">The notice period is three months.</p><blockquote class="reply">He said that in his reply.</blockquote>
+    <div class="share">Share on a site</div><p class="advert">Buy it now.</p><ul id=comments><li class="comment">Nice article, I love it so much.</ul></article></body>"""
+    assert html_extract.main_text(page) == "\n\n".join(["Big title", "The share price rose to 40 today.", "The notice period is three months.", "He said that in his reply."])
+    page = """<body><div class="nav"><a href=/>Home</a> <a href=/b>B</a></div><div><h2>Some title</h2><p>First paragraph of the text.</p><p>Second one.</p>
+    <table><tr><td>1</td><td>two</td></tr></table></div><div class=footer>c 2020</div></body>"""
+    assert html_extract.main_text(page) == "\n\n".join(["Some title", "First paragraph of the text.", "Second one.", "1", "two"])
+
+
+@pytest.mark.parametrize("page", [
+    "<p>x</p>" + ("<a " + " ".join(f'a{k}="v{k}"' for k in range(200))) * 400, "x <b " * 200_000, '<a q="<a>" ' * 90_000 + '<a q="', "<i>" * 100_000 + "x</p>" * 100_000, "<article>" * 100_000 + "y", "<svg>a" * 150_000,
+    "<!--" * 250_000, "<" * 1_000_000, "<a " + " " * 1_000_000, "<div><i>" * 100_000 + "</b>" * 50_000, "<a " + "=" * 1_000_000, '<p class="' + "a-" * 500_000 + '">x', "<p><a>link</a></p><p>word and word</p>" * 20_000,
+])
+def test_a_megabyte_of_broken_tags_takes_seconds(page):
+    started = time.monotonic()
+    html_extract.main_text(page)
+    assert time.monotonic() - started < 8  # 0.01 to 1.6 s on an idle core
+
+
+def test_text_around_broken_tags():
+    for page, text in [("a <b", "a <b"), ("x < y and <b then", "x < y and <b then"), ('<p>x</p><a href="q" titl', "x"), ('<p>x</p><a href="q', "x"), ("<p title='a>b'>c</p>", "c"), ('<p class="a>one</p><p class="b">two</p>', "two"), ("<div><video src=x>some words stay", "some words stay")]:
+        assert html_extract.main_text(page) == text
+
+
+def test_the_cut_beats_the_classifier_alone():
+    rnd, weights = random.Random(99), html_extract.trained_weights()
+    right = collections.Counter()
+    for _ in range(300):
+        page, kept = html_samples.made_page(rnd)
+        blocks, y = html_extract.blocks_of(page), []
+        for b in blocks:
+            y.append(len(kept) > sum(y) and b.text == kept[sum(y)])
+        odds = html_extract.log_odds(blocks, weights)
+        right["blocks"] += len(blocks)
+        right["alone"] += sum((o > 0) == k for o, k in zip(odds, y))
+        right["cut"] += sum(a == k for a, k in zip(html_extract.minimum_cut(odds, html_extract.ties_of(blocks)), y))
+    assert right["cut"] > right["alone"] > 0.95 * right["blocks"] and right["cut"] > 0.98 * right["blocks"]
+
+
 def test_cut_equals_brute_force():
     rnd = random.Random(19)
     for _ in range(300):
