@@ -43,11 +43,15 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pieces = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.added = {t.content: struct.pack("<I", k) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     def __missing__(self, word: str) -> bytes:
         if len(word) <= 64 and LETTERS.fullmatch(word):
             piece = word if word.isascii() else self.pieces(word)[0][0]
             ids = [t.id for t in self.model(piece)]
+        elif any(t in word for t in self.added):
+            ids = [t.id for piece, _ in self.pieces(self.tokenizer.normalizer.normalize_str(word)) for t in self.model(piece)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         data = struct.pack(f"<{len(ids)}I", *ids)
@@ -58,6 +62,11 @@ class WordIds(dict):
         return data
 
     def of(self, text: str) -> bytes:
+        if self.parts is not None and any(t in text for t in self.added):
+            return b"".join(self.added.get(part) or self.plain(part) for part in self.parts.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         words = WORD.findall(text) if WIDE.search(text) else PLAIN.findall(text.lower())
         return b"".join(map(self.__getitem__, words))
 

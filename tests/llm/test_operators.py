@@ -235,6 +235,18 @@ def test_pieces_rebuild_every_document(spark, odd_docs):
     assert packing.pack_documents(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_of_odd_strings_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(queries.tokenizer_path()), packing.WordIds(queries.tokenizer_path())
+    rnd = random.Random(29)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "<|end", "oftext|>", "<|", "|>", "I'm", "DON'T", "e\u0301", "\xc9", "A\u030a", "\u212b", "\u0130", "\u017f", "\xdf", "\xb2", "\u03a3", "abc", "Word", "1,5", ".", ",", "..", "'s", "'", "\u65e5\u672c", "\u0439", "\U0001f600"]
+    bits += [" ", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 9))) for _ in range(100_000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_piece_lengths():
     for n in range(0, 9000, 7):
         parts = packing.piece_lengths(n, 4096)
