@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from landfold.llm.common import labels_of_pairs, passes_for, runs, shuffle_partitions, with_block_pairs, written
 from landfold.llm.components import connected_components
+from landfold.tables import joined_by_hot_key
 
 #: Most signs in a pass's key.
 BITS = 48
@@ -141,8 +142,11 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: f
     same_id = classes.groupBy("first_id").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1")
     same_id = classes.join(same_id, "first_id").select(F.col("key").alias("a"), "b")
     groups = written(connected_components(pairs.union(same_id)), "groups")
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "component").join(classes, F.col("node") == classes["key"])
+    about = groups.join(classes.select("key", "first_id"), groups["node"] == F.col("key")).groupBy("component")
+    about = written(about.agg(F.count(F.lit(1)).alias("n"), F.min("first_id").alias("lowest")), "sizes")
+    # a component with many members is dealt over many tasks
+    members = joined_by_hot_key(groups, about.select("component", F.col("n").alias("size"), "lowest"), "component", F.col("node"), about)
+    members = members.join(classes, F.col("node") == classes["key"])
     links = (
         with_block_pairs(members.select("component", "size", "key", "copies", "embedding"), "size", "key", CHUNK)
         .repartition(shuffle_partitions(spark), "component", "i", "j")
@@ -151,15 +155,16 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: f
         .groupBy("key")
         .agg(F.sum("links").alias("links"))
     )
-    lowest = members.groupBy("component").agg(F.min("first_id").alias("lowest"))
     about = (
         classes.select("key", "first_id", "copies")
-        .join(members.select("key", "component"), "key", "left")
-        .join(lowest, "component", "left")
+        .join(members.select("key", "lowest"), "key", "left")
         .join(links, "key", "left")
         .select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("lowest", "first_id").alias("component_id"))
     )
-    return rows.select("vec_id", "key").join(about, "key", "left").select(
+    # rows without a key meet nothing; a stand-in for it keeps them from one task
+    alone = F.concat(F.lit("without key "), F.xxhash64("vec_id", "label", "embedding").cast("string")).cast("binary")
+    joined = joined_by_hot_key(rows.select("vec_id", F.coalesce("key", alone).alias("key")), about, "key", F.col("vec_id"), classes.select("key", F.col("copies").alias("n")), "left")
+    return joined.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").cast("long").alias("component_id"),

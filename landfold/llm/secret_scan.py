@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landfold.llm.common import written
+from landfold.tables import joined_by_hot_key
+
 #: Fixed patterns: kind, expression (empty matches can't occur), group whose length counts, least length.
 KINDS = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -18,6 +21,8 @@ KINDS = [
 #: Raise it when a pattern changes, so that all blobs are scanned anew.
 RULE_VERSION = 1
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
+#: Findings of a text that are added to one array; longer arrays are put together of such.
+STEPS = 256
 
 
 def _found(text: Column, rank: int) -> Column:
@@ -26,8 +31,7 @@ def _found(text: Column, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), counted.alias("counted"))
-    steps = F.slice(steps, F.lit(1), F.size(whole))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    empty = F.array().cast(f"array<{SPAN}>")
 
     def add(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
@@ -36,7 +40,17 @@ def _found(text: Column, rank: int) -> Column:
         more = F.concat(acc["spans"], F.array(span))
         return F.struct(end.alias("at"), F.when(F.length(x["counted"]) >= least, more).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(steps, start, add, lambda acc: acc["spans"])
+    def some(first: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+        return F.aggregate(F.slice(steps, first + 1, F.least(F.lit(STEPS), F.size(whole) - first)), zero, add)
+
+    def put(acc: Column, x: Column) -> Column:
+        shift = lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end"))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["spans"], F.array(F.transform(x["spans"], shift))).alias("spans"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.size(whole) - 1, F.lit(STEPS)), some)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("spans"))
+    spans = F.aggregate(parts, zero, put, lambda acc: F.flatten(acc["spans"]))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -56,22 +70,32 @@ def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, text: str =
     that a hot blob costs one row a task. Append the rows to the ledger after the job.
     """
     blobs = versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    blobs = blobs.dropDuplicates(["blob"])
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"]).select("blob", F.lit(rules).alias("rules"), secret_spans(F.col("text")).alias("spans"))
+    return blobs.select("blob", F.lit(rules).alias("rules"), secret_spans(F.col("text")).alias("spans"))
+
+
+def grown_ledger(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: int = RULE_VERSION) -> DataFrame:
+    """The ledger with a row for every blob of versions under these rules; new rows are scanned once and written."""
+    new = written(scan_blobs(versions, ledger, text, rules), "ledger")
+    return new if ledger is None else ledger.select(*new.columns).unionByName(new)
 
 
 def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: int = RULE_VERSION) -> DataFrame:
     """versions with ``spans``, the findings in each row's whole text (empty array: none).
 
-    Null text counts as empty. Rows that repeat a text get equal findings; other columns are kept and a column named
-    spans is replaced. No rows give no rows.
+    The ledger grows by the blobs that it lacks, and its findings are joined back to every row; the rows of a blob
+    that many hold are dealt over many tasks. Null text counts as empty. Rows that repeat a text get equal findings;
+    other columns are kept and a column named spans is replaced. No rows give no rows.
     """
-    new = scan_blobs(versions, ledger, text, rules)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == rules).select(*new.columns))
-    known = known.where(F.size("spans") > 0).select(F.col("blob").alias("_known"), "spans")
+    known = grown_ledger(versions, ledger, text, rules).where((F.col("rules") == rules) & (F.size("spans") > 0))
+    known = known.select(F.col("blob").alias("_blob"), "spans")
     rows = versions.drop("spans").withColumn("_blob", blob_of(F.col(text)))
-    return rows.join(known, F.col("_blob") == F.col("_known"), "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).drop("_blob", "_known")
+    counts = rows.groupBy("_blob").agg(F.count(F.lit(1)).alias("n"))
+    others = [c for c, kind in rows.dtypes if c not in (text, "_blob") and "map<" not in kind]
+    joined = joined_by_hot_key(rows, known, "_blob", F.xxhash64(F.lit(0), *others), counts, "left")
+    return joined.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).drop("_blob").select(*rows.drop("_blob").columns, "spans")
 
 
 def span_text(spans: Column) -> Column:

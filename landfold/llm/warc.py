@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landfold.llm.common import forget, new_path, written
+from landfold.tables import joined_by_hot_key
 
 #: Bytes read or inflated at a time; payload bytes after which a task begins another archive.
 STEP, ROLL = 1 << 18, 1 << 28
@@ -112,10 +113,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     pages = pages.drop("payload", "record_type", "refers_to")
     pages = pages.withColumn("payload", F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))
     pages = pages.withColumn("_digest", F.unhex(F.sha1("payload")))
-    first = pages.groupBy("_digest").agg(F.min("page_id").alias("_first"))
+    # a digest that many pages share, as that of the empty page, is dealt over many tasks
+    first = written(pages.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("n")), "digests")
     revisit = (F.length("payload") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     return (
-        pages.join(first, "_digest")
+        joined_by_hot_key(pages, first.drop("n"), "_digest", F.col("page_id"), first)
         .withColumn("record_type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")))
         .withColumn("refers_to", F.when(revisit, F.col("_first")))
         .drop("_digest", "_first")

@@ -15,6 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landfold import tables
 from landfold.llm import embedding_dedup, html_extract, html_samples, merkle, mixing, ngram_join, packing, quality, queries, secret_scan, url_filters, warc
 from landfold.llm.components import connected_components
 
@@ -47,7 +48,7 @@ def with_clashes(df):
 # --- components
 
 
-def test_components_of_paths_stars_and_nothing(spark):
+def test_components_of_paths_stars_and_nothing(spark, monkeypatch):
     rnd = random.Random(1)
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 50)] + [(rnd.randint(200, 400), rnd.randint(200, 400)) for _ in range(120)] + [(500, 500), (None, 3)]
     parent = {v: v for e in edges for v in e if v is not None}
@@ -61,9 +62,12 @@ def test_components_of_paths_stars_and_nothing(spark):
         if a is not None and b is not None:
             a, b = root(a), root(b)
             parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {v for a, b in edges if a is not None and b is not None and a != b for v in (a, b)}
-    assert got == {v: root(v) for v in linked}
+    for bound, hot in ((10**6, 10**6), (0, 10**6), (0, 10)):  # in one task, by rounds, by rounds with hot nodes dealt out
+        monkeypatch.setattr(tables, "SMALL_GRAPH", bound)
+        monkeypatch.setattr(tables, "HOT_ROWS", hot)
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {v: root(v) for v in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -360,13 +364,18 @@ def test_secrets_equal_brute_force(spark, odd_docs):
     assert secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
+def test_ledger_scans_only_unseen_pairs(spark, monkeypatch):
     first = spark.createDataFrame([("p1", "token=abcdefgh1"), ("p2", "token=abcdefgh1"), ("p3", "nothing")], "path string, text string")
     ledger = secret_scan.scan_blobs(first).cache()
     assert ledger.count() == 2
     later = first.union(spark.createDataFrame([("p4", "secret=abcdefgh2")], "path string, text string"))
     assert secret_scan.scan_blobs(later, ledger).count() == 1
     assert secret_scan.scan_blobs(later, ledger, rules=secret_scan.RULE_VERSION + 1).count() == 3
+    grown = secret_scan.grown_ledger(later, ledger)
+    assert grown.count() == 3 and secret_scan.scan_blobs(later, grown).count() == 0
+    seen = ledger.withColumn("spans", F.expr("array()").cast(ledger.schema["spans"].dataType))  # what is known isn't scanned again
+    assert {r.path: len(r.spans) for r in secret_scan.find_secrets(later, seen).collect()} == {"p1": 0, "p2": 0, "p3": 0, "p4": 1}
+    monkeypatch.setattr(tables, "HOT_ROWS", 1)
     found = {r.path: len(r.spans) for r in secret_scan.find_secrets(later, ledger).collect()}
     assert found == {"p1": 1, "p2": 1, "p3": 0, "p4": 1}
 
@@ -409,6 +418,7 @@ def brute_classes(rows):
 def test_join_equals_brute_force_with_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROUGH", 16)
     monkeypatch.setattr(ngram_join, "EXACT", 12)
+    monkeypatch.setattr(tables, "HOT_ROWS", 8)
     rnd = random.Random(13)
     rows = [(k, words(rnd, rnd.randint(1, 80))) for k in range(60)] + [(60, None), (61, ""), (62, "one two"), (63, "One, TWO!"), (64, "a b c d e"), (65, "x" * 3)]
     base = words(rnd, 200).split()
@@ -430,10 +440,32 @@ def test_join_equals_brute_force_with_a_large_group(spark, monkeypatch):
     assert ngram_join.ngram_jaccard_join(df.limit(0)).count() == 0 and ngram_join.one_of_each(df.limit(0)).count() == 0
 
 
-def test_depth_shortens_to_the_recall():
-    assert ngram_join.depth_for(0.8, 0.999) == 6 and ngram_join.depth_for(0.8, 0.99999) < 6 and ngram_join.depth_for(0.3, 0.99) < 4
+def test_prefixes_shorten_to_the_recall():
+    assert ngram_join.depth_for(0.8, 0.999) == 6 and ngram_join.depth_for(0.8, 0.99999) < 6 and ngram_join.depth_for(0.5, 0.99) < 4
     d = ngram_join.depth_for(0.5, 0.99)
     assert 1 - (1 - 0.5**d) ** ngram_join.TREES >= 0.99
+    with pytest.raises(ValueError):
+        ngram_join.depth_for(0.1, 0.999)
+    rnd = np.random.default_rng(1)
+    least = ngram_join.least_agreement(0.8)
+    assert 0.6 < least < 0.7 and (rnd.random((200_000, ngram_join.TREES * ngram_join.STEP)) < 0.8).mean(axis=1).min() >= least
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of 304 words, one run of which differs, at 0.78 to 0.84."""
+    rnd, rows = random.Random(31), []
+    for k in range(1500):
+        w = [f"{rnd.choice('abcdefg')}{rnd.randint(0, 10**6)}" for _ in range(304)]
+        other = list(w)
+        for x in range(10, 10 + rnd.randint(24, 29)):
+            other[x] += "x"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    both = [(shingles_of(rows[k][1]), shingles_of(rows[k + 1][1])) for k in range(0, 3000, 2)]
+    linked = [10 * len(a & b) >= 8 * len(a | b) for a, b in both]
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    found = sum(got[2 * k] for k in range(1500))
+    assert all(len(a & b) < 0.84 * len(a | b) for a, b in both) and sum(linked) > 1000
+    assert all(got[2 * k] <= linked[k] for k in range(1500)) and found >= 0.997 * sum(linked)
 
 
 # --- 9
