@@ -29,7 +29,7 @@ WORD = re.compile(r"\w+")
 #: A tree's path begins with STEP minima of its own and goes on with those of the trees after it, in a ring, to DEPTH.
 TREES, STEP, DEPTH = 24, 6, 18
 #: Texts on one side of a block of pairs: by signatures, by whole shingle sets; and characters there.
-ROUGH, EXACT, EXACT_CHARS = 1024, 512, 1 << 22
+ROUGH, EXACT, EXACT_CHARS = 512, 512, 1 << 22
 REMEMBERED = 1_000_000
 MIX = np.random.default_rng(20).integers(1, 2**63, (3, TREES * STEP), dtype=np.uint64) | np.uint64(1)
 
