@@ -53,31 +53,60 @@ def best_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_max(F.array_compact(F.array(*found)))
 
 
-def _absolute(href: Column, url: Column) -> Column:
-    href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
+#: Character references that addresses are written with.
+REFERENCES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#58;", ":"), ("&#x3a;", ":"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&")]
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` parts resolved; what would lead above the root is dropped."""
+    parts = F.split(path, "/")
+    empty = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.least(F.size(kept), F.lit(1))))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, empty, step)
+    ended = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(ended, F.lit("/")).otherwise(""))).otherwise(path)
+
+
+def absolute_url(href: Column, url: Column) -> Column:
+    """The address that ``href`` names in the page at ``url``; null for an empty one, a fragment or another scheme's address."""
+    href = F.trim(href)
+    for written, meant in REFERENCES:
+        href = F.replace(href, F.lit(written), F.lit(meant))
+    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
     site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
+    own = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(own, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
     return (
-        F.when(href == "", None)
+        F.when((href == "") | href.startswith("#"), None)
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("https:"), href))
-        .when(href.startswith("/"), F.concat(site, href))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
+        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(href.startswith("?"), F.concat(site, own, href))
+        .when(href.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target): redirects and canonical links that the pages state themselves."""
+    """(url, target): redirects and canonical links that the pages state themselves, outside comments and scripts.
+
+    Null pages and null urls state none; a page that repeats states its links again; a page of any length is read whole.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    seen = F.regexp_replace(html, r"(?is)<!--(?:.*?-->|.*+)|<(script|style)\b[^<>]*+>(?:.*?</\1\b|.*+)", "")
+    tags = F.regexp_extract_all(seen, F.lit(r"(?i)<(?:link|meta)\b[^<>]*+>"), F.lit(0))
     tags = F.when(html.rlike(r"(?i)canonical|http-equiv"), tags).otherwise(F.array().cast("array<string>"))
     tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.when(tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract(tag, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    value = lambda name: F.coalesce(
+        F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+"([^"]*+)\"""", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+'([^']*+)'""", 1), F.lit("")), F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+([^"'\s>]++)""", 1)
+    )
+    canonical = F.when(F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical"), value("href"))
+    refresh = F.when(F.lower(F.trim(value("http-equiv"))) == "refresh", F.regexp_extract(value("content"), r"""(?i)^[^;,]*+[;,]\s*+url\s*+=\s*+["']?([^"']*+)""", 1))
     return (
         pages.where(F.col("url").isNotNull())
         .select("url", F.explode(tags).alias("tag"))
-        .select("url", _absolute(F.coalesce(canonical, refresh), F.col("url")).alias("target"))
+        .select("url", absolute_url(F.coalesce(canonical, refresh), F.col("url")).alias("target"))
         .where("target is not null")
     )
 

@@ -103,6 +103,46 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
 
 
+def test_links_of_pages(spark):
+    rows = [("http://h/a/b/c.html", "../d"), ("http://h/a/b/", "./x?y=../z"), ("http://h/a", "../../../e/"), ("http://h", "f"), ("http://h/a?q=/b/", "?p=1"), ("http://h/a", "#f"), ("http://h/a", "mailto:x@h"), ("ftp://h/a", "//g/x"), ("http://h/a", "&#x2F;b&amp;c&#38;d"), ("http://h/a/b", ".."), ("http://h/a", ""), ("http://h/a", " HTTP://G/ ")]
+    want = ["http://h/a/d", "http://h/a/b/x?y=../z", "http://h/e/", "http://h/f", "http://h/a?p=1", None, None, "ftp://g/x", "http://h/b&c&d", "http://h/", None, "HTTP://G/"]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, url string, href string").select("k", url_filters.absolute_url(F.col("href"), F.col("url")).alias("t")).collect()
+    assert [r.t for r in sorted(got)] == want
+    pages = [
+        ("http://h/1", '<!-- <link rel=canonical href=/no> --><link href="/a b" rel="nofollow canonical"><meta content="0;URL=\'/m\'" http-equiv=refresh>'),
+        ("http://h/2", "<script>'<link rel=canonical href=/no>'</script><link rel=stylesheet href=/canonical>"),
+        ("http://h/3", "<!-- <link rel=canonical href=/no>"), ("http://h/4", "<link rel=canonical " * 40_000), ("http://h/5", "<!--" * 200_000 + "canonical"), ("http://h/6", None), (None, "<link rel=canonical href=/no>"), ("http://h/" + "x" * 300_000, "<link rel=canonical href=/7>"),
+    ]
+    df = spark.createDataFrame(pages, "url string, html string").withColumns({"tag": F.lit("clash"), "target": F.lit("clash")})
+    assert sorted((r.url[:10], r.target) for r in url_filters.page_links(df).collect()) == [("http://h/1", "http://h/a b"), ("http://h/1", "http://h/m"), ("http://h/x", "http://h/7")]
+
+
+def test_link_graph_equals_brute_force(spark):
+    rnd = random.Random(37)
+    urls = [f"http://{rnd.choice(['a.org', 'b.com', 'c.net', 'example.org'])}/{rnd.choice(['es', 'de', 'fr', 'x'])}/{k}" for k in range(150)]
+    pages = [(k, u, f'<link rel=canonical href="{rnd.choice(urls)}">' if rnd.random() < 0.5 else "") for k, u in enumerate(urls)]
+    parent = {u: u for u in urls}
+
+    def root(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    for _, u, h in pages:
+        if h:
+            parent[root(u)] = root(re.search('"(.*?)"', h)[1])
+
+    def rule(u):
+        host, path = re.fullmatch("http://([^/]*)(.*)", u).groups()
+        fit = [(len(h + p), a) for a, h, p in queries.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1] if fit else None
+
+    bad = {root(u) for u in urls if rule(u) == "block"}
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = {r.url: r.verdict for r in url_filters.judge_urls(df.drop("html"), url_filters.page_links(df), queries.RULES).collect()}
+    assert got == {u: rule(u) or ("block" if root(u) in bad else "allow") for u in urls} and len(set(got.values())) == 2
+
+
 # --- 2
 
 
