@@ -66,29 +66,57 @@ def fingerprint(text: str, closes: Closes | None = None) -> str:
     return root + ":" + "/".join(s[:8] + "=" + ",".join(".".join(leaves) for _, leaves in ps) for s, ps in sections)
 
 
-def _leaves(print_: str) -> Counter:
-    return Counter(x for s in print_.partition(":")[2].split("/") for p in s.partition("=")[2].split(",") for x in p.split("."))
+def _tree(print_: str) -> list[str]:
+    return print_.partition(":")[2].split("/")
 
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the share of leaves in common (Dice over both multisets, below 1)."""
+def _apart(ours: list[str], theirs: list[str]) -> tuple[list[int], list[int]]:
+    """Places of the branches of each side that the other does not hold, a branch as often as it is there."""
+    left, right = Counter(ours), Counter(theirs)
+    only_a, only_b = left - right, right - left
+
+    def places(branches: list[str], only: Counter) -> list[int]:
+        out = []
+        for k, x in enumerate(branches):
+            if only[x] > 0:
+                only[x] -= 1
+                out.append(k)
+        return out
+
+    return places(ours, only_a), places(theirs, only_b)
+
+
+def _paragraphs(sections: list[str], places: list[int]) -> tuple[list[tuple[int, int]], list[str]]:
+    found = [((i, k), p) for i in places for k, p in enumerate(sections[i].partition("=")[2].split(","))]
+    return [at for at, _ in found], [p for _, p in found]
+
+
+def compared(a: str, b: str) -> tuple[float, list[tuple[int, int]]]:
+    """The likeness of two fingerprints and the (section, paragraph) numbers of a that b's tree does not hold.
+
+    Equal roots have the likeness 1. Else the trees are walked down: sections that both hold are matched whole, then
+    paragraphs of the other sections, then leaves of the other paragraphs; the likeness is the share of matched leaves
+    (Dice, below 1). It is the share of leaves in common over both multisets, whatever branches they stand in.
+    """
     if a.partition(":")[0] == b.partition(":")[0]:
-        return 1.0
-    x, y = _leaves(a), _leaves(b)
-    return min(2 * (x & y).total() / (x.total() + y.total()), 1 - 1e-9)
+        return 1.0, []
+    x, y = _tree(a), _tree(b)
+    all_a, all_b = (len(t) + sum(s.count(".") + s.count(",") for s in t) for t in (x, y))
+    p, q = _apart(x, y)
+    at, ours = _paragraphs(x, p)
+    _, theirs = _paragraphs(y, q)
+    p, q = _apart(ours, theirs)
+    left, right = (Counter(leaf for k in places for leaf in branches[k].split(".")) for places, branches in ((p, ours), (q, theirs)))
+    matched = all_a - left.total() + (left & right).total()
+    return min(2 * matched / (all_a + all_b), 1 - 1e-9), [at[k] for k in p]
+
+
+def likeness(a: str, b: str) -> float:
+    return compared(a, b)[0]
 
 
 def differing_branches(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) numbers in a whose leaves b's tree does not hold: where an edit is. Equal branches are skipped whole."""
-    if a.partition(":")[0] == b.partition(":")[0]:
-        return []
-    held = [s.partition("=") for s in b.partition(":")[2].split("/")]
-    sections, paragraphs = {(s, p) for s, _, p in held}, {p for _, _, ps in held for p in ps.split(",")}
-    out = []
-    for i, (s, _, ps) in enumerate(s.partition("=") for s in a.partition(":")[2].split("/")):
-        if (s, ps) not in sections:
-            out += [(i, k) for k, p in enumerate(ps.split(",")) if p not in paragraphs]
-    return out
+    return compared(a, b)[1]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -107,17 +135,23 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (bucket, rank, doc_id, text, only_next) sorted so that each row's successor follows in its partition.
 
     Documents stand by descending doc_id (null last; equal ids by a hash of the text) in buckets of about equal
-    size. The first document of a bucket is sent to the bucket before too, the very first to the last bucket, as
-    rows with ``only_next``. The driver holds one bound and one id for each bucket.
+    size; an id that many rows share is cut at even steps of that hash (rows equal in id and text stay together). The first document of a bucket is sent to the
+    bucket before too, the very first to the last bucket, as rows with ``only_next``. The driver holds one bound and
+    one id for each bucket.
     """
     low = -(2**63)
     rows = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("doc_id"), F.lit(low)).cast("long").alias("_order"))
     ids = rows.select((-F.col("_order").cast("double")).alias("x"))
-    bounds = sorted(set(ids.approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)))
+    asked = ids.approxQuantile("x", [k / parts for k in range(1, parts)], 0.2 / parts)
+    bounds = sorted(set(asked))
+    # an id at several quantiles has that many buckets' rows: its own bucket, between its bound and the next, is cut again
+    often = {x: n for x, n in Counter(asked).items() if n > 1}
+    steps = max(often.values(), default=1)
     splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
     rows = rows.withColumn("x", -F.col("_order").cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(rows).withColumn("bucket", F.col("bucket").cast("int")).drop("x")
-    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    rows = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(rows).withColumn("_tie", F.xxhash64("text"))
+    step = F.least(F.floor((F.lit(float(2**63)) - F.col("_tie").cast("double")) / F.lit(2.0**64) * steps), F.lit(steps - 1))
+    rows = rows.withColumn("bucket", (F.col("bucket") * steps + F.when(F.col("x").isin(list(often)), step).otherwise(F.lit(steps - 1))).cast("int")).drop("x")
     keys = rows.groupBy("bucket").agg(F.max(F.struct("_order", "_tie")).alias("m")).collect()
     heads = sorted((r["bucket"], r["m"][0], r["m"][1]) for r in keys)
     if not heads:
@@ -138,11 +172,12 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def edited_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, changed) for each row of docs.
 
     The edited text is the text with its last floor(n / 3) code points replaced by the first as many (or all) of the
     next document's by descending doc_id, after the last the first. A sole document is its own next. Equal ids
-    follow each other, null ids come last; null text counts as empty; other columns are ignored.
+    follow each other, null ids come last; null text counts as empty; other columns are ignored. ``changed`` names the
+    branches of the edited text's tree that the text's tree lacks, as section.paragraph, comma-joined.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,13 +193,14 @@ def edited_prints(docs: DataFrame) -> DataFrame:
                     edited = its[: len(its) - cut] + text[:cut]
                     new = fingerprint(edited, closes)
                     sha = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
-                    out.append((its_id, len(its), sha, its_print, new, likeness(its_print, new), likeness(its_print, own)))
+                    near, changed = compared(new, its_print)
+                    out.append((its_id, len(its), sha, its_print, new, near, likeness(its_print, own), ",".join(f"{i}.{k}" for i, k in changed)))
                 held = None if only_next else (bucket, doc_id, text, own)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed"])
 
     rows = with_next(docs, 2 * shuffle_partitions(docs.sparkSession))
     # ids as text: a null among numbers would turn them to floats
     made = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changed string"
     )
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from landfold.llm.common import numbered, shuffle_partitions, text_or_empty
 
+#: Sources that the driver holds a weight for, and blocks that it walks over.
+MOST_SOURCES, MOST_BLOCKS = 100_000, 1 << 20
+
 
 def whole_shares(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
     """Weights as whole shares that sum to the cycle; at least one each; largest remainders are rounded up."""
@@ -70,9 +73,19 @@ def cycle_table(shares: Mapping[str, int]) -> list[tuple[str, int, int]]:
 
 
 def source_chars(docs: DataFrame) -> dict[str, int]:
-    """A source's characters, one more for each row. One row a source reaches the driver."""
-    sums = docs.groupBy(source_name().alias("s")).agg(F.sum(F.length(text_or_empty()) + 1).alias("c"))
-    return {r["s"]: r["c"] for r in sums.collect()}
+    """A source's characters, one more for each row. One row a source reaches the driver; more than MOST_SOURCES are an error."""
+    sums = docs.groupBy(source_name().alias("s")).agg(F.sum(F.length(text_or_empty()) + 1).alias("c")).limit(MOST_SOURCES + 1).collect()
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: a source of the mix is a name with a target weight, group finer ones first")
+    return {r["s"]: r["c"] for r in sums}
+
+
+def block_size(chars: Mapping[str, int], least: int, most: int | None = None) -> int:
+    """``least`` doubled until all sources together make at most ``most`` (MOST_BLOCKS) blocks, so that the driver's walk is bounded."""
+    size, bound = least, max(MOST_BLOCKS if most is None else most, 2 * len(chars))
+    while sum(-(-c // size) for c in chars.values()) > bound:
+        size *= 2
+    return size
 
 
 def tempered_weights(chars: Mapping[str, int], power: float = 0.5) -> dict[str, float]:
@@ -92,7 +105,8 @@ def mixed_schedule(docs: DataFrame, weights: Mapping[str, float] | None = None,
     block's place in the interleaving. Sources without a weight (weights given) get the smallest given one, none is
     dropped; default weights are ``tempered_weights``. When a source has run out its slots go to blocks that are
     released, or stay empty, so that the others keep their ratios. Weights are not rounded; only if a ``cycle`` is
-    given, they become whole shares of so many slots. One row a source and one a block (64 KB) are on the driver.
+    given, they become whole shares of so many slots. One row a source and one a block are on the driver: at most
+    MOST_SOURCES and MOST_BLOCKS, as blocks double in size beyond (64 KB up to some 60 GB of text, then 128 KB ...).
     Null text counts as empty, null source as the source ''. Equal rows are one row with ``n_rows`` of them, which
     share a block; rows with a null doc_id are told apart by text and source. No documents give no rows.
     """
@@ -106,6 +120,7 @@ def mixed_schedule(docs: DataFrame, weights: Mapping[str, float] | None = None,
         if cycle < len(found):
             raise ValueError(f"{len(found)} sources do not fit a cycle of {cycle} slots")
         found = whole_shares(found, cycle)
+    block_chars = block_size(chars, block_chars)
     placed = block_table(found, {s: -(-c // block_chars) for s, c in chars.items()})
     names = ["source", "block_no", "release", "deadline", "slot"]
     columns = zip(*placed) if placed else [[]] * 5

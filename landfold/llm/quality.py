@@ -123,7 +123,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> T
     """Trees fitted to at most ``sample`` labelled documents, chosen by a hash of doc_id among those not held out.
 
     Only this fit is bounded; statistics of the sampled texts are taken on the executors, and rows of ``FEATURES``
-    numbers reach the driver. Labels other than 0 and 1 are ignored; of several labels of one id the smallest holds.
+    numbers reach the driver. Labels other than 0 and 1 are ignored; of several labels of one id the smallest holds, of
+    several texts of one id the first in order, so that the trees do not hang on how rows arrive.
     """
     chosen = (
         labels.where(~held_out() & F.col("quality").isin(0, 1))
@@ -140,9 +141,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> T
     rows = (
         docs.select("doc_id", text_or_empty().alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-        .select(F.col("_label").cast("int").alias("label"), "text")
+        .groupBy("doc_id")
+        .agg(F.min(F.col("_label").cast("int")).alias("label"), F.min("text").alias("text"))
+        .select("label", "text")
         .mapInPandas(run, "label int, x array<double>")
-        .limit(2 * sample)
         .toPandas()
     )
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), FEATURES)

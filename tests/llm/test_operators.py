@@ -245,6 +245,36 @@ def test_weights_are_not_rounded():
     assert done["a"] > 8000
 
 
+def test_every_slot_by_a_plain_walk(spark, odd_docs, monkeypatch):
+    """The block and slot of each document, made again row by row."""
+    for bound in (10**6, 12):
+        monkeypatch.setattr(mixing, "MOST_BLOCKS", bound)
+        got = mixing.mixed_schedule(odd_docs, block_chars=300).collect()
+        rows = collections.Counter((r.doc_id, r.source or "", r.text or "") for r in odd_docs.collect())
+        chars = collections.Counter()
+        for (_, s, t), n in rows.items():
+            chars[s] += n * (len(t) + 1)
+        size = mixing.block_size(chars, 300)
+        assert (size > 300) == (bound == 12)
+        weight = {s: Fraction(math.sqrt(c)) for s, c in chars.items()}
+        total = sum(weight.values())
+        left = {s: -(-c // size) for s, c in chars.items()}
+        done, slot, placed = collections.Counter(), 0, {}
+        while any(done[s] < n for s, n in left.items()):
+            ready = [(math.ceil((done[s] + 1) * total / weight[s]), s) for s in left if done[s] < left[s] and math.floor(done[s] * total / weight[s]) <= slot]
+            if ready:
+                s = min(ready)[1]
+                placed[s, done[s]] = slot
+                done[s] += 1
+            slot += 1
+        assert all(placed[r.source, r.block_no] == r.slot for r in got) and sum(r.n_rows for r in got) == sum(rows.values())
+        by_key = {(r.doc_id, r.source, r.key): r for r in got}
+        assert len(by_key) == len(got) == len(rows)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mixed_schedule(odd_docs)
+
+
 def test_many_sources_keep_their_weights(spark):
     weights = {f"s{k:04d}": 1.0 + k % 7 for k in range(1200)}
     docs = spark.createDataFrame([(k * 9 + j, "x" * 9, s) for k, s in enumerate(weights) for j in range(9)], "doc_id long, text string, source string")
@@ -511,20 +541,39 @@ def test_recall_just_above_the_threshold(spark):
 # --- 9
 
 
+def flat_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (collections.Counter(leaf for _, ps in merkle.merkle_tree(t)[1] for _, leaves in ps for leaf in leaves) for t in (a, b))
+    return min(2 * (x & y).total() / (x.total() + y.total()), 1 - 1e-9)
+
+
 def test_edited_texts_and_order(spark, odd_docs):
-    rows = [(r.doc_id, r.text or "") for r in odd_docs.collect()]
-    got = merkle.edited_prints(with_clashes(odd_docs)).collect()
-    assert len(got) == len(rows)
-    order = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0])
-    known = {d: (t, (order + [r for r in rows if r[0] is None])[k + 1]) for k, (d, t) in enumerate(order[:-1])}
-    for r in got:
-        if r.doc_id in known and r.doc_id not in (1, 5):
-            t, (_, nxt) = known[r.doc_id]
+    rnd = random.Random(41)
+    many = docs_of(spark, [(None if k % 2 else 77, words(rnd, 15) + "\n" * (k % 3) + words(rnd, 9), "s") for k in range(120)])  # two hot ids
+    for docs in (odd_docs, odd_docs.union(many), many):
+        rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+        got = merkle.edited_prints(with_clashes(docs)).collect()
+        assert collections.Counter((r.doc_id, r.fingerprint) for r in got) == collections.Counter((d, merkle.fingerprint(t)) for d, t in rows)
+        # the successor of each row is read off its edit; ids descend, nulls last, and each row follows one other
+        by_print = {merkle.fingerprint(t): t for _, t in rows}
+        ids = sorted((-r[0] if r[0] is not None else math.inf) for r in rows)
+        after = {}
+        for k in range(len(ids)):
+            after.setdefault(ids[k], set()).update((ids[k], ids[(k + 1) % len(ids)]))
+        by_id = collections.defaultdict(set)
+        for d, t in rows:
+            by_id[-d if d is not None else math.inf].add(t)
+        for r in got:
+            t = by_print[r.fingerprint]
             cut = len(t) // 3
-            edited = t[: len(t) - cut] + nxt[:cut]
-            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert r.fingerprint == merkle.fingerprint(t) and r.edited_fingerprint == merkle.fingerprint(edited)
-            assert r.near_edited == merkle.likeness(merkle.fingerprint(t), merkle.fingerprint(edited)) and 0 <= r.near_next <= 1
+            texts = {u for i in after[-r.doc_id if r.doc_id is not None else math.inf] for u in by_id[i]}
+            fit = [u for u in texts if r.edited_sha256 == hashlib.sha256((t[: len(t) - cut] + u[:cut]).encode()).hexdigest()]
+            assert fit and r.n_chars == len(t)
+            edited = t[: len(t) - cut] + fit[0][:cut]
+            assert r.edited_fingerprint == merkle.fingerprint(edited) and abs(r.near_edited - flat_likeness(t, edited)) < 1e-12
+            assert any(abs(r.near_next - flat_likeness(t, u)) < 1e-12 for u in fit)
+            assert (r.changed == "") == (r.near_edited == 1) or len(edited) < len(t)
     one = merkle.edited_prints(docs_of(spark, [(7, "abc def ghi", "s")])).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abc def abc").hexdigest() and one[0].near_next == 1
     assert merkle.edited_prints(odd_docs.limit(0)).count() == 0
