@@ -119,16 +119,30 @@ def to_tiles(px: DataFrame, halo: int, tile: int) -> DataFrame:
     return px.withColumn("tx", F.explode(span("x", "width"))).withColumn("ty", F.explode(span("y", "height")))
 
 
-def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+def tile_grid(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """rows(site_id, ...) once for every tile of their site's raster."""
+    grid = sizes.withColumn("tx", F.explode(F.expr(f"sequence(0L, (width - 1) div {tile})"))).withColumn("ty", F.explode(F.expr(f"sequence(0L, (height - 1) div {tile})")))
+    return rows.join(grid.select("site_id", "tx", "ty"), "site_id")
+
+
+def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256, carry: tuple[str, ...] = (), windows: DataFrame | None = None) -> DataFrame:
     """(site_id, scene_id, x, y, carried columns without nulls, seven features): the same features in one exchange.
 
     Each pixel goes to its own tile and, within the halo, to the neighbouring ones; a task computes one tile with
     cumulative sums. The halo covers the widest window, so that the tile's size does not change results.
+    ``windows``: one row a scene (site_id, scene_id, smooth, texRadius), with radii of its own; its further columns,
+    numbers, are passed on. Scenes without a row take the radii of the call.
     """
-    halo = 2 * tex_radius + 1 + max(smooth, tex_radius)
+    more, widest = [], (smooth, tex_radius)
+    if windows is not None:
+        more = [c for c in windows.columns if c not in (*K, "smooth", "texRadius")]
+        top = windows.agg(F.max("smooth"), F.max("texRadius")).first()
+        widest = tuple(max(int(t or 0), w) for t, w in zip(top, widest))
+    halo = 2 * widest[1] + 1 + max(widest)
     dealt = to_tiles(bands.select(*PIXEL, "lum", "chroma", "green", *carry).join(sizes, "site_id"), halo, tile)
+    names = [*PIXEL, *carry, *FEATURES, *more]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def made(g: pd.DataFrame, radii: tuple[int, int]) -> pd.DataFrame:
         x0, y0 = g["x"].min(), g["y"].min()
         h, w = int(g["y"].max() - y0 + 1), int(g["x"].max() - x0 + 1)
         at = (g["y"].to_numpy() - y0, g["x"].to_numpy() - x0)
@@ -143,15 +157,25 @@ def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radiu
         border = np.zeros((h, w), bool)
         border[[k for k in (0, height - 1) if y0 <= k < y0 + h] - y0, :] = True
         border[:, [k for k in (0, width - 1) if x0 <= k < x0 + w] - x0] = True
-        found = _tile_features(*planes, inside, border, smooth, tex_radius)
+        found = _tile_features(*planes, inside, border, *radii)
         own = ((g["x"] // tile == tx) & (g["y"] // tile == ty)).to_numpy()
         out = g.loc[own, [*PIXEL, *carry]].copy()
         for name, a in zip(FEATURES, found):
             out[name] = a[at][own]
         return out
 
+    def by_scene(g: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame(columns=names)
+        out = made(g, (int(own["smooth"].iloc[0]), int(own["texRadius"].iloc[0])) if len(own) else (smooth, tex_radius))
+        return out.assign(**{c: own[c].iloc[0] if len(own) else None for c in more})[names]
+
     schema = ", ".join(f"{c} {t}" for c, t in dealt.select(*PIXEL, *carry).dtypes) + ", " + ", ".join(f"{f} double" for f in FEATURES)
-    return dealt.groupBy(*K, "tx", "ty").applyInPandas(run, schema)
+    tiles = dealt.groupBy(*K, "tx", "ty")
+    if windows is None:
+        return tiles.applyInPandas(lambda g: made(g, (smooth, tex_radius)), schema)
+    schema += "".join(f", {c} {t}" for c, t in windows.select(*more).dtypes)
+    return tiles.cogroup(tile_grid(windows, sizes, tile).groupBy(*K, "tx", "ty")).applyInPandas(by_scene, schema)
 
 
 def close_open(a: np.ndarray, r: int) -> np.ndarray:

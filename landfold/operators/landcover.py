@@ -16,18 +16,18 @@ from landfold.operators.stats import otsu_threshold
 from landfold.tables import written
 
 CLASSES = ["forest", "sparse", "open", "built"]
-#: Default parameters; the last two depend on whether the scene is monochrome.
+#: Default parameters; those of GRAY_DEFAULTS depend on whether the scene is monochrome.
 DEFAULTS = {"smooth": 3, "texRadius": 2, "bias": 0.0, "clean": 2, "minRegionPx": 80, "varFloor": 9.0, "strictness": 4.0, "majority": 2}
 GRAY_DEFAULTS = {"builtMin": (200.0, 190.0), "builtChromaMax": (255.0, 24.0)}
 
 
-def resolve_params(scenes: DataFrame, gray: DataFrame) -> DataFrame:
+def resolve_params(scenes: DataFrame, gray: DataFrame, defaults: dict[str, float] = DEFAULTS) -> DataFrame:
     """scenes(params map<string,double>) with one column a parameter: the scene's own value or the default."""
     s = scenes.join(gray, K)
     own = lambda name: F.try_element_at("params", F.lit(name))
-    plain = {n: F.coalesce(own(n), F.lit(float(v))) for n, v in DEFAULTS.items()}
+    plain = {n: F.coalesce(own(n), F.lit(float(v))) for n, v in defaults.items()}
     by_gray = {n: F.coalesce(own(n), F.when(F.col("grayscale"), a).otherwise(b)) for n, (a, b) in GRAY_DEFAULTS.items()}
-    return s.withColumns({**plain, **by_gray, "forestMax": own("forestMax")}).drop("params")
+    return s.withColumns({**plain, **by_gray, "forestMax": own("forestMax"), "coastExclude": F.coalesce(own("coastExclude"), F.lit(1.0))}).drop("params")
 
 
 def samples_for_scene(samples: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -36,7 +36,16 @@ def samples_for_scene(samples: DataFrame, scenes: DataFrame) -> DataFrame:
     return s.withColumn("r", F.coalesce("r", F.lit(8)))
 
 
-def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float = 9.0) -> tuple[DataFrame, DataFrame]:
+def _floored(variances: DataFrame, var_floor: float | DataFrame) -> DataFrame:
+    """variances(site_id, scene_id, va, ...) with no entry of va below the floor: one number, or (site_id, scene_id, varFloor)."""
+    if isinstance(var_floor, DataFrame):
+        rows = variances.join(var_floor.select(*K, "varFloor"), K, "left").withColumn("varFloor", F.coalesce("varFloor", F.lit(DEFAULTS["varFloor"])))
+    else:
+        rows = variances.withColumn("varFloor", F.lit(float(var_floor)))
+    return rows.withColumn("va", F.transform("va", lambda v: F.greatest(v, F.col("varFloor")))).drop("varFloor")
+
+
+def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float | DataFrame = 9.0) -> tuple[DataFrame, DataFrame]:
     """Prototypes (site_id, scene_id, class, circle_id, n, mu) and class variances (site_id, scene_id, class, n, va).
 
     A circle is a mean of its pixels' features, if it has at least 4; a class's variance is pooled over its circles.
@@ -46,14 +55,14 @@ def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame,
     seen = dots.join(features, PIXEL)
     per = seen.groupBy(*K, "class", "circle_id").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(f) for f in FEATURES)).alias("mu"), F.array(*(F.var_pop(f) for f in FEATURES)).alias("_v"))
     per = per.where("n >= 4")
-    pooled = [F.greatest(F.sum(F.col("_v")[k] * F.col("n")) / F.sum("n"), F.lit(float(var_floor))) for k in range(len(FEATURES))]
-    return per.drop("_v"), per.groupBy(*K, "class").agg(F.array(*pooled).alias("va"), F.sum("n").alias("n"))
+    pooled = [F.sum(F.col("_v")[k] * F.col("n")) / F.sum("n") for k in range(len(FEATURES))]
+    return per.drop("_v"), _floored(per.groupBy(*K, "class").agg(F.array(*pooled).alias("va"), F.sum("n").alias("n")), var_floor)
 
 
-def share_variance(variances: DataFrame, var_floor: float = 9.0) -> DataFrame:
+def share_variance(variances: DataFrame, var_floor: float | DataFrame = 9.0) -> DataFrame:
     """(site_id, scene_id, va): one variance over all classes, weighted by their pixels."""
-    shared = [F.greatest(F.sum(F.col("va")[k] * F.col("n")) / F.sum("n"), F.lit(float(var_floor))) for k in range(len(FEATURES))]
-    return variances.groupBy(*K).agg(F.array(*shared).alias("va"))
+    shared = [F.sum(F.col("va")[k] * F.col("n")) / F.sum("n") for k in range(len(FEATURES))]
+    return _floored(variances.groupBy(*K).agg(F.array(*shared).alias("va")), var_floor)
 
 
 def prototype_scores(features: DataFrame, prototypes: DataFrame, shared: DataFrame) -> DataFrame:
@@ -125,13 +134,15 @@ def clean_forest(px: DataFrame, clean: int = 2) -> DataFrame:
     return px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_c", "_f")
 
 
-def clean_regions(px: DataFrame, min_region_px: int = 80) -> DataFrame:
+def clean_regions(px: DataFrame, min_region_px: int | Column = 80) -> DataFrame:
     """px(land, forest, sparse, built) with ``open``: small open regions become sparse; then small regions of that sparse become forest."""
+    own = isinstance(min_region_px, Column)
     px = px.withColumn("open", F.expr("land and not forest and not built and not sparse"))
-    if min_region_px > 1:
+    if own or min_region_px > 1:
+        half = F.greatest(F.floor(min_region_px / 2), F.lit(1)) if own else max(1, min_region_px // 2)
         px = regions.remove_small_regions(px, "open", min_region_px, 8, "_o")
         px = px.withColumn("sparse", F.expr("sparse or (open and not _o)")).withColumn("open", F.col("_o")).drop("_o")
-        px = regions.remove_small_regions(px, "sparse", max(1, min_region_px // 2), 8, "_s")
+        px = regions.remove_small_regions(px, "sparse", half, 8, "_s")
         px = px.withColumn("forest", F.expr("forest or (sparse and not _s)")).withColumn("sparse", F.col("_s")).drop("_s")
     return px
 
@@ -145,13 +156,14 @@ def flags_of(px: DataFrame) -> DataFrame:
     return px.withColumns({c: F.coalesce(F.col("cls") == c, F.lit(False)) for c in ("forest", "sparse", "built")})
 
 
-def scene_models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float = 9.0) -> DataFrame:
-    """One row a scene: arrays of prototypes (p_forest ...), va, parameters, by_samples, and Otsu's threshold on land."""
+def scene_models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row a scene: arrays of prototypes (p_forest ...), va, its own parameters, by_samples, and Otsu's threshold on land."""
+    var_floor = params.select(*K, "varFloor")
     prototypes, variances = train_prototypes(features, samples, sizes, var_floor)
     known = F.count_if(F.col("class") == "forest") * F.count_if(F.col("class") == "open") > 0
     lists = [F.collect_list(F.when(F.col("class") == c, F.col("mu"))).alias(f"p_{c}") for c in CLASSES]
     model = prototypes.groupBy(*K).agg(*lists, known.alias("by_samples")).join(share_variance(variances, var_floor), K)
-    wanted = params.select(*K, "bias", "strictness", "builtMin", "builtChromaMax", "forestMax")
+    wanted = params.select(*K, "bias", "strictness", "builtMin", "builtChromaMax", "forestMax", "majority", "clean")
     return wanted.join(model, K, "left").join(otsu_threshold(features, "f_lum", "land"), K).withColumn("by_samples", F.coalesce("by_samples", F.lit(False)))
 
 
@@ -177,22 +189,24 @@ def _decided(f: dict[str, np.ndarray], m: dict) -> np.ndarray:
     return np.where(best == 3, 3, np.where(margin < m["strictness"], 0, best))
 
 
-def class_tiles(features: DataFrame, models: DataFrame, sizes: DataFrame, majority: int = 2, clean: int = 2, tile: int = 256) -> DataFrame:
-    """(site_id, scene_id, x, y, land, coast, water, by_samples, forest, sparse, built): scores, classes, majority and cleaning.
+def class_tiles(features: DataFrame, models: DataFrame, sizes: DataFrame, tile: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(site_id, scene_id, x, y, land, coast, water, carried columns, by_samples, forest, sparse, built): scores, classes, majority and cleaning.
 
-    One exchange of pixels: a task has one tile with a halo as wide as all windows in turn, and its scene's model row.
-    The column form of the same steps is ``classes_by_columns``; the tile's size does not change a result.
+    One exchange of pixels: a task has one tile with a halo as wide as all windows in turn, and its scene's model row,
+    with the scene's own radii of majority and cleaning; the halo covers the widest of them. The column form of the
+    same steps is ``classes_by_columns``; the tile's size does not change a result.
     """
     px = features.join(sizes, "site_id")
-    dealt = to_tiles(px, majority + 4 * max(clean, 0), tile).drop("width", "height")
-    grid = sizes.withColumn("tx", F.explode(F.expr(f"sequence(0L, (width - 1) div {tile})"))).withColumn("ty", F.explode(F.expr(f"sequence(0L, (height - 1) div {tile})")))
-    models = models.join(grid.select("site_id", "tx", "ty"), "site_id")
-    shown = [*PIXEL, "land", "coast", "water"]
+    widest = models.agg(F.max(F.greatest("majority", F.lit(0)) + 4 * F.greatest("clean", F.lit(0)))).first()[0] or 0
+    dealt = to_tiles(px, int(widest), tile).drop("width", "height")
+    models = focal.tile_grid(models, sizes, tile)
+    shown = [*PIXEL, "land", "coast", "water", *carry]
 
     def run(g: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(model):
             return pd.DataFrame(columns=names)
         m = model.iloc[0].to_dict()
+        majority, clean = int(m["majority"]), int(m["clean"])
         x, y, land = (g[c].to_numpy() for c in ("x", "y", "land"))
         at = (y - y.min(), x - x.min())
         cls = np.where(land, _decided({n: g[n].to_numpy() for n in FEATURES}, m), -1)
@@ -230,16 +244,19 @@ def classes_by_columns(features: DataFrame, params: DataFrame, samples: DataFram
     return clean_forest(sampled.unionByName(plain), clean)
 
 
-def classify_scene(bands: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, clean: int = 2, min_region_px: int = 80, majority: int = 2, var_floor: float = 9.0, tile: int = 256) -> DataFrame:
+def classify_scene(bands: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, tile: int = 256) -> DataFrame:
     """(site_id, scene_id, x, y, land, coast, water, forest, sparse, open, built, by_samples): the whole job for all scenes.
 
-    bands: with water and coast. Scenes with forest and open samples go by prototypes and majority, the others by
-    threshold. Window sizes and region sizes are the same for all scenes of a call.
+    bands: with water and coast; params: as from ``resolve_params``, and every scene goes by its own: windows, floor of
+    the variance, bias, cleaning, majority, region sizes and, where coastExclude is 0, with its coast as land. Scenes
+    with forest and open samples go by prototypes and majority, the others by threshold.
     """
-    px = focal.feature_tiles(bands, sizes, tile=tile, carry=("water", "coast"))
-    features = written(px.withColumn("land", F.expr("not water and not coast")), "features")
-    models = scene_models(features, params, samples, sizes, var_floor)
-    return clean_regions(class_tiles(features, models, sizes, majority, clean, tile), min_region_px)
+    windows = params.select(*K, "smooth", "texRadius", "coastExclude", "minRegionPx")
+    px = focal.feature_tiles(bands, sizes, tile=tile, carry=("water", "coast"), windows=windows)
+    px = px.withColumn("coast", F.expr("coast and coastExclude <> 0")).withColumn("land", F.expr("not water and not coast"))
+    features = written(px.drop("coastExclude"), "features")
+    models = scene_models(features, params, samples, sizes)
+    return clean_regions(class_tiles(features, models, sizes, tile, ("minRegionPx",)), F.col("minRegionPx")).drop("minRegionPx")
 
 
 def scene_params(bands: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -103,24 +103,28 @@ def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*K, "region").agg(F.count(F.lit(1)).alias("size"))
 
 
-def _keep(px: DataFrame, col: str, weight: Column, least: float, conn: int, out: str, tile: int) -> DataFrame:
-    """px with ``out``: the pixels of regions whose sum of weights is at least ``least``.
+def _keep(px: DataFrame, col: str, weight: Column, least: float | Column, conn: int, out: str, tile: int) -> DataFrame:
+    """px with ``out``: the pixels of regions whose sum of weights is at least ``least`` (a column: equal in a scene).
 
     Pixels are exchanged once, by tile, and written; weights are summed for each piece of a region inside a tile, and
     only pieces meet other pieces. So px may be read any number of times after.
     """
-    labelled = written(label_pixels(px.withColumn("_weight", weight.cast("double")), col, conn, tile), "regions")
-    pieces = labelled.where("_local >= 0").groupBy(*K, "_local").agg(F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("_sum"))
+    own = isinstance(least, Column)
+    px = px.withColumn("_weight", weight.cast("double"))
+    px = px.withColumn("_least", least.cast("double")) if own else px
+    labelled = written(label_pixels(px, col, conn, tile), "regions")
+    limit = F.max("_least") if own else F.lit(float(least))
+    pieces = labelled.where("_local >= 0").groupBy(*K, "_local").agg(F.coalesce(F.sum("_weight"), F.lit(0.0)).alias("_sum"), limit.alias("_limit"))
     pieces = pieces.join(_roots(labelled, conn, tile), [*K, "_local"], "left").withColumn("root", F.coalesce("root", "_local"))
-    kept = pieces.groupBy(*K, "root").agg(F.sum("_sum").alias("_sum")).where(F.col("_sum") >= least)
+    kept = pieces.groupBy(*K, "root").agg(F.sum("_sum").alias("_sum"), F.max("_limit").alias("_limit")).where("_sum >= _limit")
     kept = pieces.join(kept.select(*K, "root"), [*K, "root"], "left_semi").select(*K, "_local", F.lit(True).alias("_whole"))
     px = labelled.join(written(kept, "kept"), [*K, "_local"], "left")
-    return px.withColumn(out, F.coalesce("_whole", F.lit(False))).drop("_local", "_weight", "_whole")
+    return px.withColumn(out, F.coalesce("_whole", F.lit(False))).drop("_local", "_weight", "_whole", "_least")
 
 
-def remove_small_regions(px: DataFrame, col: str, min_size: float, conn: int = 8, out: str = "mask", tile: int = TILE) -> DataFrame:
-    """px with the mask less its regions of fewer than min_size pixels; min_size <= 1 copies."""
-    if min_size <= 1:
+def remove_small_regions(px: DataFrame, col: str, min_size: float | Column, conn: int = 8, out: str = "mask", tile: int = TILE) -> DataFrame:
+    """px with the mask less its regions of fewer than min_size pixels (a column: of each scene); min_size <= 1 copies."""
+    if not isinstance(min_size, Column) and min_size <= 1:
         return px.withColumn(out, F.col(col))
     return _keep(px, col, F.lit(1), min_size, conn, out, tile)
 

@@ -21,9 +21,9 @@ def land_cover(bands: DataFrame, scenes: DataFrame, samples: DataFrame, sizes: D
     """Classes of every pixel of every scene. The bands feed water, coast and features, so they are written once."""
     bands = written(bands.select(*K, "x", "y", "lum", "chroma", "green", "blue"), "bands")
     coast = water.coastal_zone(bands, site_water(bands, sizes, p))
-    params = landcover.resolve_params(scenes.select(*K, "params"), grayscale_flag(bands))
+    params = landcover.resolve_params(scenes.select(*K, "params"), grayscale_flag(bands), {**landcover.DEFAULTS, "minRegionPx": p["min_region"]})
     circles = landcover.samples_for_scene(samples, bands.select(*K).distinct())
-    classes = landcover.classify_scene(coast, params, circles, sizes, min_region_px=p["min_region"])
+    classes = landcover.classify_scene(coast, params, circles, sizes)
     return written(classes, "classes")
 
 
