@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landfold.llm.common import written
 from landfold.llm.components import connected_components
 
 #: (action, host, path)
@@ -67,25 +68,35 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.array_join(kept, "/"), F.when(ended, F.lit("/")).otherwise(""))).otherwise(path)
 
 
-def absolute_url(href: Column, url: Column) -> Column:
-    """The address that ``href`` names in the page at ``url``; null for an empty one, a fragment or another scheme's address."""
-    href = F.trim(href)
+def with_targets(links: DataFrame) -> DataFrame:
+    """links(url, href) with ``target``: the address that ``href`` names in the page at ``url``.
+
+    Null for a null or empty one, a fragment, and an address of another scheme without a host. Each step is a column
+    of its own, so that no expression is repeated inside the next.
+    """
+    href = F.trim("href")
     for written, meant in REFERENCES:
         href = F.replace(href, F.lit(written), F.lit(meant))
-    scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
-    site = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    own = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    folder = F.coalesce(F.nullif(F.regexp_extract(own, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
-    path, rest = F.regexp_extract(href, r"(?s)^([^?#]*)", 1), F.regexp_extract(href, r"(?s)^[^?#]*(.*)$", 1)
-    return (
+    rows = links.select("url", "href", href.alias("_href"))
+    rows = rows.select(
+        "url", "href", "_href",
+        F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1).alias("_site"), F.regexp_extract("url", r"(?s)^.*?://[^/?#]*([^?#]*)", 1).alias("_own"),
+        F.regexp_extract("_href", r"(?s)^([^?#]*)", 1).alias("_path"), F.regexp_extract("_href", r"(?s)^[^?#]*(.*)$", 1).alias("_rest"),
+    )
+    folder = F.regexp_extract("_own", r"(?s)^(.*/)", 1)
+    full = F.when(F.col("_path").startswith("/"), F.col("_path")).when(folder != "", F.concat(folder, "_path")).otherwise(F.concat(F.lit("/"), "_path"))
+    rows = rows.withColumn("_full", full)
+    rows = rows.withColumn("_full", _without_dots(F.col("_full")))
+    href = F.col("_href")
+    target = (
         F.when((href == "") | href.startswith("#"), None)
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("//"), F.concat(F.regexp_extract("_site", r"(?s)^(.*?:)//", 1), href))
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(href.startswith("?"), F.concat(site, own, href))
-        .when(href.startswith("/"), F.concat(site, _without_dots(path), rest))
-        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
+        .when(href.startswith("?"), F.concat("_site", "_own", href))
+        .otherwise(F.concat("_site", "_full", "_rest"))
     )
+    return rows.select("url", "href", target.alias("target"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -97,18 +108,15 @@ def page_links(pages: DataFrame) -> DataFrame:
     seen = F.regexp_replace(html, r"(?is)<!--(?:.*?-->|.*+)|<(script|style)\b[^<>]*+>(?:.*?</\1\b|.*+)", "")
     tags = F.regexp_extract_all(seen, F.lit(r"(?i)<(?:link|meta)\b[^<>]*+>"), F.lit(0))
     tags = F.when(html.rlike(r"(?i)canonical|http-equiv"), tags).otherwise(F.array().cast("array<string>"))
-    tag = F.col("tag")
     value = lambda name: F.coalesce(
-        F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+"([^"]*+)\"""", 1), F.lit("")), F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+'([^']*+)'""", 1), F.lit("")), F.regexp_extract(tag, rf"""(?i)\b{name}\s*+=\s*+([^"'\s>]++)""", 1)
-    )
-    canonical = F.when(F.array_contains(F.split(F.lower(value("rel")), r"\s+"), "canonical"), value("href"))
-    refresh = F.when(F.lower(F.trim(value("http-equiv"))) == "refresh", F.regexp_extract(value("content"), r"""(?i)^[^;,]*+[;,]\s*+url\s*+=\s*+["']?([^"']*+)""", 1))
-    return (
-        pages.where(F.col("url").isNotNull())
-        .select("url", F.explode(tags).alias("tag"))
-        .select("url", absolute_url(F.coalesce(canonical, refresh), F.col("url")).alias("target"))
-        .where("target is not null")
+        F.nullif(F.regexp_extract("tag", rf"""(?i)\b{name}\s*+=\s*+"([^"]*+)\"""", 1), F.lit("")), F.nullif(F.regexp_extract("tag", rf"""(?i)\b{name}\s*+=\s*+'([^']*+)'""", 1), F.lit("")), F.regexp_extract("tag", rf"""(?i)\b{name}\s*+=\s*+([^"'\s>]++)""", 1)
     )
+    said = pages.where(F.col("url").isNotNull()).select("url", F.explode(tags).alias("tag"))
+    said = said.select("url", *(value(name).alias(name.replace("-", "_")) for name in ("rel", "href", "http-equiv", "content")))
+    canonical = F.when(F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical"), F.col("href"))
+    refresh = F.when(F.lower(F.trim("http_equiv")) == "refresh", F.regexp_extract("content", r"""(?i)^[^;,]*+[;,]\s*+url\s*+=\s*+["']?([^"']*+)""", 1))
+    links = said.select("url", F.coalesce(canonical, refresh).alias("href")).where("href is not null")
+    return with_targets(links).where("target is not null").select("url", "target")
 
 
 def judge_urls(urls: DataFrame, links: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -119,12 +127,13 @@ def judge_urls(urls: DataFrame, links: DataFrame, rules: Sequence[Rule]) -> Data
     comes through aliases. Null or host-less urls have no aliases and are allowed. Repeated rows get equal verdicts;
     other columns are kept, and columns of these four names are replaced. Links with a null end are ignored.
     """
-    url = F.col("url")
+    links = written(links.select("url", "target"), "links")  # read three times below; pages are read for it once
     ours = urls.drop("host", "path", "rule", "verdict")
-    judged = ours.withColumns({"host": url_host(url), "path": url_path(url), "_alias": alias_key(url)})
+    judged = ours.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url")), "_alias": alias_key(F.col("url"))})
     judged = judged.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
-    ends = links.select(F.col("url").alias("end")).union(links.select("target"))
-    best = best_rule(url_host(F.col("end")), url_path(F.col("end")), rules)
+    ends = links.select(F.explode(F.array("url", "target")).alias("end")).where("end is not null").distinct()
+    ends = ends.select("end", url_host(F.col("end")).alias("host"), url_path(F.col("end")).alias("path"))
+    best = best_rule(F.col("host"), F.col("path"), rules)
     blocked = (
         judged.where("_best.action = 'block'")
         .select("_alias")
