@@ -87,6 +87,13 @@ def near(name: str, source: str, where: str, of: str = "TRUE") -> str:
 FROM (SELECT * FROM {source} WHERE {of}) a LEFT JOIN (SELECT site_id, scene_id, x, y FROM {source} WHERE {where}) t ON a.site_id = t.site_id AND a.scene_id = t.scene_id GROUP BY ALL)"""
 
 
+def kept(name: str, source: str, where: str, conn: int, test: str) -> str:
+    """CTEs: source with {name}v, whether the pixel is in a region of ``where`` for which ``test`` holds (window w: the region)."""
+    return f"""{labels(name + "l", source, where, conn)},
+{name} AS (SELECT s.*, coalesce(t.ok, FALSE) AS {name}v FROM {source} s LEFT JOIN (SELECT l.site_id, l.scene_id, l.x, l.y, {test} AS ok
+  FROM {name}l l JOIN {source} p USING (site_id, scene_id, x, y) WINDOW w AS (PARTITION BY l.site_id, l.scene_id, l.region)) t USING (site_id, scene_id, x, y))"""
+
+
 OTSU = """{n}_h AS (SELECT {k}, least(greatest(floor({v} + 0.5), 0), 255) AS bin, count(*) AS n FROM {s} GROUP BY ALL),
 {n}_c AS (SELECT {k}, bin, sum(n) OVER (PARTITION BY {k} ORDER BY bin) AS wb, sum(bin * n) OVER (PARTITION BY {k} ORDER BY bin) AS sb, sum(n) OVER (PARTITION BY {k}) AS w, sum(bin * n) OVER (PARTITION BY {k}) AS st FROM {n}_h),
 {n}_v AS (SELECT {k}, bin, CASE WHEN w - wb > 0 THEN wb::DOUBLE * (w - wb) * (sb / wb - (st - sb) / (w - wb)) * (sb / wb - (st - sb) / (w - wb)) END AS v FROM {n}_c),
@@ -267,20 +274,95 @@ add("decide_class", """SELECT site_id, scene_id, x, y, CASE WHEN NOT land THEN N
 FROM (SELECT *, list_sort([sf, s2, s3, s4], 'DESC')[1] AS b1, list_sort([sf, s2, s3, s4], 'DESC')[2] AS b2, list_position([sf, s2, s3, s4], list_sort([sf, s2, s3, s4], 'DESC')[1]) AS k FROM sc)""", SCORED)
 add("threshold_classify", """SELECT site_id, scene_id, x, y, CASE WHEN cls >= 4 THEN NULL WHEN lum < CASE WHEN scene_id = 'b' THEN 100 ELSE threshold END - 5 THEN 'forest' WHEN lum > 150 AND chroma < 24 THEN 'built' ELSE 'open' END AS cls FROM bands JOIN o USING (site_id, scene_id)""",
     OTSU.format(n="o", k="site_id, scene_id", v="lum", s="(SELECT * FROM bands WHERE cls < 4)"))
-CLEAN = ", ".join([
-    morph("c1", "m", "forest", 2, True), morph("c2", "c1", "c1v", 2, False), morph("c3", "c2", "c2v", 2, False), morph("c4", "c3", "c3v", 2, True),
-    "k1 AS (SELECT site_id, scene_id, x, y, land, built, c4v AND land AS f1, sparse AND NOT (c4v AND land) AS s1, land AND NOT c4v AND NOT built AND NOT sparse AS o1 FROM c4)",
-    labels("lo", "k1", "o1", 8),
-    "k2 AS (SELECT k1.*, coalesce(n >= 16, FALSE) AS o2, s1 OR (o1 AND n < 16) AS s2 FROM k1 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM lo) USING (site_id, scene_id, x, y))",
-    labels("ls", "k2", "s2", 8),
-    "k3 AS (SELECT k2.*, coalesce(n >= 8, FALSE) AS s3, f1 OR (s2 AND n < 8) AS f3 FROM k2 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM ls) USING (site_id, scene_id, x, y))",
-])
-add("clean_classes", "SELECT site_id, scene_id, x, y, f3 AS forest, s3 AS sparse, o2 AS open, built FROM k3", CLEAN)
+
+
+def cleaned(source: str) -> str:
+    """CTEs to k3: source's forest closed and opened, then small open and small sparse regions given away."""
+    return ", ".join([
+        morph("c1", source, "forest", 2, True), morph("c2", "c1", "c1v", 2, False), morph("c3", "c2", "c2v", 2, False), morph("c4", "c3", "c3v", 2, True),
+        "k1 AS (SELECT site_id, scene_id, x, y, land, built, c4v AND land AS f1, sparse AND NOT (c4v AND land) AS s1, land AND NOT c4v AND NOT built AND NOT sparse AS o1 FROM c4)",
+        labels("lo", "k1", "o1", 8),
+        "k2 AS (SELECT k1.*, coalesce(n >= 16, FALSE) AS o2, s1 OR (o1 AND n < 16) AS s2 FROM k1 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM lo) USING (site_id, scene_id, x, y))",
+        labels("ls", "k2", "s2", 8),
+        "k3 AS (SELECT k2.*, coalesce(n >= 8, FALSE) AS s3, f1 OR (s2 AND n < 8) AS f3 FROM k2 LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM ls) USING (site_id, scene_id, x, y))",
+    ])
+
+
+add("clean_classes", "SELECT site_id, scene_id, x, y, f3 AS forest, s3 AS sparse, o2 AS open, built FROM k3", cleaned("m"))
 add("human_mask", """SELECT m.site_id, m.scene_id, m.x, m.y FROM m LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM l) l USING (site_id, scene_id, x, y)
 LEFT JOIN (SELECT site_id, x, y, TRUE AS s FROM inside WHERE kind = 'settlement') i USING (site_id, x, y) WHERE land AND (n >= 60 OR s)""", labels("l", "m", "human", 8))
 add("buffer_band", "SELECT site_id, scene_id, x, y, land AND NOT human AND d3 / 3.0 <= 8 AS band, land AND NOT human AND d3 / 3.0 <= 8 AND sparse AS buffer FROM m JOIN d USING (site_id, scene_id, x, y)", near("d", "m", "human"))
 add("band_forested", "SELECT site_id, scene_id, count(*) FILTER (land AND NOT human AND d3 / 3.0 <= 8 AND forest) AS n FROM m JOIN d USING (site_id, scene_id, x, y) GROUP BY ALL", near("d", "m", "human"))
 
+# whole jobs: the steps above in turn
+GRAY = "gray AS (SELECT site_id, scene_id, avg(chroma) < 3 AS gray FROM bands GROUP BY ALL)"
+SEA = ", ".join([
+    GRAY,
+    focal("vf", "(SELECT * FROM bands JOIN gray USING (site_id, scene_id) WHERE NOT gray)", {"s": "lum", "q": "lum * lum", "n": "1"}, 2),
+    "md AS (SELECT site_id, scene_id, blue AS med FROM (SELECT *, row_number() OVER (PARTITION BY site_id, scene_id ORDER BY blue) - 1 AS i, count(*) OVER (PARTITION BY site_id, scene_id) AS c FROM bands) WHERE i = c // 2)",
+    """vt AS (SELECT site_id, 'site' AS scene_id, x, y, sum((blue > greatest(18, med + 10) AND sqrt(greatest(0, q / n - (s / n) * (s / n))) < 12)::INT) >= count(*) // 2 + 1 AS voted
+FROM vf JOIN md USING (site_id, scene_id) GROUP BY site_id, x, y)""",
+    morph("w1", "vt", "voted", 2, True), morph("w2", "w1", "w1v", 2, False),
+    kept("w3", "w2", "NOT w2v", 4, "count(*) OVER w >= 300"),
+    morph("w4", "w3", "NOT w3v", 2, True), morph("w5", "w4", "w4v", 2, False),
+    "w6 AS (SELECT w5.*, x <= 3 OR y <= 3 OR x >= width - 4 OR y >= height - 4 AS rim FROM w5 JOIN sizes USING (site_id))",
+    kept("w7", "w6", "w5v", 4, "bool_or(rim) OVER w"), morph("w8", "w7", "w7v", 1, True),
+])
+add("water_mask", "SELECT site_id, x, y FROM w8 WHERE w8v", SEA)
+DISTANCE = "-0.5 * (" + " + ".join(f"(f.{n} - mu{k}) * (f.{n} - mu{k}) / va.v{k}" for k, n in enumerate(NAMES)) + ")"
+TO_THRESHOLD = "-0.5 * (" + " + ".join(f"pow({n} - {'(threshold + 40)' if k == 0 else '(threshold + 20)' if k == 4 else '0'}, 2) / 400" for k, n in enumerate(NAMES)) + ")"
+COVER = ", ".join([
+    SEA, PROTO,
+    focal("cf", "bands", {"s": "lum", "c": "chroma", "n": "1"}, 1),
+    "cw AS (SELECT cf.*, coalesce(w8v, FALSE) AS water, coalesce(w8v, FALSE) OR (s / n > 185 AND c / n < 30) AS bright FROM cf LEFT JOIN (SELECT site_id, x, y, w8v FROM w8) USING (site_id, x, y))",
+    kept("ch", "cw", "bright", 4, "bool_or(water) OVER w"),
+    "lf AS (SELECT f.*, k, water, chv AND NOT water AS coast, NOT chv AND NOT water AS land FROM feat f JOIN ch USING (site_id, scene_id, x, y))",
+    OTSU.format(n="ot", k="site_id, scene_id", v="f_lum", s="(SELECT * FROM lf WHERE land)"),
+    "kn AS (SELECT site_id, scene_id, bool_or(class = 'forest') AND bool_or(class = 'open') AS by_samples FROM pr GROUP BY ALL)",
+    "ds AS (SELECT f.site_id, f.scene_id, f.x, f.y, " + ", ".join(f"max({DISTANCE}) FILTER (class = '{c}') AS {n}" for c, n in (("forest", "sf"), ("sparse", "ss"), ("open", "so"), ("built", "sb"))) + " FROM feat f JOIN pr USING (site_id, scene_id) JOIN va USING (site_id, scene_id) GROUP BY ALL)",
+    """sp1 AS (SELECT lf.*, sf, ss, so, sb, coalesce(by_samples, FALSE) AS by_samples, coalesce(threshold, 128) AS threshold, CASE WHEN k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS bias,
+  f_lum > CASE WHEN k % 2 = 1 THEN 180 WHEN gray THEN 200 ELSE 190 END AND f_chroma < CASE WHEN gray THEN 255 ELSE 24 END AS rule
+  FROM lf JOIN gray USING (site_id, scene_id) LEFT JOIN kn USING (site_id, scene_id) LEFT JOIN ot USING (site_id, scene_id) LEFT JOIN ds USING (site_id, scene_id, x, y))""",
+    "sp2 AS (SELECT *, [coalesce(sf, '-inf'::DOUBLE), coalesce(ss + bias * 0.5, '-inf'::DOUBLE), coalesce(so + bias, '-inf'::DOUBLE), coalesce(sb, CASE WHEN rule THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END)] AS s FROM sp1)",
+    "sp3 AS (SELECT *, list_sort(s, 'DESC')[1] AS b1, list_sort(s, 'DESC')[2] AS b2, list_position(s, list_sort(s, 'DESC')[1]) AS place FROM sp2)",
+    f"""dc AS (SELECT * EXCLUDE (s), CASE WHEN NOT land THEN -1 WHEN NOT by_samples THEN CASE WHEN f_lum < threshold - bias * 5 THEN 0 WHEN coalesce(sb > {TO_THRESHOLD}, rule) THEN 3 ELSE 2 END
+  WHEN place = 4 THEN 3 WHEN b1 < 'inf'::DOUBLE AND b2 > '-inf'::DOUBLE AND 2 * (b1 - b2) < 4 THEN 0 ELSE place - 1 END AS cl FROM sp3)""",
+    focal("mj", "dc", {f"n{c}": f"(cl = {c})::INT" for c in range(4)}, 2),
+    "mk AS (SELECT *, CASE WHEN NOT by_samples OR NOT land THEN cl ELSE CASE greatest(n0, n1, n2, n3) WHEN n0 THEN 0 WHEN n1 THEN 1 WHEN n2 THEN 2 ELSE 3 END END AS mc FROM mj)",
+    "cv AS (SELECT site_id, scene_id, x, y, land, coast, water, by_samples, mc = 0 AS forest, mc = 1 AS sparse, mc = 3 AS built FROM mk)",
+    cleaned("cv"),
+    "classes AS (SELECT k3.site_id, k3.scene_id, k3.x, k3.y, k3.land, coast, water, f3 AS forest, s3 AS sparse, o2 AS open, k3.built, by_samples FROM k3 JOIN cv USING (site_id, scene_id, x, y))",
+])
+add("classify_scene", "SELECT * FROM classes", COVER)
+
+
+def zoned(source: str) -> str:
+    """CTEs to zone: source with human, band and buffer."""
+    flag = lambda kind: f"EXISTS (SELECT 1 FROM inside i WHERE i.kind = '{kind}' AND i.site_id = z.site_id AND i.x = z.x AND i.y = z.y)"
+    return ", ".join([
+        f"""st AS (SELECT i.site_id, c.scene_id, i.x, i.y FROM inside i JOIN catalogue c USING (site_id) WHERE kind = 'settlement'
+UNION SELECT p.site_id, p.scene_id, p.x, p.y FROM houses h JOIN px p ON p.site_id = h.site_id AND (h.scene_id IS NULL OR h.scene_id = p.scene_id) AND (p.x - h.x) * (p.x - h.x) + (p.y - h.y) * (p.y - h.y) <= 16),
+z0 AS (SELECT z.site_id, z.scene_id, z.x, z.y, land, forest, sparse, open, built, water, coast, land AND (open OR built) AS work, st.x IS NOT NULL AS lived
+  FROM {source} z LEFT JOIN st ON st.site_id = z.site_id AND st.scene_id = z.scene_id AND st.x = z.x AND st.y = z.y)""",
+        kept("z1", "z0", "work", 8, "count(*) OVER w >= 60"), "z2 AS (SELECT *, land AND (lived OR z1v) AS human FROM z1)",
+        near("nh", "z2", "human", "land AND NOT human"),
+        "z3 AS (SELECT z2.*, coalesce(d3 / 3.0 <= 8, FALSE) AS band, coalesce(d3 / 3.0 <= 8, FALSE) AND sparse AS buf, coalesce(d3 / 3.0 <= 3, FALSE) AS close FROM z2 LEFT JOIN nh USING (site_id, scene_id, x, y))",
+        kept("z4", "z3", "forest", 8, "count(*) OVER w >= 64"),
+        near("nf", "z4", "z4v", "buf"), near("nw", "z4", "water OR coast", "buf"),
+        f"z5 AS (SELECT z.*, coalesce(f.d3 / 3.0 <= 6 AND c.d3 / 3.0 > 4, FALSE) AND NOT {flag('exclusion')} AS b5 FROM z4 z LEFT JOIN nf f USING (site_id, scene_id, x, y) LEFT JOIN nw c USING (site_id, scene_id, x, y))",
+        kept("z6", "z5", "b5", 8, "count(*) OVER w >= 30"), kept("z7", "z6", "z6v", 8, "bool_or(close) OVER w"),
+        f"""zone AS (SELECT z.*, z.band AND {flag('aoi')} AS in_band, {flag('aoi')} AS aoi,
+  {flag('aoi')} AND CASE WHEN (y * 100 + x) % 97 = 1 OR (y * 100 + x) % 194 = 0 THEN FALSE WHEN (y * 100 + x) % 97 = 0 AND land THEN TRUE ELSE z7v END AS buffer FROM z7 z)""",
+    ])
+
+
+add("buffer_zone", "SELECT site_id, scene_id, x, y, human, in_band AS band, buffer FROM zone", zoned("m"))
+add("buffer_area_per_year", f"""SELECT site_id, scene_id, year, {", ".join(f"round({c}, 6) AS {c}" for c in ("land", "buffer", "forest", "sparse", "field", "built"))}, round({RATE.replace("area_ha", "buffer")}, 6) AS rate,
+round(CASE WHEN land > 0 THEN buffer / land * 100 END, 6) AS share_pct FROM yearly WINDOW w AS (PARTITION BY site_id ORDER BY year, scene_id)""",
+    f"""{COVER}, {zoned("classes")}, yearly AS (SELECT site_id, scene_id, c.year, count(*) FILTER (buffer) * 0.0004::DOUBLE AS buffer, """
+    + ", ".join(f"count(*) FILTER ({c} AND aoi) * 0.0004::DOUBLE AS {n}" for c, n in (("land", "land"), ("forest", "forest"), ("sparse", "sparse"), ("open", "field"), ("built", "built")))
+    + " FROM zone JOIN catalogue c USING (site_id, scene_id) GROUP BY ALL)")
+
 # change
 MOVES = "mv AS (SELECT a.site_id, a.scene_id, a.k, a.year AS y0, b.year AS y1, a.x, a.y, CASE WHEN a.buffer THEN 'lost' ELSE 'gained' END AS kind FROM m a JOIN m b ON a.site_id = b.site_id AND a.x = b.x AND a.y = b.y AND b.k = a.k + 1 WHERE a.buffer <> b.buffer)"
 add("mask_transitions", "SELECT site_id, k::INT AS k, y0, y1, x, y, kind FROM mv", MOVES)
