@@ -44,23 +44,26 @@ def buffer_zone(
     """px(land, forest, sparse, open, built, water, coast) with ``human``, ``band`` and ``buffer``, in pixels.
 
     Corrections come after the region filters and before the area of interest, which cuts buffer and band only.
-    The distance to human land serves the band and the adjacency. Region filters write their pixels, by tile.
+    People and dense forest are filtered together, all distances are taken together, and one labelling of the buffer
+    serves its least size and its adjacency (regions leave whole, so that the two tests don't affect each other).
     """
-    px = human_mask(px, settlement, min_human_region_px)
-    if band_px > 0 or adjacency_px > 0:
-        px = distance.with_distance(px, "human", "_human")
-    px = _band(px, band_px)
+    px = _flag(px, settlement, "_set").withColumn("_work", F.expr("land and (open or built)"))
+    large = {"_big": ("_work", [(F.lit(1), min_human_region_px)])}
     if forest_near_px > 0:
-        px = regions.remove_small_regions(px, "forest", min_forest_region_px, 8, "_main")
-        px = distance.with_distance(px, "_main", "_d").withColumn("buffer", F.expr(f"buffer and _d / 3 <= {forest_near_px}")).drop("_main", "_d")
-    if coast_away_px > 0:
-        px = distance.with_distance(px, F.col("water") | F.col("coast"), "_d")
-        px = px.withColumn("buffer", F.expr(f"buffer and _d / 3 > {coast_away_px}")).drop("_d")
-    px = _flag(px, exclude, "_out").withColumn("buffer", F.expr("buffer and not _out")).drop("_out")
-    px = regions.remove_small_regions(px, "buffer", min_buffer_region_px, 8, "_kept").withColumn("buffer", F.col("_kept")).drop("_kept")
+        large["_main"] = ("forest", [(F.lit(1), min_forest_region_px)])
+    px = regions.keep_regions(px, large).withColumn("human", F.expr("land and (_set or _big)")).drop("_set", "_work", "_big")
+    masks = {"_human": "human"} if band_px > 0 or adjacency_px > 0 else {}
+    masks |= {"_forest": "_main"} if forest_near_px > 0 else {}
+    masks |= {"_wet": F.col("water") | F.col("coast")} if coast_away_px > 0 else {}
+    px = distance.with_distances(px, masks) if masks else px
+    px = _flag(_band(px, band_px), exclude, "_out")
+    near = [f"_forest / 3 <= {forest_near_px}"] if forest_near_px > 0 else []
+    away = [f"_wet / 3 > {coast_away_px}"] if coast_away_px > 0 else []
+    px = px.withColumn("buffer", F.expr(" and ".join(["buffer", "not _out", *near, *away]))).drop("_out", "_main", "_forest", "_wet")
+    tests = [(F.lit(1), min_buffer_region_px)]
     if adjacency_px > 0:
-        px = px.withColumn("_close", F.expr(f"_human / 3 <= {adjacency_px}"))
-        px = regions.keep_touching_regions(px, "buffer", "_close", 8, "_kept").withColumn("buffer", F.col("_kept")).drop("_kept", "_close")
+        tests.append((F.expr(f"cast(_human / 3 <= {adjacency_px} as int)"), 1))
+    px = regions.keep_regions(px, {"_kept": ("buffer", tests)}).withColumn("buffer", F.col("_kept")).drop("_kept")
     px = px.drop("_human")
     if corrections is not None:
         px = geometry.apply_corrections(px, corrections)

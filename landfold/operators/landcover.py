@@ -251,11 +251,12 @@ def classify_scene(bands: DataFrame, params: DataFrame, samples: DataFrame, size
     the variance, bias, cleaning, majority, region sizes and, where coastExclude is 0, with its coast as land. Scenes
     with forest and open samples go by prototypes and majority, the others by threshold.
     """
+    params = written(params, "params")  # one row a scene, read four times
     windows = params.select(*K, "smooth", "texRadius", "coastExclude", "minRegionPx")
     px = focal.feature_tiles(bands, sizes, tile=tile, carry=("water", "coast"), windows=windows)
     px = px.withColumn("coast", F.expr("coast and coastExclude <> 0")).withColumn("land", F.expr("not water and not coast"))
     features = written(px.drop("coastExclude"), "features")
-    models = scene_models(features, params, samples, sizes)
+    models = written(scene_models(features, params, samples, sizes), "models")
     return clean_regions(class_tiles(features, models, sizes, tile, ("minRegionPx",)), F.col("minRegionPx")).drop("minRegionPx")
 
 
