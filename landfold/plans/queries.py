@@ -57,7 +57,7 @@ def forest_area_trend(spark, sf_dir):
 @query
 def read_scene_images(spark, sf_dir):
     folder = new_path(spark, "images")
-    images.write_scene_images(X.scene_pixels(spark, sf_dir), folder).collect()
+    images.write_scene_images(X.scene_pixels(spark, sf_dir), folder, 64).count()
     return images.read_scene_images(spark, folder)
 
 

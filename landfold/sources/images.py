@@ -17,43 +17,50 @@ from landfold.keys import K
 def read_scene_images(spark: SparkSession, path: str) -> DataFrame:
     """(site_id, scene_id, x, y, r, g, b) of image files named {site}_{scene}.{ending}; formats of Spark's image source.
 
-    An image is dealt out in bands of rows, so that a task holds a part of a decoded image at a time.
+    A scene may also be stored as several images, bands of rows named {site}_{scene}_{first row}.{ending}, so that
+    rasters larger than a task's memory can be read. An image's pixels are dealt out by bands of rows too.
     """
     images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     name = F.regexp_extract("origin", r"([^/]+)\.[^.]+$", 1)
-    images = images.select(F.split(name, "_")[0].cast("long").alias("site_id"), F.split(name, "_")[1].alias("scene_id"), "width", "height", "nChannels", "data")
+    part = F.split(name, "_")
+    images = images.select(part[0].cast("long").alias("site_id"), part[1].alias("scene_id"), F.coalesce(F.get(part, F.lit(2)).cast("long"), F.lit(0)).alias("first"), "width", "height", "nChannels", "data")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for site, scene, w, h, c, data in frame.itertuples(index=False):
+            for site, scene, first, w, h, c, data in frame.itertuples(index=False):
                 plane = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 for y0 in range(0, h, 256):
                     part = plane[y0 : y0 + 256]
                     n = len(part)
                     b, g, r = (part[..., k if c >= 3 else 0].ravel().astype(np.int64) for k in range(3))
-                    yield pd.DataFrame({"site_id": site, "scene_id": scene, "x": np.tile(np.arange(w), n), "y": np.repeat(np.arange(y0, y0 + n), w), "r": r, "g": g, "b": b})
+                    yield pd.DataFrame({"site_id": site, "scene_id": scene, "x": np.tile(np.arange(w), n), "y": np.repeat(np.arange(first + y0, first + y0 + n), w), "r": r, "g": g, "b": b})
 
     return images.mapInPandas(run, "site_id long, scene_id string, x long, y long, r long, g long, b long")
 
 
-def write_scene_images(px: DataFrame, folder: str) -> DataFrame:
-    """(site_id, scene_id, file): one 24-bit bitmap a scene; for exports and tests, as an image is one file anyway."""
+def write_scene_images(px: DataFrame, folder: str, band_rows: int = 256) -> DataFrame:
+    """(site_id, scene_id, first, file): 24-bit bitmaps of ``band_rows`` rows each, which ``read_scene_images`` puts together.
+
+    A task holds one band; its files are named {site}_{scene}_{first row}.bmp. Written when the result is consumed.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(g["x"].max() + 1), int(g["y"].max() + 1)
+        site, scene, first = (g[c].iloc[0] for c in (*K, "first"))
+        w, h = int(g["x"].max() + 1), int(g["y"].max() - first + 1)
         rows = np.zeros((h, (w * 3 + 3) // 4 * 4), np.uint8)
         plane = np.zeros((h, w, 3), np.uint8)
-        plane[g["y"], g["x"]] = g[["b", "g", "r"]]
+        plane[g["y"] - first, g["x"]] = g[["b", "g", "r"]]
         rows[:, : w * 3] = plane[::-1].reshape(h, -1)
         head = struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
-        path = f"{folder}/{g['site_id'].iloc[0]}_{g['scene_id'].iloc[0]}.bmp"
+        path = f"{folder}/{site}_{scene}_{first}.bmp"
         where, name = fs.FileSystem.from_uri(path)
         where.create_dir(name.rsplit("/", 1)[0], recursive=True)
         with where.open_output_stream(name) as out:
             out.write(head + rows.tobytes())
-        return pd.DataFrame({"site_id": [g["site_id"].iloc[0]], "scene_id": [g["scene_id"].iloc[0]], "file": [path]})
+        return pd.DataFrame({"site_id": [site], "scene_id": [scene], "first": [first], "file": [path]})
 
-    return px.select(*K, "x", "y", "r", "g", "b").groupBy(*K).applyInPandas(run, "site_id long, scene_id string, file string")
+    bands = px.select(*K, "x", "y", "r", "g", "b", F.expr(f"y - y % {band_rows}").cast("long").alias("first"))
+    return bands.groupBy(*K, "first").applyInPandas(run, "site_id long, scene_id string, first long, file string")
 
 
 def write_pixels(px: DataFrame, path: str, tile: int = 256) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landfold.operators import bands, change, distance, focal, geometry, landcover, projection, regions, rle, stats, trend
 from landfold.plans import jobs
+from landfold.sources import images
 
 RING = ["#####", "#...#", "#.#.#", "#...#", "#####"]
 CHAIN = ["#....", ".#...", "..#..", "...#.", "....#"]
@@ -88,6 +89,32 @@ def test_region_filters(spark):
     assert regions.keep_touching_regions(px, "m", "seed", 8).where("mask").count() > 0 and sizes.count() == 1
 
 
+@pytest.mark.parametrize("conn", [4, 8])
+def test_several_masks_in_one_labelling(spark, conn):
+    a, b = noise(5, 21, 17, 0.5), noise(6, 21, 17, 0.55)
+    px = grid(spark, a).join(grid(spark, b).withColumnRenamed("m", "n"), focal.PIXEL).withColumn("seed", F.expr("(x * 7 + y * 5) % 11 = 0"))
+    rules = {"big": ("m", [(F.lit(1), 6)]), "hit": ("n", [(F.lit(1), F.col("x") * 0 + 3), (F.col("seed").cast("int"), 2)])}
+    want = {}
+    for name, lines, good in (("big", a, lambda p: len(p) >= 6), ("hit", b, lambda p: len(p) >= 3 and sum((x * 7 + y * 5) % 11 == 0 for y, x in p) >= 2)):
+        parts = {}
+        for (x, y), r in flood(array(lines), conn).items():
+            parts.setdefault(r, []).append((y, x))
+        want[name] = {(x, y) for p in parts.values() if good(p) for y, x in p}
+    assert all(want.values())
+    for tile in (5, 64):
+        got = regions.keep_regions(px, rules, conn, tile).collect()
+        assert len(got) == 21 * 17
+        for name in want:
+            assert {(r.x, r.y) for r in got if r[name]} == want[name]
+
+
+def test_images_in_bands(spark, tmp_path):
+    px = spark.range(30).selectExpr("7L AS site_id", "'s' AS scene_id", "id % 5 AS x", "id div 5 AS y", "id AS r", "id * 2 AS g", "id * 3 AS b")
+    made = images.write_scene_images(px, f"{tmp_path}/bands", 4).collect()
+    assert sorted(r.first for r in made) == [0, 4]
+    assert sorted(map(tuple, images.read_scene_images(spark, f"{tmp_path}/bands").collect())) == sorted(map(tuple, px.collect()))
+
+
 def test_distance_equals_brute_force(spark):
     for lines in [*DRAWN.values(), noise(3, 19, 11, 0.04), noise(4, 7, 30, 0.02)]:
         want = chamfer(array(lines))
