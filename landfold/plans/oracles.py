@@ -127,9 +127,13 @@ SELECT 'scenes' AS what, site_id, concat_ws('|', scene_id, scene_id || '.png', C
 UNION ALL SELECT 'samples', site_id, concat_ws('|', coalesce(scene_id, '-'), class, coalesce(r::VARCHAR, '-')) FROM samples
 UNION ALL SELECT 'houses', site_id, coalesce(scene_id, '-') FROM houses WHERE site_id IN (SELECT site_id FROM sites)
 UNION ALL SELECT 'polygons', site_id, concat_ws('|', kind, vertex_no::VARCHAR) FROM polygons) GROUP BY ALL""")
-add("merge_settings", """SELECT site_id, scene_id, CASE WHEN hit AND same THEN year + 1 ELSE year END AS year, CASE WHEN hit AND same THEN label || '!' ELSE label END AS label,
+add("merge_settings", """SELECT site_id, scene_id, CASE WHEN hit AND same THEN year + 1 ELSE year END AS year, CASE WHEN hit AND same THEN label || '!' ELSE label END AS label, CASE WHEN hit AND same THEN true ELSE k = 1 END AS estimated,
 CASE WHEN hit AND same THEN 9 WHEN k % 2 = 1 THEN k END::DOUBLE AS bias, CASE WHEN hit THEN '0,5' ELSE '' END AS correction, NOT same AS migrated
 FROM (SELECT *, scene_id IN ('b', 'c') AS hit, site_id % 2 = 0 AS same FROM catalogue)""")
+add("merge_site_settings", """SELECT s.site_id, v AS saved_version, v = 2 AS migrated, CASE v WHEN 3 THEN '0.6' ELSE '0.45' END AS opacity, 'all' AS lost_base, CASE v WHEN 3 THEN 80 + s.site_id ELSE 100 END::DOUBLE AS edge_band, 40::DOUBLE AS forest_near,
+'5' AS threshold_pct, CASE v WHEN 3 THEN '7' ELSE '1' END AS seed, CASE v WHEN 3 THEN 12 ELSE 0 END::DOUBLE AS auto_m, 20::DOUBLE AS house_radius, CASE v WHEN 3 THEN 50 ELSE 35 END::DOUBLE AS coast_band, 1.5::DOUBLE AS dx, 0::DOUBLE AS dy,
+CASE v WHEN 3 THEN 0 ELSE (SELECT count(*) FROM polygons p WHERE p.site_id = s.site_id AND kind = 'aoi') END::INT AS aoi, 0 AS exclusion, (SELECT count(*) FROM polygons p WHERE p.site_id = s.site_id AND kind = 'settlement')::INT AS yards,
+(SELECT count(*) FROM samples p WHERE p.site_id = s.site_id)::INT AS circles, (SELECT count(*) FROM houses p WHERE p.site_id = s.site_id)::INT AS houses FROM sites s, (VALUES (3), (2)) t(v)""")
 add("resolve_params", """SELECT site_id, scene_id, gray AS grayscale, CASE WHEN k % 2 = 1 THEN k ELSE 0 END::DOUBLE AS bias, CASE WHEN k % 2 = 1 THEN 180 WHEN gray THEN 200 ELSE 190 END::DOUBLE AS builtMin,
 CASE WHEN gray THEN 255 ELSE 24 END::DOUBLE AS builtChromaMax, 4::DOUBLE AS strictness, NULL::DOUBLE AS forestMax FROM catalogue JOIN (SELECT site_id, scene_id, avg(chroma) < 3 AS gray FROM bands GROUP BY ALL) USING (site_id, scene_id)""")
 add("read_photos", "SELECT 'p' || photo_id % 25 AS folder, file, round(lat, 6) AS lat, round(lon, 6) AS lon, alt, taken, tag, label FROM photos LEFT JOIN tags USING (tag)")
@@ -147,7 +151,7 @@ RLE = """rv AS (SELECT site_id, scene_id, y * 100 + x AS i, (cls = 1)::INT - (cl
 rg AS (SELECT *, row_number() OVER (PARTITION BY site_id, scene_id ORDER BY i) - row_number() OVER (PARTITION BY site_id, scene_id, v ORDER BY i) AS g FROM rv),
 rr AS (SELECT site_id, scene_id, v, min(i) AS i, count(*) AS n FROM rg GROUP BY site_id, scene_id, v, g),
 rle AS (SELECT site_id, scene_id, flatten(list([v::BIGINT, n] ORDER BY i)) AS runs FROM rr GROUP BY ALL)"""
-add("export_settings", """SELECT site_id, 3 AS version, scene_id, year, label, len(runs)::INT AS n, list_reduce([0::BIGINT] || runs, lambda a, v: (a * 31 + v + 7) % 1000003) AS mark FROM catalogue JOIN rle USING (site_id, scene_id)""", RLE)
+add("export_settings", """SELECT site_id, 3 AS version, scene_id, year, label, scene_id || '.png' AS file, k = 1 AS estimated, CASE WHEN k % 2 = 1 THEN k END::DOUBLE AS bias, len(runs)::INT AS n, list_reduce([0::BIGINT] || runs, lambda a, v: (a * 31 + v + 7) % 1000003) AS mark FROM catalogue JOIN rle USING (site_id, scene_id)""", RLE)
 FILES = """img AS (SELECT 'P' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.heic' WHEN 2 THEN '.png' ELSE '.txt' END AS name, s_suppkey AS k, s_suppkey % 13 <> 0 AS readable,
 CASE WHEN s_suppkey % 10 <> 0 THEN (37 + (s_suppkey % 60) / 60.0::DOUBLE + (s_suppkey * 7 % 6000) / 100.0::DOUBLE / 3600) * CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE -1 END END AS lat,
 (137 + (s_suppkey * 3 % 60) / 60.0::DOUBLE + (s_suppkey * 11 % 6000) / 100.0::DOUBLE / 3600) * CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 1 END AS lon,

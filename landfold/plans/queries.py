@@ -100,12 +100,40 @@ def read_scene_config(spark, sf_dir):
 def merge_settings(spark, sf_dir):
     scenes = catalogue(spark, sf_dir)
     saved = scenes.where("scene_id in ('b', 'c')").groupBy("site_id").agg(
-        F.expr("array_sort(collect_list(struct(scene_id AS id, year + 1 AS year, concat(label, '!') AS label, map('bias', 9D) AS params, array(0L, 5L) AS correction)), (p, q) -> CASE WHEN p.id < q.id THEN -1 ELSE 1 END)").alias("scenes")
+        F.expr("array_sort(collect_list(struct(scene_id AS id, year + 1 AS year, concat(label, '!') AS label, true AS estimated, map('bias', 9D) AS params, array(0L, 5L) AS correction)), (p, q) -> CASE WHEN p.id < q.id THEN -1 ELSE 1 END)").alias("scenes")
     )
     path = new_path(spark, "saved")
     saved.select("site_id", F.expr("CASE WHEN site_id % 2 = 0 THEN 3 ELSE 2 END").alias("settingsVersion"), "scenes").write.json(path)
     m = settings.merge_settings(scenes, settings.read_saved_settings(spark, path), 3)
-    return m.select("site_id", "scene_id", "year", "label", F.try_element_at("params", F.lit("bias")).alias("bias"), F.coalesce(F.array_join(F.col("correction").cast("array<string>"), ","), F.lit("")).alias("correction"), "migrated")
+    return m.select("site_id", "scene_id", "year", "label", "estimated", F.try_element_at("params", F.lit("bias")).alias("bias"), F.coalesce(F.array_join(F.col("correction").cast("array<string>"), ","), F.lit("")).alias("correction"), "migrated")
+
+
+@query
+def merge_site_settings(spark, sf_dir):
+    """Documents saved under the version in use (3) and under an older one (2), over the same defaults."""
+    sites = X.sites(spark, sf_dir)
+    base = sites.select("site_id", F.expr("map('opacity', '0.45', 'lostBase', 'all') AS display"), F.expr("map('edgeBandM', 100D, 'forestNearM', 40D) AS buffer"), F.expr("map('thresholdPct', '5', 'seed', '1') AS sim"),
+                        F.expr("map('autoM', 0D, 'houseRadiusM', 20D) AS settlement"), F.expr("35D AS coastBandM"), F.expr("named_struct('dxM', 0D, 'dyM', 0D) AS photoOffset"))
+    defaults = settings.with_drawn(base, circles(spark, sf_dir).where("scene_id is null"), X.houses(spark, sf_dir).where("house_id % 2 = 0"), X.polygons(spark, sf_dir))
+    changed = sites.select("site_id", F.expr("map('opacity', '0.6') AS display"), F.expr("map('edgeBandM', 80D + site_id) AS buffer"), F.expr("map('seed', '7') AS sim"), F.expr("map('autoM', 12D) AS settlement"),
+                           F.expr("50D AS coastBandM"), F.expr("named_struct('dxM', 1.5D, 'dyM', cast(NULL AS double)) AS photoOffset"))
+    drawn = settings.with_drawn(changed, circles(spark, sf_dir), X.houses(spark, sf_dir), X.polygons(spark, sf_dir).where("kind = 'settlement'"))
+    runs = spark.createDataFrame([], "site_id long, scene_id string, runs array<bigint>")
+    out = None
+    for version in (3, 2):
+        path = new_path(spark, "saved")
+        settings.export_settings(catalogue(spark, sf_dir), runs, version, drawn).select(F.col("json").alias("value")).write.text(path)
+        m = settings.merge_site_settings(defaults, settings.read_saved_settings(spark, path), 3).withColumn("saved_version", F.lit(version))
+        out = m if out is None else out.union(m)
+    points = lambda kind: F.coalesce(F.expr(f"aggregate(polygons['{kind}'], 0, (n, p) -> n + size(p))"), F.lit(0))
+    own = "aggregate(map_values({}), 0, (n, v) -> n + size(v))"
+    return out.select(
+        "site_id", "saved_version", "migrated", F.expr("display['opacity'] AS opacity"), F.expr("display['lostBase'] AS lost_base"), F.expr("buffer['edgeBandM'] AS edge_band"), F.expr("buffer['forestNearM'] AS forest_near"),
+        F.expr("sim['thresholdPct'] AS threshold_pct"), F.expr("sim['seed'] AS seed"), F.expr("settlement['autoM'] AS auto_m"), F.expr("settlement['houseRadiusM'] AS house_radius"), F.col("coastBandM").alias("coast_band"),
+        F.col("photoOffset.dxM").alias("dx"), F.col("photoOffset.dyM").alias("dy"), points("aoi").alias("aoi"), points("exclusion").alias("exclusion"), points("settlement").alias("yards"),
+        F.expr(f"coalesce({own.format('samples.shared')}, 0) + coalesce(aggregate(map_values(samples.byScene), 0, (n, m) -> n + {own.format('m')}), 0)").alias("circles"),
+        F.expr(f"coalesce(size(houses), 0) + coalesce({own.format('housesByScene')}, 0)").alias("houses"),
+    )
 
 
 @query
@@ -173,7 +201,7 @@ def export_settings(spark, sf_dir):
     runs = rle.rle_encode(X.rle_values(spark, sf_dir), "v")
     out = settings.export_settings(catalogue(spark, sf_dir), runs, 3)
     back = out.select("site_id", F.from_json("json", settings.SAVED).alias("d")).select("site_id", "d.settingsVersion", F.explode("d.scenes").alias("s"))
-    return back.select("site_id", F.col("settingsVersion").alias("version"), F.col("s.id").alias("scene_id"), F.col("s.year").alias("year"), F.col("s.label").alias("label"), F.size("s.correction").alias("n"), F.expr("aggregate(s.correction, 0L, (a, v) -> (a * 31 + v + 7) % 1000003)").alias("mark"))
+    return back.select("site_id", F.col("settingsVersion").alias("version"), F.col("s.id").alias("scene_id"), F.col("s.year").alias("year"), F.col("s.label").alias("label"), "s.file", "s.estimated", F.expr("s.params['bias'] AS bias"), F.size("s.correction").alias("n"), F.expr("aggregate(s.correction, 0L, (a, v) -> (a * 31 + v + 7) % 1000003)").alias("mark"))
 
 
 @query
