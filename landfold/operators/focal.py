@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,28 +186,57 @@ def close_open(a: np.ndarray, r: int) -> np.ndarray:
     return grow(shrink(shrink(grow(a))))
 
 
+def mask_steps(px: DataFrame, col: str, steps: list[tuple[str, int]], out: str = "mask", tile: int = 256) -> DataFrame:
+    """px with the mask after each step in turn: ("grow", r) or ("shrink", r) by a square window; null counts as false.
+
+    A pixel grows on where any of its window is on; it stays on in shrinking where its whole window is inside the raster
+    and on. One exchange for all steps: a task has a tile with a halo as wide as the radii together. A wider halo than
+    half a tile would copy most pixels; then each step goes by a window along rows and one along columns (same rows).
+    """
+    steps = [(kind, r) for kind, r in steps if r > 0]
+    px = px.withColumn(out, F.coalesce(F.col(col), F.lit(False)))
+    halo = sum(r for _, r in steps)
+    if not steps:
+        return px
+    if 2 * halo > tile:
+        for kind, r in steps:
+            px = _separable(px, {"_s": F.col(out).cast("int")}, r, F.sum).withColumn(out, F.col("_s") >= (1 if kind == "grow" else (2 * r + 1) ** 2)).drop("_s")
+        return px
+    reach = lambda c: F.explode(F.expr(f"sequence(greatest({c} - {halo}, 0) div {tile}, ({c} + {halo}) div {tile})"))
+    names = px.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        at = (y - y.min(), x - x.min())
+        here = np.zeros((at[0].max() + 1, at[1].max() + 1), bool)
+        here[at] = True
+        mask = np.zeros_like(here)
+        mask[at] = t.column(out).to_numpy()
+        for kind, r in steps:
+            mask = here & (box_sum(mask.astype(np.int32), r) >= (1 if kind == "grow" else (2 * r + 1) ** 2))
+        own = (x // tile == t.column("_tx")[0].as_py()) & (y // tile == t.column("_ty")[0].as_py())
+        return t.select(names).set_column(names.index(out), out, pa.array(mask[at])).filter(pa.array(own))
+
+    return px.withColumn("_tx", reach("x")).withColumn("_ty", reach("y")).groupBy(*K, "_tx", "_ty").applyInArrow(run, px.schema)
+
+
 def dilate(px: DataFrame, col: str, r: int, out: str = "mask") -> DataFrame:
     """True if any pixel of the square window is true; r <= 0 copies."""
-    if r <= 0:
-        return px.withColumn(out, F.col(col))
-    return _separable(px, {out: F.col(col)}, r, F.max)
+    return mask_steps(px, col, [("grow", r)], out)
 
 
 def erode(px: DataFrame, col: str, r: int, out: str = "mask") -> DataFrame:
-    """True if the whole window is inside the raster and true."""
-    if r <= 0:
-        return px.withColumn(out, F.col(col))
-    px = focal_sums(px, {"_s": F.col(col).cast("int")}, r)
-    return px.withColumn(out, F.col("_s") == (2 * r + 1) ** 2).drop("_s")
+    """True if the whole window is inside the raster and true; r <= 0 copies."""
+    return mask_steps(px, col, [("shrink", r)], out)
 
 
 def morph_open(px: DataFrame, col: str, r: int, out: str = "mask") -> DataFrame:
-    return dilate(erode(px, col, r, "_o"), "_o", r, out).drop("_o")
+    return mask_steps(px, col, [("shrink", r), ("grow", r)], out)
 
 
 def morph_close(px: DataFrame, col: str, r: int, out: str = "mask") -> DataFrame:
     """Erosion of the dilation; it clears an r-pixel border too."""
-    return erode(dilate(px, col, r, "_d"), "_d", r, out).drop("_d")
+    return mask_steps(px, col, [("grow", r), ("shrink", r)], out)
 
 
 def majority_filter(px: DataFrame, r: int = 2) -> DataFrame:

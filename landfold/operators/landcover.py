@@ -130,8 +130,8 @@ def clean_forest(px: DataFrame, clean: int = 2) -> DataFrame:
     """px(land, forest, sparse, built) with forest closed and opened on land, where it clears sparse, not built."""
     if clean <= 0:
         return px
-    px = focal.morph_open(focal.morph_close(px, "forest", clean, "_c"), "_c", clean, "_f")
-    return px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_c", "_f")
+    px = focal.mask_steps(px, "forest", [("grow", clean), ("shrink", clean), ("shrink", clean), ("grow", clean)], "_f")
+    return px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_f")
 
 
 def clean_regions(px: DataFrame, min_region_px: int | Column = 80) -> DataFrame:

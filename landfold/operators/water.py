@@ -9,7 +9,6 @@ from landfold.keys import K
 from landfold.operators import focal, regions
 from landfold.operators.bands import grayscale_flag
 from landfold.operators.stats import upper_median
-from landfold.tables import written
 
 
 def water_votes(bands: DataFrame, refs: DataFrame | None = None, abs_min: float = 18, rel_min: float = 10, tex_max: float = 10) -> DataFrame:
@@ -33,9 +32,8 @@ def water_mask(votes: DataFrame, sizes: DataFrame, min_land_region: int = 1500,
     """(site_id, x, y, water) from votes; a site without a colour scene has no rows."""
     px = votes.withColumn("scene_id", F.lit("site")).withColumn("_c", F.col("votes") >= F.expr("refs div 2 + 1"))
     px = focal.morph_close(px, "_c", close_radius, "_sea").withColumn("_dry", ~F.col("_sea"))
-    px = written(px.select("site_id", "scene_id", "x", "y", "_dry"), "dry")
-    px = regions.remove_small_regions(px, "_dry", min_land_region, 4, "_land").withColumn("_wet", ~F.col("_land"))
-    px = written(focal.morph_close(px, "_wet", close_radius, "_closed"), "wet")
+    px = regions.remove_small_regions(px.select("site_id", "scene_id", "x", "y", "_dry"), "_dry", min_land_region, 4, "_land").withColumn("_wet", ~F.col("_land"))
+    px = focal.morph_close(px, "_wet", close_radius, "_closed")
     px = regions.keep_border_regions(px, "_closed", sizes, 4, close_radius + 1, "_edge")
     return focal.dilate(px, "_edge", grow, "water").select("site_id", "x", "y", "water")
 
@@ -44,6 +42,6 @@ def coastal_zone(bands: DataFrame, water: DataFrame, lum_min: float = 185, chrom
     """bands with ``water`` and ``coast``: bright unsaturated pixels joined to the water (4-connected)."""
     px = bands.join(water, ["site_id", "x", "y"], "left").withColumn("water", F.coalesce("water", F.lit(False)))
     px = focal.focal_means(px, {"_l": "lum", "_c": "chroma"}, 1)
-    px = written(px.withColumn("_bright", F.col("water") | ((F.col("_l") > lum_min) & (F.col("_c") < chroma_max))), "bright")
+    px = px.withColumn("_bright", F.col("water") | ((F.col("_l") > lum_min) & (F.col("_c") < chroma_max)))
     px = regions.keep_touching_regions(px, "_bright", "water", 4, "_hit")
     return px.withColumn("coast", F.col("_hit") & ~F.col("water")).drop("_l", "_c", "_bright", "_hit")

@@ -13,14 +13,18 @@ from landfold.tables import written
 
 def site_water(bands: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
     """(site_id, x, y, water) by votes of all colour scenes."""
-    bands = written(bands.select(*K, "x", "y", "lum", "chroma", "blue"), "bands")
+    return _water_of(written(bands.select(*K, "x", "y", "lum", "chroma", "blue"), "bands"), sizes, p)
+
+
+def _water_of(bands: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
+    """The same from bands that are cheap to read again: they feed the flag of colour, the median and the texture."""
     return written(water.water_mask(water.water_votes(bands, tex_max=12), sizes, p["min_land_region"]), "water")
 
 
 def land_cover(bands: DataFrame, scenes: DataFrame, samples: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
     """Classes of every pixel of every scene. The bands feed water, coast and features, so they are written once."""
     bands = written(bands.select(*K, "x", "y", "lum", "chroma", "green", "blue"), "bands")
-    coast = water.coastal_zone(bands, site_water(bands, sizes, p))
+    coast = water.coastal_zone(bands, _water_of(bands, sizes, p))
     params = landcover.resolve_params(scenes.select(*K, "params"), grayscale_flag(bands), {**landcover.DEFAULTS, "minRegionPx": p["min_region"]})
     circles = landcover.samples_for_scene(samples, bands.select(*K).distinct())
     classes = landcover.classify_scene(coast, params, circles, sizes)

@@ -136,6 +136,17 @@ def test_morphology_edges(spark, r):
     assert all(p.o == p.oo for p in again)
 
 
+@pytest.mark.parametrize("steps", [[("grow", 2), ("shrink", 2), ("shrink", 1), ("grow", 3)], [("shrink", 1)], []])
+def test_mask_steps_for_any_tile(spark, steps):
+    """Small tiles, one tile and windows (a halo of over half a tile) agree, on a raster with holes and nulls too."""
+    px = grid(spark, noise(8, 37, 29, 0.6)).withColumn("m", F.expr("CASE WHEN (x * 7 + y * 3) % 23 <> 0 THEN m END")).withColumn("more", F.expr("concat(x, '-', y)"))
+    for some in (px, px.where("(x * 5 + y * 11) % 17 <> 0"), px.limit(0)):
+        want, *others = (sorted(map(tuple, focal.mask_steps(some, "m", steps, "o", tile).collect()), key=str) for tile in (4, 20, 256))
+        assert len(want) == some.count() and all(o == want for o in others)
+    same = focal.mask_steps(px, "m", steps, "m").select("m").collect()
+    assert sum(r.m for r in same) == focal.mask_steps(px, "m", steps, "o").where("o").count()
+
+
 def test_feature_tiles_equal_windows_for_any_tile(spark):
     rnd = random.Random(6)
     rows = [(0, s, x, y, rnd.randint(0, 255), rnd.randint(0, 255), rnd.randint(0, 255)) for s in "ab" for x in range(23) for y in range(17)]
