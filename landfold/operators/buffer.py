@@ -26,25 +26,26 @@ def human_mask(px: DataFrame, settlement: DataFrame | None, min_region_px: float
 
 def buffer_band(px: DataFrame, band_px: float) -> DataFrame:
     """px(land, human, sparse) with ``band`` and ``buffer``; no band width: no band, all sparse land without people."""
-    px = px if band_px <= 0 else distance.with_distance(px, "human", "_human")
+    px = px if band_px <= 0 else distance.with_near_distances(px, {"_human": ("human", band_px)})
     return _band(px, band_px).drop("_human")
 
 
 def _band(px: DataFrame, band_px: float) -> DataFrame:
     if band_px <= 0:
         return px.withColumn("band", F.lit(False)).withColumn("buffer", F.expr("sparse and not human"))
-    return px.withColumn("band", F.expr(f"land and not human and _human / 3 <= {band_px}")).withColumn("buffer", F.expr("band and sparse"))
+    return px.withColumn("band", F.expr(f"land and not human and coalesce(_human / 3 <= {band_px}, false)")).withColumn("buffer", F.expr("band and sparse"))
 
 
 def buffer_zone(
     px: DataFrame, settlement: DataFrame | None = None, aoi: DataFrame | None = None, corrections: DataFrame | None = None, exclude: DataFrame | None = None,
     band_px: float = 0, min_human_region_px: float = 400, min_buffer_region_px: float = 130, forest_near_px: float = 0, coast_away_px: float = 0,
-    adjacency_px: float = 6, min_forest_region_px: float = 2600,
+    adjacency_px: float = 6, min_forest_region_px: float = 2600, tile: int = distance.TILE,
 ) -> DataFrame:
     """px(land, forest, sparse, open, built, water, coast) with ``human``, ``band`` and ``buffer``, in pixels.
 
     Corrections come after the region filters and before the area of interest, which cuts buffer and band only.
-    People and dense forest are filtered together, all distances are taken together, and one labelling of the buffer
+    People and dense forest are filtered together, all distances are taken together as far as they are asked for (one
+    exchange, a halo of the longest of them), and one labelling of the buffer
     serves its least size and its adjacency (regions leave whole, so that the two tests don't affect each other).
     """
     px = _flag(px, settlement, "_set").withColumn("_work", F.expr("land and (open or built)"))
@@ -52,17 +53,17 @@ def buffer_zone(
     if forest_near_px > 0:
         large["_main"] = ("forest", [(F.lit(1), min_forest_region_px)])
     px = regions.keep_regions(px, large).withColumn("human", F.expr("land and (_set or _big)")).drop("_set", "_work", "_big")
-    masks = {"_human": "human"} if band_px > 0 or adjacency_px > 0 else {}
-    masks |= {"_forest": "_main"} if forest_near_px > 0 else {}
-    masks |= {"_wet": F.col("water") | F.col("coast")} if coast_away_px > 0 else {}
-    px = distance.with_distances(px, masks) if masks else px
+    masks = {"_human": ("human", max(band_px, adjacency_px))} if band_px > 0 or adjacency_px > 0 else {}
+    masks |= {"_forest": ("_main", forest_near_px)} if forest_near_px > 0 else {}
+    masks |= {"_wet": (F.col("water") | F.col("coast"), coast_away_px)} if coast_away_px > 0 else {}
+    px = distance.with_near_distances(px, masks, tile) if masks else px
     px = _flag(_band(px, band_px), exclude, "_out")
-    near = [f"_forest / 3 <= {forest_near_px}"] if forest_near_px > 0 else []
-    away = [f"_wet / 3 > {coast_away_px}"] if coast_away_px > 0 else []
+    near = ["_forest is not null"] if forest_near_px > 0 else []
+    away = ["_wet is null"] if coast_away_px > 0 else []
     px = px.withColumn("buffer", F.expr(" and ".join(["buffer", "not _out", *near, *away]))).drop("_out", "_main", "_forest", "_wet")
     tests = [(F.lit(1), min_buffer_region_px)]
     if adjacency_px > 0:
-        tests.append((F.expr(f"cast(_human / 3 <= {adjacency_px} as int)"), 1))
+        tests.append((F.expr(f"cast(coalesce(_human / 3 <= {adjacency_px}, false) as int)"), 1))
     px = regions.keep_regions(px, {"_kept": ("buffer", tests)}).withColumn("buffer", F.col("_kept")).drop("_kept")
     px = px.drop("_human")
     if corrections is not None:

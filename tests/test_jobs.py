@@ -169,7 +169,8 @@ def test_water_mask_equals_plain_steps(spark):
     assert {(x, y): bool(sea[y, x]) for y in range(H) for x in range(W)} == got and 0 < sea.sum() < W * H
 
 
-def test_buffer_zone_equals_plain_steps(spark):
+@pytest.mark.parametrize("tile", [16, 256])
+def test_buffer_zone_equals_plain_steps(spark, tile):
     rnd = np.random.default_rng(5)
     cls = rnd.choice(4, (5, 7), p=[0.35, 0.35, 0.15, 0.15]).repeat(4, 0).repeat(4, 1)[:H, :W]
     cls = np.where(rnd.random((H, W)) < 0.08, 1, cls)
@@ -183,7 +184,7 @@ def test_buffer_zone_equals_plain_steps(spark):
     settled[10:12, 5:8] = aoi[:, :24] = out[12:, 10:13] = True
     table = lambda m: spark.createDataFrame([(0, int(x), int(y)) for y, x in zip(*np.nonzero(m))], "site_id long, x long, y long")
     strokes = spark.createDataFrame([(0, "a", 3, 3, 1, 1), (0, "a", 4, 3, 1, 1), (0, "a", 4, 3, -1, 2), (0, "a", 1, 0, 1, 1)], "site_id long, scene_id string, x long, y long, v int, stroke_no int")
-    made = buffer.buffer_zone(px, table(settled), table(aoi), strokes, table(out), band_px=7, min_human_region_px=9, min_buffer_region_px=5, forest_near_px=4, coast_away_px=1, adjacency_px=3, min_forest_region_px=12)
+    made = buffer.buffer_zone(px, table(settled), table(aoi), strokes, table(out), band_px=7, min_human_region_px=9, min_buffer_region_px=5, forest_near_px=4, coast_away_px=1, adjacency_px=3, min_forest_region_px=12, tile=tile)
     got = {(r.x, r.y): (r.human, r.band, r.buffer) for r in made.collect()}
     human = land & (settled | large(land & (free | built), 9))
     far = chamfer(human)

@@ -122,6 +122,45 @@ def test_distance_equals_brute_force(spark):
         assert len(got) == want.size and all(r.dist3 == want[r.y, r.x] for r in got)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_row_pass_equals_brute_force(seed):
+    """Gaps of all kinds, dominated ones too, in narrow and wide rows."""
+    rnd = np.random.default_rng(seed)
+    rows, width = 7, int(rnd.integers(1, 90))
+    gap = rnd.integers(0, (2, 10, 60, 400)[seed % 4], (rows, width))
+    gap[rnd.random(gap.shape) < rnd.choice([0, 0.5, 0.95])] = distance.FAR
+    gap[0] = distance.FAR
+    a = np.abs(np.arange(width)[:, None] - np.arange(width))
+    want = np.stack([np.where(g < distance.FAR, np.maximum(3 * a + g, a + 3 * g), distance.FAR).min(axis=1) for g in gap])
+    assert (distance.row_pass(gap) == want).all()
+
+
+def test_distance_takes_time_by_pixels(spark):
+    """Tall, wide and far: the nearest true pixel may be over a million thirds away; a window that is run again for each row would take minutes."""
+    tall = spark.range(60_000).select(F.lit(0).alias("site_id"), F.lit("a").alias("scene_id"), (F.col("id") % 3).alias("x"), F.expr("id div 3").alias("y"), (F.col("id") == 0).alias("m"))
+    assert tall.count() == distance.distance_transform(tall, "m").where("dist3 = 3 * y + x or (y < x and dist3 = 3 * x + y)").count()
+    wide = tall.select("site_id", "scene_id", F.col("y").alias("x"), F.col("x").alias("y"), "m").withColumn("m", F.expr("x = 0 and y = 2"))
+    assert wide.count() == distance.distance_transform(wide, "m").where("dist3 = 3 * greatest(x, 2 - y) + least(x, 2 - y)").count()
+    gap = np.full((1, 1_500_000), distance.FAR)
+    gap[0, 7] = 5
+    assert distance.row_pass(gap)[0, -1] == 3 * (1_499_999 - 7) + 5
+
+
+@pytest.mark.parametrize("op", ["<=", "<", ">"])
+def test_within_distance_for_any_tile(spark, op):
+    """By tiles with a halo, and by the whole distance where the halo is wider than half a tile; nulls, empty masks and gaps in the raster too."""
+    for lines in [DRAWN["none"], DRAWN["corner"], noise(3, 23, 17, 0.03)]:
+        px = grid(spark, lines).withColumn("m", F.expr("CASE WHEN (x + y) % 7 <> 3 THEN m END")).withColumn("more", F.col("x"))
+        seen = array(lines) & ((np.add.outer(np.arange(len(lines)), np.arange(len(lines[0])))) % 7 != 3)
+        far = chamfer(seen) / 3
+        for d in (0, 7 / 3, 4.5):
+            want = {"<=": far <= d, "<": far < d, ">": far > d}[op]
+            for tile in (3, 9):
+                got = distance.within_distance(px, "m", d, op, tile=tile).collect()
+                assert len(got) == want.size and all(r.near == want[r.y, r.x] and r.more == r.x for r in got)
+    assert distance.within_distance(px.limit(0), "m", 2).count() == 0
+
+
 @pytest.mark.parametrize("r", [0, 1, 2])
 def test_morphology_edges(spark, r):
     lines = noise(5, 12, 9, 0.7)
