@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from landfold.tables import forget, new_path, runs, shared_dir, written
 
-__all__ = ["forget", "labels_of_pairs", "new_path", "numbered", "passes_for", "runs", "shared_dir", "shuffle_partitions", "text_key", "text_or_empty", "with_block_pairs", "written"]
+__all__ = ["forget", "labels_of_pairs", "new_path", "numbered", "passes_for", "ragged", "runs", "shared_dir", "shuffle_partitions", "text_key", "text_or_empty", "with_block_pairs", "words_of", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -84,3 +84,18 @@ def labels_of_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def passes_for(target: float, hit: float) -> int:
     """Independent tries that find a pair with probability target, if one try finds it with probability hit."""
     return max(1, math.ceil(math.log(1 - target) / math.log(1 - min(hit, 1 - 1e-9))))
+
+
+#: What parts words, as a table of bytes: all ASCII but digits and letters becomes a space, A-Z become lower case, other bytes stay.
+_PARTING = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a UTF-8 text: runs of ASCII digits, letters (A-Z lower-cased) and all characters beyond ASCII."""
+    return text.translate(_PARTING).split() if text else []
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1 ... for as many as lengths[0], then the same from starts[1], and so on."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import embedding_dedup, html_extract, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
+from landfold.llm import embedding_dedup, html_extract, lexical_search, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
 
 #: Rules of the URL filter: action, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -73,6 +73,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     made = (
         op1_url_filters, op2_embedding_near_dedup, op3_mixing, op4_packing, op5_warc, op6_quality_classifier,
-        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, pipeline,
+        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, op11_lexical_search, pipeline,
     )
     return {f.__name__: f for f in made}
 
@@ -148,6 +152,25 @@ SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.a
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+c AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d),
+tf AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, n_docs),
+i AS (
+  SELECT item_id, text, term, count(*) AS q
+  FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+s AS (
+  SELECT item_id, text, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN tf USING (term), c GROUP BY item_id, text, row, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op7_secret_scans": OP7_SQL}
+    return {"op11_lexical_search": OP11_SQL, "op1_url_filters": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op7_secret_scans": OP7_SQL}
