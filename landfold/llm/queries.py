@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import embedding_dedup, html_extract, lexical_search, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
+from landfold.llm import decontamination, embedding_dedup, html_extract, lexical_search, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
 
 #: Rules of the URL filter: action, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -77,6 +77,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    names = F.array_join(F.transform("matches", lambda m: m["item_id"]), ",")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("matches").cast("long").alias("n_items"),
+        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     made = (
         op1_url_filters, op2_embedding_near_dedup, op3_mixing, op4_packing, op5_warc, op6_quality_classifier,
-        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, op11_lexical_search, pipeline,
+        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, op11_lexical_search, op12_decontamination, pipeline,
     )
     return {f.__name__: f for f in made}
 
@@ -171,6 +181,26 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY sco
 SELECT * FROM r WHERE rank <= 10
 """
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[a:a + least(len(words), 10) - 1], ' ') AS part
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS a FROM i WHERE len(words) > 0)),
+p AS (
+  SELECT row, size, a, array_to_string(words[a:a + size - 1], ' ') AS part
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS a FROM d, (SELECT DISTINCT size FROM w))),
+hits AS (SELECT row, item_id, a, size FROM p JOIN w USING (size, part)),
+n AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(a, a + size)) AS at FROM hits) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item_id FROM hits) GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_lexical_search": OP11_SQL, "op1_url_filters": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op7_secret_scans": OP7_SQL}
+    return {"op12_decontamination": OP12_SQL, "op11_lexical_search": OP11_SQL, "op1_url_filters": OP1_SQL, "op2_embedding_near_dedup": OP2_SQL, "op7_secret_scans": OP7_SQL}
