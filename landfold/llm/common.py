@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from landfold.tables import forget, new_path, runs, shared_dir, written
 
-__all__ = ["forget", "labels_of_pairs", "new_path", "numbered", "passes_for", "ragged", "runs", "shared_dir", "shuffle_partitions", "text_key", "text_or_empty", "with_block_pairs", "words_of", "written"]
+__all__ = ["coded", "decoded", "forget", "labels_of_pairs", "new_path", "numbered", "passes_for", "ragged", "runs", "shared_dir", "shuffle_partitions", "text_key", "text_or_empty", "with_block_pairs", "words_of", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -99,3 +99,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1 ... for as many as lengths[0], then the same from starts[1], and so on."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of seven bits, the lowest first, all but a number's last marked; and where each one ends."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 9):
+        sizes += values >= 1 << 7 * k
+    ends = np.cumsum(sizes)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        has = sizes > k
+        out[ends[has] - sizes[has] + k] = values[has] >> 7 * k & 127 | np.where(sizes[has] > k + 1, 128, 0)
+    return out, ends
+
+
+def decoded(data: np.ndarray) -> np.ndarray:
+    """The numbers of ``coded``."""
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1)
+    sizes = last - first + 1 if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(int(sizes.max(initial=0))):
+        has = sizes > k
+        out[has] |= (data[first[has] + k] & 127).astype(np.int64) << 7 * k
+    return out

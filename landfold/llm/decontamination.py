@@ -51,11 +51,11 @@ class Windows:
             self.words[k, : len(w)] = w
         order = np.argsort(which, kind="stable")
         self.item, self.at = np.array(item, np.int64)[order], np.array(at, np.int64)[order]
-        self.edges = np.append(0, np.cumsum(np.bincount(which, minlength=len(seen)) if which else []))
+        self.edges = np.append(0, np.cumsum(np.bincount(np.array(which, np.int64), minlength=len(seen))))
 
 
 def suffix_array(words: np.ndarray, known: int) -> np.ndarray:
-    """Starts of the suffixes whose first word is not 0, in the order of their first WINDOW words or more."""
+    """Starts of the suffixes whose first word is not 0, in the order of their first WINDOW words, up to the first 0, or more."""
     at = np.flatnonzero(words)
     depth = max(1, min(WINDOW, 62 // max(known.bit_length(), 1)))
     rank = np.zeros(len(words) + 64, np.int64)
@@ -158,7 +158,7 @@ def _longest(a: list[tuple], b: list[tuple]) -> list[tuple]:
 OUT = "n_words long, hits array<struct<start:int,end:int>>, matches array<struct<item_id:string,start:int,length:int>>"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """docs, all columns kept, with n_words, hits and matches against items(item_id, text).
 
     hits: spans of words (end exclusive) inside any occurrence of a window: 10 consecutive words of an item, or all words
@@ -171,7 +171,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = F.length(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + 64
-    batches = max(1, math.ceil((items.agg(F.sum(size)).first()[0] or 0) / BATCH_BYTES))
+    batches = max(1, math.ceil((items.agg(F.sum(size)).first()[0] or 0) / batch_bytes))
     kept = [c for c in docs.columns if c not in ("n_words", "hits", "matches")]
     out = docs.select(*kept)
     schema = StructType([*out.schema.fields, *StructType.fromDDL(OUT).fields])
@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 whole, a = b.column(b.num_columns - 1).to_pylist(), 0
                 for k, text in enumerate(whole):
                     size += len(text or b"") + 64
-                    if size >= SHARD_BYTES:
+                    if size >= shard_bytes:
                         yield from done([*held, b.slice(a, k + 1 - a)], [*texts, *whole[a : k + 1]])
                         held, texts, size, a = [], [], 0, k + 1
                 if a < len(whole):
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     dealt = items.select(F.col("item_id").cast("string"), F.col("text").cast("binary"), F.pmod(F.xxhash64("item_id", "text"), F.lit(batches)).alias("_batch"))
     for k in range(batches):
-        mine = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in dealt.where(F.col("_batch") == k).collect()]  # about BATCH_BYTES
+        mine = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in dealt.where(F.col("_batch") == k).collect()]  # about batch_bytes
         out = passed(out, spark.sparkContext.broadcast(Windows(mine)))
     return out
 

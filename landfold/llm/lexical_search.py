@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landfold.llm.common import ragged, words_of, written
+from landfold.llm.common import coded, decoded, ragged, words_of, written
 
 BLOCK = 64
 #: A segment ends with the document that brings it to so many bytes of text.
@@ -51,30 +51,6 @@ def length_norm(n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     return 25 + 75 * n * n_docs // max(n_terms, 1)
 
 
-def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers as bytes of seven bits, the lowest first, all but a number's last marked; and where each one ends."""
-    sizes = np.ones(len(values), np.int64)
-    for k in range(1, 9):
-        sizes += values >= 1 << 7 * k
-    ends = np.cumsum(sizes)
-    out = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
-    for k in range(int(sizes.max(initial=0))):
-        has = sizes > k
-        out[ends[has] - sizes[has] + k] = values[has] >> 7 * k & 127 | np.where(sizes[has] > k + 1, 128, 0)
-    return out, ends
-
-
-def decoded(data: np.ndarray) -> np.ndarray:
-    last = np.flatnonzero(data < 128)
-    first = np.append(0, last[:-1] + 1)
-    sizes = last - first + 1 if len(last) else last
-    out = np.zeros(len(last), np.int64)
-    for k in range(int(sizes.max(initial=0))):
-        has = sizes > k
-        out[has] |= (data[first[has] + k] & 127).astype(np.int64) << 7 * k
-    return out
-
-
 def _parted(kind: pa.DataType, values: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values, kind))
 
@@ -118,7 +94,7 @@ def _segment(segment: int, ids: pa.Array, texts: list[bytes | None], n_docs: int
     return pa.RecordBatch.from_pydict(columns)
 
 
-def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
+def build_index(docs: DataFrame, n_docs: int, n_terms: int, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """The written index of docs(doc_id, text): for each segment one row a term, and one without term that lists its documents.
 
     term rows: df, payload (all blocks), and for each block its bytes (sizes), first and last document and the highest
@@ -134,7 +110,7 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
             a = 0
             for k, text in enumerate(whole):
                 size += len(text or b"") + 64
-                if size >= SEGMENT_BYTES:
+                if size >= segment_bytes:
                     ids.append(b.column(0).slice(a, k + 1 - a))
                     yield _segment(segment, pa.concat_arrays(ids), [*texts, *whole[a : k + 1]], n_docs, n_terms)
                     segment, ids, texts, size, a = segment + 1, [], [], 0, k + 1
@@ -243,7 +219,7 @@ class Shard:
         return found[keep], have[keep]
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, segment_bytes: int = SEGMENT_BYTES, shard_docs: int = SHARD_DOCS, items_together: int = ITEMS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of docs(doc_id, text) for each of items(item_id, text).
 
     Scores are above 0; equal scores go by ascending doc_id, a null one last. Null and empty texts have no terms: such
@@ -253,10 +229,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """
     spark, kinds = docs.sparkSession, {**dict(docs.select("doc_id").dtypes), **dict(items.select("item_id").dtypes)}
     n_docs, n_terms = corpus_counts(docs)
-    index = build_index(docs, n_docs, n_terms)
+    index = build_index(docs, n_docs, n_terms, segment_bytes)
     terms = written(item_terms(items), "terms")
     n_items = terms.agg(F.countDistinct("item")).first()[0]
-    groups, shards = max(1, math.ceil(n_items / ITEMS)), max(1, math.ceil(n_docs / SHARD_DOCS), math.ceil(n_terms / SHARD_TERMS))
+    groups, shards = max(1, math.ceil(n_items / items_together)), max(1, math.ceil(n_docs / shard_docs), math.ceil(n_terms / SHARD_TERMS))
     df = index.select("term", "df").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log((2 * F.lit(float(n_docs)) + 2) / (2 * F.col("df").cast("double") + 1))).cast("long")
     batch = F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landfold.llm import decontamination, embedding_dedup, html_extract, lexical_search, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
+from landfold.llm import alignment, decontamination, embedding_dedup, html_extract, lexical_search, merkle, mixing, ngram_join, packing, quality, secret_scan, url_filters, warc
 
 #: Rules of the URL filter: action, host, path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -87,6 +87,14 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as p
+
+    ranks, pieces = p.path("byte_bpe_50k.tiktoken"), p.path("piece_bpe_32k.model")  # the ranks are the vocabulary of byte_bpe_50k.json
+    done = alignment.align(table(spark, sf_dir, "documents"), ranks, p.PATTERN, pieces, 32_000, alignment.sha256_or_empty)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     made = (
         op1_url_filters, op2_embedding_near_dedup, op3_mixing, op4_packing, op5_warc, op6_quality_classifier,
-        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, op11_lexical_search, op12_decontamination, pipeline,
+        op7_secret_scans, op8_ngram_jaccard_join, op9_document_fingerprints, op10_html_extraction, op11_lexical_search, op12_decontamination, op13_tokenizer_alignment, pipeline,
     )
     return {f.__name__: f for f in made}
 
