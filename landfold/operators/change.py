@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.keys import PIXEL
 from landfold.operators.bands import half_up
-from landfold.operators.distance import distance_transform
+from landfold.operators.distance import with_distances
 from landfold.tables import written
 
 #: Fixed values of the counter-based generator (mulberry32).
@@ -36,13 +36,13 @@ def numbered_scenes(masks: DataFrame) -> DataFrame:
     return scenes.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("year", "scene_id")) - 1)
 
 
-def mask_transitions(masks: DataFrame, col: str = "buffer") -> DataFrame:
-    """(site_id, k, y0, y1, x, y, kind): pixels lost and gained between consecutive scenes of dense masks."""
+def mask_transitions(masks: DataFrame, col: str = "buffer", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(site_id, k, y0, y1, x, y, kind, carried columns of the earlier scene): pixels lost and gained between consecutive scenes of dense masks."""
     w = Window.partitionBy("site_id", "x", "y").orderBy("k")
     px = masks.join(numbered_scenes(masks).drop("year"), ["site_id", "scene_id"])
     px = px.withColumns({"_next": F.lead(col).over(w), "y1": F.lead("year").over(w)})
     kind = F.when(F.col(col) & ~F.col("_next"), "lost").when(~F.col(col) & F.col("_next"), "gained")
-    return px.withColumn("kind", kind).where("kind is not null").select("site_id", "scene_id", "k", F.col("year").alias("y0"), "y1", "x", "y", "kind")
+    return px.withColumn("kind", kind).where("kind is not null").select("site_id", "scene_id", "k", F.col("year").alias("y0"), "y1", "x", "y", "kind", *carry)
 
 
 def union_past(masks: DataFrame, years: DataFrame, col: str = "buffer") -> DataFrame:
@@ -51,19 +51,21 @@ def union_past(masks: DataFrame, years: DataFrame, col: str = "buffer") -> DataF
     return on.join(F.broadcast(years), F.expr("since < t - 1e-9")).select("site_id", "t", "x", "y")  # years: a request, not data
 
 
-def compare_scene(masks: DataFrame, years: DataFrame, base: str = "prev", start_year: float | None = None) -> DataFrame:
+def compare_scene(masks: DataFrame, years: DataFrame, base: str = "prev", starts: DataFrame | None = None) -> DataFrame:
     """(site_id, t, scene_id, compare_year): the scene that t is compared with, if it has one.
 
-    prev: the scene before an observed year, the interval's left scene between years, the start scene when predicting;
-    first: the earliest; else the scene of that id. It must be earlier than t.
+    prev: the scene before an observed year, the interval's left scene between years, the site's start scene when
+    predicting (starts: site_id, start_year; else its last scene); first: the earliest; else the scene of that id. It must be earlier than t.
     """
     scenes = numbered_scenes(masks)
     at = scenes.join(F.broadcast(years), F.expr("year < t - 1e-9"))
     if base == "prev":
-        if start_year is not None:
-            at = at.where((F.col("t") <= start_year + 1e-9) | (F.col("year") <= start_year))
-        # an observed year within 1e-6 is compared with the scene before it
-        at = at.where("abs(year - t) >= 1e-6")
+        # an observed year within 1e-6 is compared with the scene before it, a predicted one with its start
+        observed = "abs(year - t) >= 1e-6"
+        if starts is not None:
+            at = at.join(starts.select("site_id", "start_year"), "site_id").where("t <= start_year + 1e-9 or year <= start_year")
+            observed += " or t > start_year + 1e-9"
+        at = at.where(observed)
         pick = F.max_by(F.struct("scene_id", "year"), "k")
     elif base == "first":
         pick = F.min_by(F.struct("scene_id", "year"), "k")
@@ -77,7 +79,7 @@ def compare_scene(masks: DataFrame, years: DataFrame, base: str = "prev", start_
     return found.select("site_id", "t", F.col("s.scene_id").alias("scene_id"), F.col("s.year").alias("compare_year"))
 
 
-def lost_vs_base(current: DataFrame, masks: DataFrame, years: DataFrame, base: str = "all", col: str = "buffer", start_year: float | None = None) -> DataFrame:
+def lost_vs_base(current: DataFrame, masks: DataFrame, years: DataFrame, base: str = "all", col: str = "buffer", starts: DataFrame | None = None) -> DataFrame:
     """(site_id, t, x, y, compare_year): pixels of the base that are not in the current mask (site_id, t, x, y).
 
     base 'all': pixels of any scene before t, compare_year is the earliest scene's.
@@ -86,7 +88,7 @@ def lost_vs_base(current: DataFrame, masks: DataFrame, years: DataFrame, base: s
         first = masks.groupBy("site_id").agg(F.min("year").alias("compare_year"))
         then = union_past(masks, years, col).join(first, "site_id")
     else:
-        chosen = compare_scene(masks, years, base, start_year)
+        chosen = compare_scene(masks, years, base, starts)
         then = masks.where(col).select("site_id", "scene_id", "x", "y").join(chosen, ["site_id", "scene_id"]).select("site_id", "t", "x", "y", "compare_year")
     return then.join(current.select("site_id", "t", "x", "y"), ["site_id", "t", "x", "y"], "left_anti")
 
@@ -122,9 +124,8 @@ def build_intervals(masks: DataFrame, seed: int = 1, jitter_px: float = 0) -> Da
 
     masks: dense, with buffer and forest. Jitter draws count lost pixels first, then gained ones, in raster order.
     """
-    moved = mask_transitions(masks)
-    far = distance_transform(masks, "forest", "_f").join(distance_transform(masks, "buffer", "_b"), PIXEL)
-    moved = moved.join(far, PIXEL).withColumn("_p", (F.when(F.col("kind") == "lost", F.col("_f")).otherwise(F.col("_b")) / 3).cast("float"))
+    far = with_distances(masks.select(*PIXEL, "year", "buffer", "forest"), {"_f": "forest", "_b": "buffer"})
+    moved = mask_transitions(far, carry=("_f", "_b")).withColumn("_p", (F.when(F.col("kind") == "lost", F.col("_f")).otherwise(F.col("_b")) / 3).cast("float"))
     moved = written(moved.drop("_f", "_b"), "moved")  # only changed pixels; numbers and ranks read them several times
     if jitter_px > 0:
         moved = raster_number(moved, ["site_id", "k", "kind"], "_n")
@@ -182,20 +183,3 @@ def frame_years(series: DataFrame, horizon: DataFrame, step: int = 5) -> DataFra
     later = later.select("site_id", (F.col("m") * step).cast("double").alias("t"), "start_year").where("t > start_year").drop("start_year")
     gone = horizon.where("disappear_year is not null").select("site_id", half_up("disappear_year").cast("double").alias("t"))
     return series.select("site_id", F.col("year").cast("double").alias("t")).union(later).union(gone).distinct()
-
-
-def frame_summary(current: DataFrame, lost: DataFrame, masks: DataFrame, years: DataFrame, px_area_ha: float, starts: DataFrame) -> DataFrame:
-    """(site_id, t, mode, area_ha, lost_ha, compare_year) for each requested year. current, lost: pixel rows (site_id, t); starts: site_id, start_year."""
-    seen = masks.select("site_id", "year").distinct()
-    at = seen.select("site_id").distinct().join(F.broadcast(years))
-    obs = at.join(seen, "site_id").where("abs(year - t) < 1e-6").select("site_id", "t").distinct().withColumn("_obs", F.lit(True))
-    area = current.groupBy("site_id", "t").agg((F.count(F.lit(1)) * F.lit(px_area_ha)).alias("area_ha"))
-    gone = lost.groupBy("site_id", "t").agg((F.count(F.lit(1)) * F.lit(px_area_ha)).alias("lost_ha"))
-    first = masks.groupBy("site_id").agg(F.min("year").alias("_first"))
-    on = ["site_id", "t"]
-    mode = F.when(F.expr("t > start_year + 1e-9"), "pred").when(F.col("_obs"), "obs").otherwise("interp")
-    return (
-        at.join(obs, on, "left").join(area, on, "left").join(gone, on, "left").join(first, "site_id").join(starts, "site_id")
-        .select(*on, mode.alias("mode"), F.coalesce("area_ha", F.lit(0.0)).alias("area_ha"), F.coalesce("lost_ha", F.lit(0.0)).alias("lost_ha"),
-                F.when(F.expr("_first < t - 1e-9"), F.col("_first")).alias("compare_year"))
-    )

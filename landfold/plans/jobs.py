@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landfold.keys import K
 from landfold.operators import buffer, change, geometry, landcover, projection, stats, trend, water
+from landfold.operators import frames as frame
 from landfold.operators.bands import grayscale_flag
 from landfold.tables import written
 
@@ -51,20 +52,42 @@ def areas(bands: DataFrame, scenes: DataFrame, samples: DataFrame, polygons: Dat
     return s.select(*K, "year", *(F.round(c, 6).alias(c) for c in ("land", "buffer", "forest", "sparse", "field", "built", "rate", "share_pct")))
 
 
-def frames(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int = 1, jitter_px: float = 6.0) -> DataFrame:
-    """(site_id, t, mode, area_ha, lost_ha, compare_year) of observed, interpolated and projected years.
+def _frame_parts(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int, jitter_px: float, options: DataFrame | None) -> tuple[DataFrame, ...]:
+    """Scenes, options, setup, plan, intervals and removal order of all sites, written; the removal starts at each site's own start."""
+    scenes = written(frame.scene_counts(masks), "scenes")
+    own = written(frame.site_options(scenes, options), "options")
+    setup = written(trend.projection_setups(scenes.withColumn("area_ha", F.col("n") * F.lit(px_area_ha)), own), "setup")
+    intervals = written(change.build_intervals(masks, seed, jitter_px), "intervals")
+    last = F.max(F.when(F.col("year") <= F.col("start_year"), F.struct("k", "scene_id")))["scene_id"]
+    starts = scenes.join(setup.select("site_id", "start_year"), "site_id").groupBy("site_id").agg(last.alias("scene_id")).join(own.select("site_id", "protect_px"), "site_id")
+    order = written(projection.removal_order(masks.join(starts, ["site_id", "scene_id"]), seed, jitter_px, F.col("protect_px")), "order")
+    return scenes, own, setup, written(frame.frame_plan(scenes, setup, years), "plan"), intervals, order
+
 
-    masks: dense, with year, buffer, forest, built; the projection starts at each site's own last scene.
+def frames(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int = 1, jitter_px: float = 6.0, options: DataFrame | None = None) -> DataFrame:
+    """(site_id, t, mode, area_ha, lost_ha, compare_year, base, scene_id, f) of observed, interpolated and projected years.
+
+    masks: dense, with year, buffer, forest, built. options: site_id and any of base, model, start_id, threshold_pct,
+    protect_px, manual_rate_pct; what a site lacks is as in ``frames.DEFAULTS``: the projection starts at its own last scene.
     """
-    starts = written(masks.groupBy("site_id").agg(F.max("year").cast("double").alias("start_year")), "starts")
-    latest = starts.agg(F.max("start_year")).first()[0]
-    dated = lambda df: df.join(F.broadcast(starts), "site_id")
-    intervals = written(change.build_intervals(masks, seed, jitter_px), "intervals")
-    past = dated(change.interpolate_mask(masks, intervals, years.where(F.col("t") <= latest + 1e-9))).where("t <= start_year + 1e-9").drop("start_year")
-    series = masks.groupBy("site_id", "scene_id", "year").agg((F.count_if("buffer") * F.lit(px_area_ha)).alias("area_ha"))
-    setup = trend.projection_setup(series)
-    order = written(projection.removal_order(dated(masks).where("year = start_year").drop("start_year"), seed, jitter_px), "order")
-    schedule = dated(trend.area_schedule(setup, years)).where("t > start_year + 1e-9").drop("start_year")
-    future = projection.projected_mask(order, schedule, px_area_ha)
-    current = written(past.union(future), "frames")
-    return change.frame_summary(current, change.lost_vs_base(current, masks, years), masks, years, px_area_ha, starts)
+    scenes, own, setup, plan, intervals, order = _frame_parts(masks, years, px_area_ha, seed, jitter_px, options)
+    return frame.frame_areas(masks, scenes, intervals, order, setup, own, plan, px_area_ha)
+
+
+def frame_pixels(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int = 1, jitter_px: float = 6.0, options: DataFrame | None = None) -> DataFrame:
+    """(site_id, t, x, y, buffer, lost, forest) of a few years, where any holds: the frame's buffer, what it lost, and the base scene's forest with what was lost."""
+    scenes, own, setup, plan, intervals, order = _frame_parts(masks, years, px_area_ha, seed, jitter_px, options)
+    asked = plan.select("site_id", "t", "mode")
+    past = change.interpolate_mask(masks, intervals, years).join(asked.where("mode <> 'pred'").select("site_id", "t"), ["site_id", "t"], "left_semi")
+    future = projection.projected_mask(order, trend.area_schedule(setup, years), px_area_ha).join(asked.where("mode = 'pred'").select("site_id", "t"), ["site_id", "t"], "left_semi")
+    current = written(past.union(future), "current")
+    lost = None
+    for base in [r[0] for r in own.select("base").distinct().collect()]:  # the kinds of bases that are asked for
+        sites = own.where(F.col("base") == base).select("site_id")
+        part = change.lost_vs_base(current, masks.join(sites, "site_id", "left_semi"), years, base, starts=setup)
+        lost = part if lost is None else lost.union(part)
+    flag = lambda df, *names: df.select("site_id", "t", "x", "y", *((F.lit(n in names)).alias(n) for n in ("buffer", "lost", "forest")))
+    forest = masks.where("forest").select("site_id", "scene_id", "x", "y").join(plan.select("site_id", "t", "scene_id"), ["site_id", "scene_id"])
+    rows = flag(current, "buffer").union(flag(forest, "forest"))
+    rows = rows if lost is None else rows.union(flag(lost, "lost", "forest"))
+    return rows.groupBy("site_id", "t", "x", "y").agg(*(F.max(n).alias(n) for n in ("buffer", "lost", "forest")))

@@ -426,13 +426,13 @@ add("frame_years", """SELECT site_id, year::DOUBLE AS t FROM series UNION SELECT
 UNION SELECT site_id, floor(disappear_year + 0.5) FROM setup WHERE disappear_year IS NOT NULL""", SETUP)
 
 
-def order(jitter: bool, protect: float) -> str:
-    """CTEs ro: site_id, x, y, rank of the last scene's buffer."""
-    last = "(SELECT * FROM m WHERE scene_id = 'e')"
+def order(jitter: bool, protect: float, scene: str = "e", n: str = "") -> str:
+    """CTEs ro{n}: site_id, x, y, rank of the start scene's buffer."""
+    start = f"(SELECT * FROM m WHERE scene_id = '{scene}')"
     return ", ".join([
-        near("rf", last, "forest", "buffer"), near("rb", last, "built", "buffer"),
-        f"rn AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY y, x) - 1 AS j FROM rf), r0 AS (SELECT rn.site_id, rn.x, rn.y, ((rn.d3 / 3::DOUBLE)::FLOAT + {draw('104730', 'j')} * 6)::FLOAT AS p0, {protect}::DOUBLE - (rb.d3 / 3::DOUBLE)::FLOAT::DOUBLE AS gap FROM rn JOIN rb USING (site_id, x, y))",
-        "r1 AS (SELECT *, CASE WHEN gap > 0 THEN (p0 + gap)::FLOAT ELSE p0 END AS p FROM r0)", ranked("ro", "r1", "site_id", "p"),
+        near(f"rf{n}", start, "forest", "buffer"), near(f"rb{n}", start, "built", "buffer"),
+        f"rn{n} AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY y, x) - 1 AS j FROM rf{n}), r0{n} AS (SELECT a.site_id, a.x, a.y, ((a.d3 / 3::DOUBLE)::FLOAT + {draw('104730', 'j')} * 6)::FLOAT AS p0, {protect}::DOUBLE - (b.d3 / 3::DOUBLE)::FLOAT::DOUBLE AS gap FROM rn{n} a JOIN rb{n} b USING (site_id, x, y))",
+        f"r1{n} AS (SELECT *, CASE WHEN gap > 0 THEN (p0 + gap)::FLOAT ELSE p0 END AS p FROM r0{n})", ranked(f"ro{n}", f"r1{n}", "site_id", "p"),
     ])
 
 
@@ -450,6 +450,44 @@ CASE WHEN ts.t > 1990 THEN 1990 END AS compare_year FROM sites z CROSS JOIN ts L
 add("frame_summary", "SELECT site_id, t, mode, round(area_ha, 6) AS area_ha, round(lost_ha, 6) AS lost_ha, compare_year FROM frm", ", ".join([INTERVALS, frames(1988, 2040, 4), order(True, 0), SETUP, FUTURE, SUMMARY]))
 add("write_frame_table", "SELECT site_id::VARCHAR AS site_id, t::VARCHAR AS year, mode, printf('%.2f', area_ha) AS buffer_ha, printf('%.2f', lost_ha) AS lost_ha, compare_year::BIGINT AS compare_year FROM frm", ", ".join([INTERVALS, frames(1990, 2022, 4), order(True, 0), SETUP, FUTURE, SUMMARY]))
 
+#: Options of the sites of ``frame_bases``: base, start scene and its year, slope of the line or of the logarithm, whether it is of the logarithm, protection.
+OPTIONS = [
+    ("all", "e", 2022, "regr_slope(area_ha, year)", False, 0), ("prev", "d", 2014, "regr_slope(ln(area_ha), year)", True, 0), ("first", "e", 2022, "(arg_max(area_ha, year) - max(area_ha) FILTER (year = 2014)) / 8", False, 5),
+    ("c", "c", 2005, "-0.04::DOUBLE", True, 0), ("none", "e", 2022, "regr_slope(area_ha, year)", False, 0),
+]
+
+
+def framed(n: int) -> str:
+    """CTEs fr{n}: site_id, t, mode, compare_year, bs (base scene), px{n}: the pixels with flags buffer, lost and forest."""
+    base, scene, year, slope, log, protect = OPTIONS[n]
+    line = "a0 * exp(slope * (t - 1.0 * Y))" if log else "a0 + slope * (t - 1.0 * Y)"
+    before = "(SELECT max(s.year) FROM scenes s WHERE s.year < t)"
+    year_of = {
+        "all": "CASE WHEN t > 1990 THEN 1990 END", "first": "CASE WHEN t > 1990 THEN 1990 END", "c": "CASE WHEN t > 2005 THEN 2005 END", "none": "NULL::INT",
+        "prev": f"CASE WHEN t > {year} THEN {year} WHEN t < 1990 THEN 1990 ELSE {before} END",
+    }[base]
+    past = {"all": "m.year < t", "none": "FALSE"}.get(base, "m.year = compare_year")
+    return f"""cn{n} AS (SELECT site_id, count(*) AS n FROM ro{n} GROUP BY 1),
+tr{n} AS (SELECT site_id, {slope} AS slope, arg_max(area_ha, year) AS a0 FROM series WHERE year <= {year} GROUP BY 1),
+fr{n} AS (SELECT z.site_id, t, CASE WHEN t > {year} THEN 'pred' WHEN t IN (SELECT year FROM scenes) THEN 'obs' ELSE 'interp' END AS mode, {year_of} AS compare_year,
+  CASE WHEN t > {year} THEN '{scene}' WHEN t < 1990 THEN 'a' ELSE (SELECT arg_max(s.scene_id, s.year) FROM scenes s WHERE s.year <= t) END AS bs FROM sites z, ts),
+nw{n} AS (SELECT site_id, t, x, y FROM cur WHERE t <= {year} UNION ALL SELECT site_id, t, x, y FROM ro{n} JOIN cn{n} USING (site_id) JOIN tr{n} USING (site_id), ts
+  WHERE t > {year} AND rank >= least(n, greatest(0, floor((n * 0.0004::DOUBLE - greatest(0, least(a0, {line.replace("Y", str(year))}))) / 0.0004::DOUBLE + 0.5)))),
+lo{n} AS (SELECT DISTINCT m.site_id, t, x, y FROM m JOIN fr{n} USING (site_id) WHERE m.buffer AND {past}),
+ls{n} AS (SELECT * FROM lo{n} ANTI JOIN nw{n} USING (site_id, t, x, y)),
+px{n} AS (SELECT site_id, t, x, y, max(b) AS b, max(l) AS l, max(f) AS f FROM (SELECT *, 1 AS b, 0 AS l, 0 AS f FROM nw{n} UNION ALL SELECT *, 0, 1, 1 FROM ls{n}
+  UNION ALL SELECT m.site_id, t, x, y, 0, 0, 1 FROM m JOIN fr{n} ON m.site_id = fr{n}.site_id AND m.scene_id = bs WHERE m.forest) GROUP BY ALL)"""
+
+
+def all_framed(select: str) -> str:
+    return " UNION ALL ".join(select.replace("{n}", str(n)) for n in range(len(OPTIONS)))
+
+
+FRAMED = ", ".join([*(order(True, o[5], o[1], str(n)) for n, o in enumerate(OPTIONS)), *(framed(n) for n in range(len(OPTIONS)))])
+add("frame_bases", all_framed("""SELECT site_id * 10 + {n} AS site_id, t, mode, round(coalesce(b.n, 0) * 0.0004::DOUBLE, 6) AS area_ha, round(coalesce(l.n, 0) * 0.0004::DOUBLE, 6) AS lost_ha, compare_year::DOUBLE AS compare_year, bs AS scene_id
+FROM fr{n} LEFT JOIN (SELECT site_id, t, count(*) AS n FROM nw{n} GROUP BY ALL) b USING (site_id, t) LEFT JOIN (SELECT site_id, t, count(*) AS n FROM ls{n} GROUP BY ALL) l USING (site_id, t)"""), f"{INTERVALS}, {frames(1988, 2040, 1)}, {FRAMED}")
+add("frame_pixels", all_framed("SELECT site_id * 10 + {n} AS site_id, t, sum(b)::BIGINT AS buffer, sum(l)::BIGINT AS lost, sum(f)::BIGINT AS forest, sum((y * 100 + x) * (1 + 2 * b + 3 * l + 5 * f))::BIGINT AS mark FROM px{n} GROUP BY site_id, t"), f"{INTERVALS}, {frames(1988, 2040, 13)}, {FRAMED}")
+
 # trend and projection
 add("fit_trend", """SELECT site_id, 'linear' AS model, 'linear' AS kind, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, points, TRUE AS ok FROM lin
 UNION ALL SELECT site_id, 'exp', 'exp', round(slope, 6), round(intercept, 4), round(r2, 6), points, TRUE FROM ex

@@ -705,6 +705,36 @@ def frame_summary(spark, sf_dir):
     return jobs.frames(X.masks(spark, sf_dir), X.years(spark, 1988, 2040, 4.0), HA).select("site_id", "t", "mode", *r6("area_ha", "lost_ha"), "compare_year")
 
 
+#: Options of the sites of ``frame_bases``: base, model, start scene, threshold, protection, manual rate.
+FRAME_OPTIONS = [("all", "linear", None, 5.0, 0.0, None), ("prev", "exp", "d", 10.0, None, None), ("first", "last", None, 5.0, 5.0, None), ("c", "manual", "c", None, 0.0, -4.0), ("none", None, "no scene", 5.0, 0.0, None)]
+
+
+def _optioned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The sites once for each set of options, and the options of each."""
+    rows = spark.createDataFrame([(n, *o) for n, o in enumerate(FRAME_OPTIONS)], "n int, base string, model string, start_id string, threshold_pct double, protect_px double, manual_rate_pct double")
+    number = (F.col("site_id") * 10 + F.col("n")).alias("site_id")
+    m = X.masks(spark, sf_dir).select("site_id", "scene_id", "year", "x", "y", "buffer", "forest", "built").crossJoin(F.broadcast(rows.select("n")))
+    return m.select(number, *(c for c in m.columns if c not in ("site_id", "n"))), X.sites(spark, sf_dir).crossJoin(rows).select(number, *(c for c in rows.columns if c != "n"))
+
+
+@query
+def frame_bases(spark, sf_dir):
+    """Frames of every year, each site with its own base, model, start, threshold and protection."""
+    masks, options = _optioned(spark, sf_dir)
+    made = jobs.frames(masks, X.years(spark, 1988, 2040, 1), HA, options=options)
+    return made.select("site_id", "t", "mode", *r6("area_ha", "lost_ha"), F.col("compare_year").cast("double").alias("compare_year"), "scene_id")
+
+
+@query
+def frame_pixels(spark, sf_dir):
+    """The masks of a few frames: buffer, lost, and forest with what was lost."""
+    masks, options = _optioned(spark, sf_dir)
+    px = jobs.frame_pixels(masks, X.years(spark, 1988, 2040, 13), HA, options=options)
+    flags = {c: F.col(c).cast("long") for c in ("buffer", "lost", "forest")}
+    mark = (F.col("y") * 100 + F.col("x")) * (1 + 2 * flags["buffer"] + 3 * flags["lost"] + 5 * flags["forest"])
+    return px.groupBy("site_id", "t").agg(*(F.sum(v).alias(c) for c, v in flags.items()), F.sum(mark).alias("mark"))
+
+
 # --- trend and projection
 
 

@@ -351,3 +351,24 @@ def test_frames_start_at_each_sites_own_last_scene(spark):
     together = frames(early + late)
     assert together == sorted(frames(early) + frames(late))
     assert [(t, mode, area) for s, t, mode, area, *_ in together if s == "a"][1:] == [(2010.0, "obs", 24.0), (2015.0, "pred", 21.0), (2020.0, "pred", 18.0), (2025.0, "pred", 15.0)]
+
+
+def test_frames_by_counts_equal_frames_by_pixels(spark):
+    """Random masks of sites with scenes, starts, models and bases of their own; years before, at, between and after the scenes."""
+    rnd = random.Random(11)
+    made, options = [], []
+    scenes = {1: [2000, 2003, 2010, 2016], 2: [1995, 2003], 3: [2001], 4: [2000, 2004, 2008, 2012, 2016], 5: [2000, 2010, 2020]}
+    for site, years in scenes.items():
+        for k, year in enumerate(years):
+            made += [(site, f"s{k}", float(year), x, y, rnd.random() < 0.55 - 0.08 * k, rnd.random() < 0.2, rnd.random() < 0.1) for x in range(9) for y in range(7)]
+    masks = spark.createDataFrame(made, "site_id long, scene_id string, year double, x long, y long, buffer boolean, forest boolean, built boolean")
+    options = [(1, "all", "exp", "s2", 3.0), (2, "prev", "linear", None, 0.0), (3, "first", "linear", None, None), (4, "s1", "last", "s3", 0.0), (5, "prev", "manual", "s1", 2.0)]
+    options = spark.createDataFrame(options, "site_id long, base string, model string, start_id string, protect_px double")
+    years = spark.createDataFrame([(t,) for t in (1990.0, 2000.0, 2001.5, 2003.0 + 1e-8, 2003.0, 2006.2, 2009.9, 2010.0, 2012.0, 2015.0, 2016.0, 2019.0, 2024.0, 2050.0, 2050.0)], "t double")
+    got = {(r.site_id, r.t): (round(r.area_ha), round(r.lost_ha), r.compare_year, r.mode) for r in jobs.frames(masks, years, 1.0, options=options).collect()}
+    px = jobs.frame_pixels(masks, years, 1.0, options=options).groupBy("site_id", "t").agg(F.count_if("buffer").alias("b"), F.count_if("lost").alias("l")).collect()
+    want = {(r.site_id, r.t): (r.b, r.l) for r in px}
+    assert len(got) == 5 * 14 and {k: v[:2] for k, v in got.items() if abs(k[1] - 2003) > 1e-9 or k[1] == 2003} == {k: want.get(k, (0, 0)) for k in got if abs(k[1] - 2003) > 1e-9 or k[1] == 2003}
+    assert got[1, 2003.0 + 1e-8][:2] == got[1, 2003.0][:2] and got[1, 2003.0 + 1e-8][3] == "obs"
+    assert got[2, 1990.0][2] == 1995 and got[2, 2003.0][2] == 1995 and got[5, 2015.0][2:] == (2010.0, "pred") and got[4, 2003.0][2] is None and got[4, 2050.0][2] == 2004
+    assert jobs.frames(masks.limit(0), years, 1.0).count() == 0
