@@ -22,10 +22,13 @@ def _water_of(bands: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
     return written(water.water_mask(water.water_votes(bands, tex_max=12), sizes, p["min_land_region"]), "water")
 
 
-def land_cover(bands: DataFrame, scenes: DataFrame, samples: DataFrame, sizes: DataFrame, p: dict) -> DataFrame:
-    """Classes of every pixel of every scene. The bands feed water, coast and features, so they are written once."""
+def land_cover(bands: DataFrame, scenes: DataFrame, samples: DataFrame, sizes: DataFrame, p: dict, wet: DataFrame | None = None) -> DataFrame:
+    """Classes of every pixel of every scene. The bands feed water, coast and features, so they are written once.
+
+    wet: the sites' water masks (site_id, x, y, water) where they are known; else they are made from these scenes.
+    """
     bands = written(bands.select(*K, "x", "y", "lum", "chroma", "green", "blue"), "bands")
-    coast = water.coastal_zone(bands, _water_of(bands, sizes, p))
+    coast = water.coastal_zone(bands, _water_of(bands, sizes, p) if wet is None else wet)
     params = landcover.resolve_params(scenes.select(*K, "params"), grayscale_flag(bands), {**landcover.DEFAULTS, "minRegionPx": p["min_region"]})
     circles = landcover.samples_for_scene(samples, bands.select(*K).distinct())
     classes = landcover.classify_scene(coast, params, circles, sizes)

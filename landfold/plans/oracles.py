@@ -338,6 +338,7 @@ COVER = ", ".join([
     "classes AS (SELECT k3.site_id, k3.scene_id, k3.x, k3.y, k3.land, coast, water, f3 AS forest, s3 AS sparse, o2 AS open, k3.built, by_samples FROM k3 JOIN cv USING (site_id, scene_id, x, y))",
 ])
 add("classify_scene", "SELECT * FROM classes", COVER)
+add("refreshed_classes", "SELECT site_id, scene_id, (scene_id = 'e')::INT AS run, " + ", ".join(f"count(*) FILTER ({c}) AS {c}" for c in ("water", "forest", "sparse", "open", "built")) + " FROM classes GROUP BY ALL", COVER)
 
 
 def zoned(source: str) -> str:

@@ -11,7 +11,7 @@ from landfold.functions import gps
 from landfold.keys import K, PIXEL
 from landfold.operators import bands as B
 from landfold.operators import buffer, change, distance, focal, geometry, landcover, projection, regions, rle, stats, trend, water
-from landfold.plans import jobs
+from landfold.plans import jobs, upkeep
 from landfold.sources import fixtures as X
 from landfold.sources import images, settings
 from landfold.tables import new_path
@@ -220,6 +220,15 @@ def append_scenes(spark, sf_dir):
     return settings.append_scenes(now, more)
 
 
+@query
+def refreshed_classes(spark, sf_dir):
+    """Four scenes are computed; then the last one arrives and is computed alone, with the water mask that is there."""
+    root, all_bands, scenes = new_path(spark, "upkeep"), bands(spark, sf_dir), catalogue(spark, sf_dir)
+    upkeep.refreshed_classes(root, all_bands.where("scene_id <> 'e'"), scenes.where("scene_id <> 'e'"), circles(spark, sf_dir), X.sizes(spark, sf_dir), SMALL)
+    c = upkeep.refreshed_classes(root, all_bands, scenes, circles(spark, sf_dir), X.sizes(spark, sf_dir), SMALL)
+    return c.groupBy(*K, "run").agg(*(F.count_if(n).alias(n) for n in ("water", "forest", "sparse", "open", "built")))
+
+
 # --- expressions on pixels
 
 

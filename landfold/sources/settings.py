@@ -152,17 +152,23 @@ def read_photos(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def append_scenes(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """existing plus incoming scenes (site_id, scene_id, year, ...): a taken id gets a suffix, a missing year max + 10 n.
+    """existing plus incoming scenes (site_id, scene_id, year, arrival): a missing year is the site's last plus 10 n.
 
-    ``is_new`` marks the scenes to compute; masks of water that a site has are used again.
+    The first to bring an id that the site lacks keeps it; any other gets the smallest suffix ``_1, _2 ...`` that makes an
+    id which neither an existing nor an incoming scene has. ``is_new`` marks the scenes to compute (``plans.upkeep`` computes only those).
     """
-    taken = existing.select("site_id", "scene_id").distinct().withColumn("_taken", F.lit(True))
+    taken = existing.select("site_id", "scene_id").distinct()
     last = existing.groupBy("site_id").agg(F.max("year").alias("_last"))
-    again = Window.partitionBy("site_id", "scene_id").orderBy("arrival")
-    n = incoming.withColumn("_n", F.row_number().over(Window.partitionBy("site_id").orderBy("arrival"))).withColumn("_same", F.row_number().over(again) - 1)
-    n = n.join(taken, ["site_id", "scene_id"], "left").join(last, "site_id", "left")
-    copy = F.col("_same") + F.coalesce(F.col("_taken").cast("int"), F.lit(0))
-    n = n.withColumn("scene_id", F.when(copy > 0, F.concat_ws("_", "scene_id", copy.cast("string"))).otherwise(F.col("scene_id")))
+    n = incoming.withColumn("_n", F.row_number().over(Window.partitionBy("site_id").orderBy("arrival")))
+    n = n.join(taken.withColumn("_taken", F.lit(1)), ["site_id", "scene_id"], "left").join(last, "site_id", "left")
+    again = F.row_number().over(Window.partitionBy("site_id", "scene_id").orderBy("arrival")) - 1
+    n = n.withColumn("_j", again + F.coalesce("_taken", F.lit(0)))  # the j-th of its id that needs a suffix
+    names = taken.union(incoming.select("site_id", "scene_id")).distinct()
+    used = names.select("site_id", F.regexp_extract("scene_id", "(?s)^(.*)_[1-9][0-9]{0,8}$", 1).alias("scene_id"), F.regexp_extract("scene_id", "_([1-9][0-9]{0,8})$", 1).alias("_m")).where("_m <> ''")
+    used = used.groupBy("site_id", "scene_id").agg(F.collect_set(F.col("_m").cast("int")).alias("_used"))
+    n = n.join(used, ["site_id", "scene_id"], "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
+    free = F.expr("filter(sequence(1, _j + size(_used)), v -> not array_contains(_used, v))[_j - 1]")
+    n = n.withColumn("scene_id", F.when(F.col("_j") > 0, F.concat_ws("_", "scene_id", free.cast("string"))).otherwise(F.col("scene_id")))
     n = n.withColumn("year", F.coalesce("year", F.col("_last") + 10 * F.col("_n"))).withColumn("is_new", F.lit(True))
     return existing.withColumn("is_new", F.lit(False)).select("site_id", "scene_id", "year", "is_new").unionByName(n.select("site_id", "scene_id", "year", "is_new"))
 
