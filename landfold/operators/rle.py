@@ -6,22 +6,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landfold.keys import K
+from landfold.tables import written
 
 
-def rle_encode(px: DataFrame, col: str) -> DataFrame:
-    """(site_id, scene_id, runs array<bigint>): value, length, value, length ... of a dense raster; no row for none.
+#: Longest run of the code; longer ones are several.
+LONGEST = 1_000_000_000
+
+
+def rle_runs(px: DataFrame, col: str, band: int = 16, longest: int = LONGEST) -> DataFrame:
+    """(site_id, scene_id, start, v, n): one row a run of equal values of a dense raster in raster order; start counts the pixels before.
 
-    Runs inside a row first, then equal neighbours across rows are merged, so that only runs meet in one place.
+    Runs are made inside a row, merged inside a band of rows, and then only each band's first and last run meet those of
+    the bands beside it: no task holds a scene, and the band's height does not change a result. Nulls make runs of their own.
     """
     row = Window.partitionBy(*K, "y").orderBy("x")
-    px = px.withColumn("_new", F.coalesce(F.lag(col).over(row) != F.col(col), F.lit(True)).cast("int"))
-    px = px.withColumn("_run", F.sum("_new").over(row))
-    short = px.groupBy(*K, "y", "_run").agg(F.first(col).alias("v"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*K).orderBy("y", "_run")
-    short = short.withColumn("_g", F.sum(F.coalesce(F.lag("v").over(order) != F.col("v"), F.lit(True)).cast("int")).over(order))
-    long = short.groupBy(*K, "_g").agg(F.first("v").alias("v"), F.sum("n").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.struct("_g", F.col("v").cast("long").alias("v"), F.col("n").cast("long").alias("n"))))
-    return long.groupBy(*K).agg(F.flatten(F.transform(pairs, lambda p: F.array(p["v"], p["n"]))).alias("runs"))
+    px = px.select(*K, "x", "y", F.col(col).cast("long").alias("v"))
+    new = lambda w: (F.lag(F.lit(1)).over(w).isNull() | ~F.lag("v").over(w).eqNullSafe(F.col("v"))).cast("int")
+    short = px.withColumn("_new", new(row)).withColumn("_run", F.sum("_new").over(row)).groupBy(*K, "y", "_run").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(*K, "_band").orderBy("y", "_run")
+    inside = short.withColumn("_band", F.expr(f"y div {band}")).withColumn("_new", new(own)).withColumn("_g", F.sum("_new").over(own))
+    runs = inside.groupBy(*K, "_band", "_g").agg(F.first("v").alias("v"), F.sum("n").alias("n"))
+    whole = Window.partitionBy(*K, "_band")
+    runs = runs.withColumns({"_last": F.max("_g").over(whole), "_before": F.sum("n").over(whole.orderBy("_g")) - F.col("n"), "_size": F.sum("n").over(whole)})
+    runs = written(runs, "runs")  # read for the bands' edges and for what is inside them
+    scene = Window.partitionBy(*K).orderBy("_band", "_g")  # two rows a band
+    rim = runs.where("_g = 1 or _g = _last").withColumn("_of", F.sum(F.when(F.col("_g") == 1, F.col("_size")).otherwise(0)).over(scene) - F.col("_size"))
+    joins = (F.col("_g") == 1) & (F.lag("_g").over(scene).isNotNull()) & F.lag("v").over(scene).eqNullSafe(F.col("v"))
+    rim = rim.withColumn("_k", F.sum((~joins).cast("int")).over(scene)).withColumn("start", F.col("_of") + F.col("_before"))
+    ends = rim.groupBy(*K, "_k").agg(F.min("start").alias("start"), F.first("v").alias("v"), F.sum("n").alias("n")).drop("_k")
+    places = rim.where("_g = 1").select(*K, "_band", "_of")
+    middle = runs.where("_g > 1 and _g < _last").join(places, [*K, "_band"]).select(*K, (F.col("_of") + F.col("_before")).alias("start"), "v", "n")
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {longest}"))).alias("_part")
+    return ends.unionByName(middle).select("*", cut).select(*K, (F.col("start") + F.col("_part") * longest).alias("start"), "v", F.least(F.lit(longest).cast("long"), F.col("n") - F.col("_part") * longest).alias("n"))
+
+
+def rle_encode(px: DataFrame, col: str, band: int = 16) -> DataFrame:
+    """(site_id, scene_id, runs array<bigint>): value, length, value, length ... of a dense raster; no row for none.
+
+    The array is what settings store; only here the runs of a scene meet. ``rle_runs`` are the same as rows.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct("start", "v", "n")))
+    return rle_runs(px, col, band).groupBy(*K).agg(F.flatten(F.transform(pairs, lambda p: F.array(p["v"], p["n"]))).alias("runs"))
 
 
 def rle_decode(runs: DataFrame, sizes: DataFrame, out: str = "v") -> DataFrame:

@@ -510,6 +510,8 @@ add("hindcast", """SELECT s.site_id, scene_id, year, round(area_ha, 6) AS area_h
 SELECT s.*, greatest(0, least(c.area_ha, c.area_ha + l.slope * (s.year - 2005))) AS p FROM series s JOIN lin3 l USING (site_id) JOIN series c ON c.site_id = s.site_id AND c.scene_id = 'c' WHERE s.year > 2005) s""", TREND.format(n="lin3", y="area_ha", s="(SELECT * FROM series WHERE year <= 2005)"))
 
 # coding, text and dates
+add("rle_runs", """SELECT site_id, scene_id, min(i)::BIGINT AS start, v, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY site_id, scene_id, v ORDER BY i) AS g
+  FROM (SELECT site_id, scene_id, (CASE WHEN y % 9 < 4 AND x >= y % 9 THEN 0 ELSE (cls = 1)::INT - (cls = 0)::INT END)::BIGINT AS v, row_number() OVER (PARTITION BY site_id, scene_id ORDER BY y, x) - 1 AS i FROM px)) GROUP BY site_id, scene_id, v, g""")
 add("rle_encode", "SELECT site_id, scene_id, array_to_string(runs, ',') AS runs FROM rle", RLE)
 add("rle_decode", "SELECT site_id, scene_id, x, y, (cls = 1)::BIGINT - (cls = 0)::BIGINT AS v FROM px")
 add("dms_to_decimal", "SELECT name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM img", FILES)

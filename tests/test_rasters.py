@@ -268,6 +268,24 @@ def test_run_lengths_round_trip(spark):
     assert {(r.site_id, r.x, r.y): r.v for r in back} == {(s, x, y): v for s, _, x, y, v in rows}
 
 
+@pytest.mark.parametrize("band", [1, 3, 100])
+def test_runs_for_any_band(spark, band):
+    """Runs over many bands, bands of one run, nulls, and runs that are cut as too long."""
+    rnd = random.Random(9)
+    lines = [[rnd.choice([0, 0, 1, None]) if y in (4, 9) else 7 if y < 4 or 5 < y < 8 else 2 for x in range(6)] for y in range(13)]
+    rows = [(0, s, x, y, v) for s in "ab" for y, line in enumerate(lines if s == "a" else [[3] * 6] * 13) for x, v in enumerate(line)]
+    px = spark.createDataFrame(rows, "site_id long, scene_id string, x long, y long, v int")
+    want, flat = [], [v for line in lines for v in line]
+    for k, v in enumerate(flat):
+        if k and v == flat[k - 1] and want[-1][2] < 10:
+            want[-1][2] += 1
+        else:
+            want.append([k, v, 1])
+    got = sorted((r.scene_id, r.start, r.v, r.n) for r in rle.rle_runs(px, "v", band, 10).collect())
+    assert got == [("a", *w) for w in want] + [("b", k, 3, min(10, 78 - k)) for k in range(0, 78, 10)]
+    assert rle.rle_runs(px.limit(0), "v", band).count() == 0
+
+
 def series(spark, by_site):
     return spark.createDataFrame([(s, str(k), float(x), y) for s, points in by_site.items() for k, (x, y) in enumerate(points)], "site_id string, scene_id string, year double, area_ha double")
 
