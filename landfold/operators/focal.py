@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from landfold.keys import K, PIXEL
 
@@ -114,6 +115,25 @@ def _tile_features(lum, chroma, green, inside, border, smooth: int, tex: int) ->
     return [mean(a, smooth) for a in (lum, chroma, green, std(lum, tex), low, std(lum, 2 * tex + 1))] + [mean(edge, max(smooth, tex))]
 
 
+def features_in_tile(g: pd.DataFrame, smooth: int, tex: int) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The seven features of a tile's pixels(x, y, lum, chroma, green, width, height) as arrays, and the pixels' places in them."""
+    x0, y0 = g["x"].min(), g["y"].min()
+    h, w = int(g["y"].max() - y0 + 1), int(g["x"].max() - x0 + 1)
+    at = (g["y"].to_numpy() - y0, g["x"].to_numpy() - x0)
+    planes = []
+    for c in ("lum", "chroma", "green"):
+        a = np.zeros((h, w))
+        a[at] = g[c]
+        planes.append(a)
+    inside = np.zeros((h, w), bool)
+    inside[at] = True
+    width, height = (int(g[c].iloc[0]) for c in ("width", "height"))
+    border = np.zeros((h, w), bool)
+    border[[k for k in (0, height - 1) if y0 <= k < y0 + h] - y0, :] = True
+    border[:, [k for k in (0, width - 1) if x0 <= k < x0 + w] - x0] = True
+    return _tile_features(*planes, inside, border, smooth, tex), at
+
+
 def to_tiles(px: DataFrame, halo: int, tile: int) -> DataFrame:
     """px with ``tx, ty``: each pixel once for its own tile and once for each neighbour whose halo it is in."""
     span = lambda c, n: F.sequence(F.floor(F.greatest(F.col(c) - halo, F.lit(0)) / tile), F.floor(F.least(F.col(c) + halo, F.col(n) - 1) / tile))
@@ -126,13 +146,13 @@ def tile_grid(rows: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
     return rows.join(grid.select("site_id", "tx", "ty"), "site_id")
 
 
-def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256, carry: tuple[str, ...] = (), windows: DataFrame | None = None) -> DataFrame:
+def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256, carry: tuple[str, ...] = (), windows: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """(site_id, scene_id, x, y, carried columns without nulls, seven features): the same features in one exchange.
 
     Each pixel goes to its own tile and, within the halo, to the neighbouring ones; a task computes one tile with
     cumulative sums. The halo covers the widest window, so that the tile's size does not change results.
     ``windows``: one row a scene (site_id, scene_id, smooth, texRadius), with radii of its own; its further columns,
-    numbers, are passed on. Scenes without a row take the radii of the call.
+    numbers, are passed on. Scenes without a row take the radii of the call. ``only``: the tiles to compute (site_id, scene_id, tx, ty).
     """
     more, widest = [], (smooth, tex_radius)
     if windows is not None:
@@ -141,24 +161,12 @@ def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radiu
         widest = tuple(max(int(t or 0), w) for t, w in zip(top, widest))
     halo = 2 * widest[1] + 1 + max(widest)
     dealt = to_tiles(bands.select(*PIXEL, "lum", "chroma", "green", *carry).join(sizes, "site_id"), halo, tile)
+    dealt = dealt if only is None else dealt.join(only, [*K, "tx", "ty"], "left_semi")
     names = [*PIXEL, *carry, *FEATURES, *more]
 
     def made(g: pd.DataFrame, radii: tuple[int, int]) -> pd.DataFrame:
-        x0, y0 = g["x"].min(), g["y"].min()
-        h, w = int(g["y"].max() - y0 + 1), int(g["x"].max() - x0 + 1)
-        at = (g["y"].to_numpy() - y0, g["x"].to_numpy() - x0)
-        planes = []
-        for c in ("lum", "chroma", "green"):
-            a = np.zeros((h, w))
-            a[at] = g[c]
-            planes.append(a)
-        inside = np.zeros((h, w), bool)
-        inside[at] = True
-        width, height, tx, ty = (int(g[c].iloc[0]) for c in ("width", "height", "tx", "ty"))
-        border = np.zeros((h, w), bool)
-        border[[k for k in (0, height - 1) if y0 <= k < y0 + h] - y0, :] = True
-        border[:, [k for k in (0, width - 1) if x0 <= k < x0 + w] - x0] = True
-        found = _tile_features(*planes, inside, border, *radii)
+        found, at = features_in_tile(g, *radii)
+        tx, ty = (int(g[c].iloc[0]) for c in ("tx", "ty"))
         own = ((g["x"] // tile == tx) & (g["y"] // tile == ty)).to_numpy()
         out = g.loc[own, [*PIXEL, *carry]].copy()
         for name, a in zip(FEATURES, found):
@@ -179,6 +187,35 @@ def feature_tiles(bands: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radiu
     return tiles.cogroup(tile_grid(windows, sizes, tile).groupBy(*K, "tx", "ty")).applyInPandas(by_scene, schema)
 
 
+def tile_stats(px: DataFrame, stats: dict[str, tuple[str, str, int]], tile: int = 256) -> DataFrame:
+    """px with one double column for each (kind, column, radius): the mean or std over the square window, clipped at the raster's edges.
+
+    The rows of ``focal_mean`` and ``focal_std`` by one exchange for all of them: a task has a tile with a halo of the widest
+    radius. Pixels that the raster lacks don't count.
+    """
+    halo = max(r for *_, r in stats.values())
+    reach = lambda c: F.explode(F.expr(f"sequence(greatest({c} - {halo}, 0) div {tile}, ({c} + {halo}) div {tile})"))
+    names = px.columns
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        own = (x // tile == t.column("_tx")[0].as_py()) & (y // tile == t.column("_ty")[0].as_py())
+        out = t.select(names).filter(pa.array(own))
+        at = (y - y.min(), x - x.min())
+        here = np.zeros((at[0].max() + 1, at[1].max() + 1))
+        here[at] = 1
+        for name, (kind, col, r) in stats.items():
+            v = np.zeros_like(here)
+            v[at] = t.column(col).to_numpy()
+            mean = lambda a: box_sum(a, r) / np.maximum(box_sum(here, r), 1)  # noqa: B023, E731
+            made = mean(v) if kind == "mean" else np.sqrt(np.maximum(0, mean(v * v) - mean(v) ** 2))
+            out = out.append_column(name, pa.array(made[at][own]))
+        return out
+
+    schema = StructType([*px.schema.fields, *(StructField(n, DoubleType()) for n in stats)])
+    return px.withColumn("_tx", reach("x")).withColumn("_ty", reach("y")).groupBy(*K, "_tx", "_ty").applyInArrow(run, schema)
+
+
 def close_open(a: np.ndarray, r: int) -> np.ndarray:
     """A closing, then an opening of a mask; outside the array counts as false."""
     full = (2 * r + 1) ** 2

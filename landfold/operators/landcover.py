@@ -54,7 +54,7 @@ def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame,
     dots = disc_pixels(samples.withColumn("r", radius), F.col("r").cast("double"), sizes).select(*K, "class", "circle_id", F.col("px").alias("x"), F.col("py").alias("y"))
     seen = dots.join(features, PIXEL)
     per = seen.groupBy(*K, "class", "circle_id").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(f) for f in FEATURES)).alias("mu"), F.array(*(F.var_pop(f) for f in FEATURES)).alias("_v"))
-    per = per.where("n >= 4")
+    per = written(per.where("n >= 4"), "circles")  # a row a circle, read for prototypes and variances
     pooled = [F.sum(F.col("_v")[k] * F.col("n")) / F.sum("n") for k in range(len(FEATURES))]
     return per.drop("_v"), _floored(per.groupBy(*K, "class").agg(F.array(*pooled).alias("va"), F.sum("n").alias("n")), var_floor)
 
@@ -134,15 +134,17 @@ def clean_forest(px: DataFrame, clean: int = 2) -> DataFrame:
     return px.withColumn("forest", F.col("_f") & F.col("land")).withColumn("sparse", F.col("sparse") & ~F.col("forest")).drop("_f")
 
 
-def clean_regions(px: DataFrame, min_region_px: int | Column = 80) -> DataFrame:
-    """px(land, forest, sparse, built) with ``open``: small open regions become sparse; then small regions of that sparse become forest."""
+def clean_regions(px: DataFrame, min_region_px: int | Column = 80, labelled: str | None = None, tile: int = regions.TILE) -> DataFrame:
+    """px(land, forest, sparse, built) with ``open``: small open regions become sparse; then small regions of that sparse become forest.
+
+    labelled: a column that labels the open regions inside tiles of this size already; it goes."""
     own = isinstance(min_region_px, Column)
     px = px.withColumn("open", F.expr("land and not forest and not built and not sparse"))
     if own or min_region_px > 1:
         half = F.greatest(F.floor(min_region_px / 2), F.lit(1)) if own else max(1, min_region_px // 2)
-        px = regions.remove_small_regions(px, "open", min_region_px, 8, "_o")
+        px = regions.keep_regions(px, {"_o": ("open", [(F.lit(1), min_region_px)])}, 8, tile, {"_o": labelled} if labelled else None)
         px = px.withColumn("sparse", F.expr("sparse or (open and not _o)")).withColumn("open", F.col("_o")).drop("_o")
-        px = regions.remove_small_regions(px, "sparse", half, 8, "_s")
+        px = regions.remove_small_regions(px, "sparse", half, 8, "_s", tile)
         px = px.withColumn("forest", F.expr("forest or (sparse and not _s)")).withColumn("sparse", F.col("_s")).drop("_s")
     return px
 
@@ -156,15 +158,40 @@ def flags_of(px: DataFrame) -> DataFrame:
     return px.withColumns({c: F.coalesce(F.col("cls") == c, F.lit(False)) for c in ("forest", "sparse", "built")})
 
 
-def scene_models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame) -> DataFrame:
-    """One row a scene: arrays of prototypes (p_forest ...), va, its own parameters, by_samples, and Otsu's threshold on land."""
+def _models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row a scene: all its parameters, arrays of prototypes (p_forest ...), va, by_samples. features: of the circles' pixels at least."""
     var_floor = params.select(*K, "varFloor")
     prototypes, variances = train_prototypes(features, samples, sizes, var_floor)
     known = F.count_if(F.col("class") == "forest") * F.count_if(F.col("class") == "open") > 0
     lists = [F.collect_list(F.when(F.col("class") == c, F.col("mu"))).alias(f"p_{c}") for c in CLASSES]
     model = prototypes.groupBy(*K).agg(*lists, known.alias("by_samples")).join(share_variance(variances, var_floor), K)
-    wanted = params.select(*K, "bias", "strictness", "builtMin", "builtChromaMax", "forestMax", "majority", "clean")
-    return wanted.join(model, K, "left").join(otsu_threshold(features, "f_lum", "land"), K).withColumn("by_samples", F.coalesce("by_samples", F.lit(False)))
+    wanted = params.select(*K, "bias", "strictness", "builtMin", "builtChromaMax", "forestMax", "majority", "clean", "smooth", "texRadius", "coastExclude", "minRegionPx")
+    return wanted.join(model, K, "left").withColumn("by_samples", F.coalesce("by_samples", F.lit(False)))
+
+
+def scene_models(features: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row a scene: arrays of prototypes (p_forest ...), va, its own parameters, by_samples, and Otsu's threshold on land."""
+    return _models(features, params, samples, sizes).join(otsu_threshold(features, "f_lum", "land"), K)
+
+
+def with_land(px: DataFrame) -> DataFrame:
+    """px(water, coast, coastExclude) with ``land``; where coastExclude is 0 the coast is land."""
+    return px.withColumn("coast", F.expr("coast and coastExclude <> 0")).withColumn("land", F.expr("not water and not coast"))
+
+
+def models_of_bands(bands: DataFrame, params: DataFrame, samples: DataFrame, sizes: DataFrame, tile: int = 128) -> DataFrame:
+    """``scene_models`` from bands with water and coast: features are made only in the small tiles that circles touch, and
+    Otsu's threshold only for scenes that need one (no samples and no forestMax); the others have none."""
+    windows = params.select(*K, "smooth", "texRadius", "coastExclude")
+    circles = disc_pixels(samples.withColumn("r", F.greatest(F.col("r").cast("int"), F.lit(1))), F.col("r").cast("double"), sizes)
+    touched = circles.select(*K, F.expr(f"px div {tile}").alias("tx"), F.expr(f"py div {tile}").alias("ty")).distinct()
+    models = written(_models(focal.feature_tiles(bands, sizes, tile=tile, windows=windows, only=touched), params, samples, sizes), "models")
+    plain = models.where("not by_samples and forestMax is null").select(*K)
+    limit = models.select(*K).limit(0).withColumn("threshold", F.lit(0))
+    if not plain.isEmpty():
+        dark = focal.feature_tiles(bands.join(plain, K, "left_semi"), sizes, carry=("water", "coast"), windows=windows)
+        limit = otsu_threshold(with_land(dark), "f_lum", "land")
+    return written(models.join(limit, K, "left"), "models")
 
 
 def _decided(f: dict[str, np.ndarray], m: dict) -> np.ndarray:
@@ -189,6 +216,58 @@ def _decided(f: dict[str, np.ndarray], m: dict) -> np.ndarray:
     return np.where(best == 3, 3, np.where(margin < m["strictness"], 0, best))
 
 
+def _cleaned(f: dict[str, np.ndarray], land: np.ndarray, at: tuple[np.ndarray, np.ndarray], m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest, sparse and built of the pixels at these places of a tile, as arrays, after majority and cleaning."""
+    majority, clean = int(m["majority"]), int(m["clean"])
+    cls = np.where(land, _decided(f, m), -1)
+    planes = np.zeros((4, at[0].max() + 1, at[1].max() + 1), bool)
+    planes[(cls[land], *(a[land] for a in at))] = True
+    if m["by_samples"] and majority > 0:
+        ground = planes.any(axis=0)
+        best = np.stack([box_sum(p.astype(np.int64), majority) for p in planes]).argmax(axis=0)
+        planes = np.stack([(best == k) & ground for k in range(4)])
+    ground = planes.any(axis=0)
+    forest, sparse, built = planes[0], planes[1], planes[3]
+    if clean > 0:
+        forest = close_open(forest, clean) & ground
+        sparse = sparse & ~forest
+    return forest, sparse, built
+
+
+def land_tiles(bands: DataFrame, models: DataFrame, sizes: DataFrame, tile: int = regions.TILE) -> DataFrame:
+    """(site_id, scene_id, x, y, land, coast, water, by_samples, forest, sparse, built, open, minRegionPx, _at): bands to cleaned classes in one exchange.
+
+    A task has one tile of bands with a halo as wide as all windows in turn (features, majority, cleaning; the widest of
+    all scenes) and its scene's row of ``models_of_bands``. It makes the features, decides, cleans, and labels the open
+    regions inside the tile (``_at``, as ``regions.label_in_tile``), so that no feature is written or exchanged.
+    """
+    over = F.max(2 * F.col("texRadius") + 1 + F.greatest("smooth", "texRadius")) + F.max(F.greatest("majority", F.lit(0)) + 4 * F.greatest("clean", F.lit(0)))
+    halo = int(models.agg(over).first()[0] or 0)
+    dealt = to_tiles(bands.select(*PIXEL, "lum", "chroma", "green", "water", "coast").join(sizes, "site_id"), halo, tile)
+    models = focal.tile_grid(models, sizes, tile)
+    names = [*PIXEL, "land", "coast", "water", "by_samples", "forest", "sparse", "built", "open", "minRegionPx", "_at"]
+
+    def run(g: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(model):
+            return pd.DataFrame(columns=names)
+        m = model.iloc[0].to_dict()
+        found, at = focal.features_in_tile(g, int(m["smooth"]), int(m["texRadius"]))
+        x, y, water, coast = (g[c].to_numpy() for c in ("x", "y", "water", "coast"))
+        coast = coast & (m["coastExclude"] != 0)
+        land = ~water & ~coast
+        planes = _cleaned({n: a[at] for n, a in zip(FEATURES, found)}, land, at, m)
+        tx, ty = int(g["tx"].iloc[0]), int(g["ty"].iloc[0])
+        own = (x // tile == tx) & (y // tile == ty)
+        forest, sparse, built = (a[at][own] for a in planes)
+        free = land[own] & ~forest & ~built & ~sparse
+        out = g.loc[own, PIXEL].assign(land=land[own], coast=coast[own], water=water[own], by_samples=bool(m["by_samples"]), forest=forest, sparse=sparse, built=built, open=free, minRegionPx=m["minRegionPx"])
+        return out.assign(_at=regions.label_in_tile(x[own], y[own], free, tx, ty, 8))[names]
+
+    flags = ", ".join(f"{n} boolean" for n in names[4:12])
+    schema = ", ".join(f"{c} {t}" for c, t in bands.select(*PIXEL).dtypes) + f", {flags}, minRegionPx double, _at long"
+    return dealt.groupBy(*K, "tx", "ty").cogroup(models.groupBy(*K, "tx", "ty")).applyInPandas(run, schema)
+
+
 def class_tiles(features: DataFrame, models: DataFrame, sizes: DataFrame, tile: int = 256, carry: tuple[str, ...] = ()) -> DataFrame:
     """(site_id, scene_id, x, y, land, coast, water, carried columns, by_samples, forest, sparse, built): scores, classes, majority and cleaning.
 
@@ -206,21 +285,9 @@ def class_tiles(features: DataFrame, models: DataFrame, sizes: DataFrame, tile:
         if not len(g) or not len(model):
             return pd.DataFrame(columns=names)
         m = model.iloc[0].to_dict()
-        majority, clean = int(m["majority"]), int(m["clean"])
         x, y, land = (g[c].to_numpy() for c in ("x", "y", "land"))
         at = (y - y.min(), x - x.min())
-        cls = np.where(land, _decided({n: g[n].to_numpy() for n in FEATURES}, m), -1)
-        planes = np.zeros((4, at[0].max() + 1, at[1].max() + 1), bool)
-        planes[(cls[land], *(a[land] for a in at))] = True
-        if m["by_samples"] and majority > 0:
-            ground = planes.any(axis=0)
-            best = np.stack([box_sum(p.astype(np.int64), majority) for p in planes]).argmax(axis=0)
-            planes = np.stack([(best == k) & ground for k in range(4)])
-        ground = planes.any(axis=0)
-        forest, sparse, built = planes[0], planes[1], planes[3]
-        if clean > 0:
-            forest = close_open(forest, clean) & ground
-            sparse = sparse & ~forest
+        forest, sparse, built = _cleaned({n: g[n].to_numpy() for n in FEATURES}, land, at, m)
         own = (x // tile == g["tx"].iloc[0]) & (y // tile == g["ty"].iloc[0])
         out = g.loc[own, shown].assign(by_samples=bool(m["by_samples"]))
         for name, a in (("forest", forest), ("sparse", sparse), ("built", built)):
@@ -251,13 +318,10 @@ def classify_scene(bands: DataFrame, params: DataFrame, samples: DataFrame, size
     the variance, bias, cleaning, majority, region sizes and, where coastExclude is 0, with its coast as land. Scenes
     with forest and open samples go by prototypes and majority, the others by threshold.
     """
-    params = written(params, "params")  # one row a scene, read four times
-    windows = params.select(*K, "smooth", "texRadius", "coastExclude", "minRegionPx")
-    px = focal.feature_tiles(bands, sizes, tile=tile, carry=("water", "coast"), windows=windows)
-    px = px.withColumn("coast", F.expr("coast and coastExclude <> 0")).withColumn("land", F.expr("not water and not coast"))
-    features = written(px.drop("coastExclude"), "features")
-    models = written(scene_models(features, params, samples, sizes), "models")
-    return clean_regions(class_tiles(features, models, sizes, tile, ("minRegionPx",)), F.col("minRegionPx")).drop("minRegionPx")
+    params = written(params, "params")  # one row a scene, read several times
+    models = models_of_bands(bands, params, samples, sizes, min(tile, 128))
+    px = land_tiles(bands, models, sizes, tile)
+    return clean_regions(px, F.col("minRegionPx"), "_at", tile).drop("minRegionPx")
 
 
 def scene_params(bands: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -53,6 +53,18 @@ def label_rows(x: np.ndarray, y: np.ndarray, conn: int) -> np.ndarray:
     return out
 
 
+def label_in_tile(xs: np.ndarray, ys: np.ndarray, on: np.ndarray, tx: int, ty: int, conn: int) -> np.ndarray:
+    """Of one tile's pixels the first in raster order of the pixel's region inside the tile; off the mask a negative number of the tile."""
+    x, y = xs[on], ys[on]
+    local = np.full(len(on), -1 - (ty * 2**31 + tx), np.int64)
+    if len(x):
+        label = label_rows(x, y, conn)
+        first = np.full(label.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, label, y * 2**31 + x)
+        local[on] = first[label]
+    return local
+
+
 def label_pixels(px: DataFrame, masks: dict[str, str | Column], conn: int = 8, tile: int = TILE) -> DataFrame:
     """px, all columns kept, with one column for each mask: the first pixel in raster order of the pixel's region inside its tile.
 
@@ -65,18 +77,10 @@ def label_pixels(px: DataFrame, masks: dict[str, str | Column], conn: int = 8, t
 
     def run(t: pa.Table) -> pa.Table:
         xs, ys = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
-        off = -1 - (t.column("_ty")[0].as_py() * 2**31 + t.column("_tx")[0].as_py())
+        place = (t.column("_tx")[0].as_py(), t.column("_ty")[0].as_py())
         out = t.drop_columns([*(mask for _, mask in pairs), "_tx", "_ty"])
         for name, mask in pairs:
-            on = t.column(mask).to_numpy()
-            x, y = xs[on], ys[on]
-            local = np.full(len(on), off, np.int64)
-            if len(x):
-                label = label_rows(x, y, conn)
-                first = np.full(label.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(first, label, y * 2**31 + x)
-                local[on] = first[label]
-            out = out.append_column(name, pa.array(local))
+            out = out.append_column(name, pa.array(label_in_tile(xs, ys, t.column(mask).to_numpy(), *place, conn)))
         return out
 
     schema = StructType([StructField(f.name, f.dataType) for f in px.schema.fields] + [StructField(name, LongType()) for name in masks])
@@ -112,21 +116,23 @@ def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*K, "region").agg(F.count(F.lit(1)).alias("size"))
 
 
-def keep_regions(px: DataFrame, rules: dict[str, tuple[str | Column, list[tuple[Column, float | Column]]]], conn: int = 8, tile: int = TILE) -> DataFrame:
+def keep_regions(px: DataFrame, rules: dict[str, tuple[str | Column, list[tuple[Column, float | Column]]]], conn: int = 8, tile: int = TILE, labelled_in: dict[str, str] | None = None) -> DataFrame:
     """px with one boolean column for each rule, a mask and tests (weight, least) of its regions.
 
     The column holds the pixels of those regions of the mask in which every sum of weights is at least its ``least`` (a
     column: equal in a scene). All masks go together: pixels are exchanged once, by tile, and written; weights are summed
     for each piece of a region inside a tile, and only pieces meet other pieces. So px may be read any number of times after.
+    labelled_in: columns, one a rule, that label px already as ``label_in_tile`` does, with these tiles; then nothing is exchanged.
     """
-    marks = [f"_at{k}" for k in range(len(rules))]
+    marks = [labelled_in[out] if labelled_in else f"_at{k}" for k, out in enumerate(rules)]
     numbers = {}
     for k, (_, tests) in enumerate(rules.values()):
         for j, (weight, least) in enumerate(tests):
             numbers[f"_w{k}_{j}"] = weight.cast("double")
             if isinstance(least, Column):
                 numbers[f"_l{k}_{j}"] = least.cast("double")
-    labelled = written(label_pixels(px.withColumns(numbers), dict(zip(marks, (mask for mask, _ in rules.values()))), conn, tile), "regions")
+    px = px.withColumns(numbers)
+    labelled = written(px if labelled_in else label_pixels(px, dict(zip(marks, (mask for mask, _ in rules.values()))), conn, tile), "regions")
     most = max(len(tests) for _, tests in rules.values())
 
     def pieces(k: int, tests: list) -> DataFrame:

@@ -23,7 +23,7 @@ def water_votes(bands: DataFrame, refs: DataFrame | None = None, abs_min: float
         others = colour.join(usable.select("site_id").distinct(), "site_id", "left_anti")
         colour = chosen.unionByName(others)
     limit = upper_median(colour, "blue").select(*K, F.greatest(F.lit(float(abs_min)), F.col("median") + rel_min).alias("_limit"))
-    seen = focal.focal_std(colour, "lum", 2, "_t").join(limit, K)
+    seen = focal.tile_stats(colour.select(*K, "x", "y", "lum", "blue"), {"_t": ("std", "lum", 2)}).join(limit, K)
     vote = ((F.col("blue") > F.col("_limit")) & (F.col("_t") < tex_max)).cast("int")
     return seen.groupBy("site_id", "x", "y").agg(F.sum(vote).alias("votes"), F.count(F.lit(1)).alias("refs"))
 
@@ -41,7 +41,7 @@ def water_mask(votes: DataFrame, sizes: DataFrame, min_land_region: int = 1500,
 def coastal_zone(bands: DataFrame, water: DataFrame, lum_min: float = 185, chroma_max: float = 30) -> DataFrame:
     """bands with ``water`` and ``coast``: bright unsaturated pixels joined to the water (4-connected)."""
     px = bands.join(water, ["site_id", "x", "y"], "left").withColumn("water", F.coalesce("water", F.lit(False)))
-    px = focal.focal_means(px, {"_l": "lum", "_c": "chroma"}, 1)
+    px = focal.tile_stats(px, {"_l": ("mean", "lum", 1), "_c": ("mean", "chroma", 1)})
     px = px.withColumn("_bright", F.col("water") | ((F.col("_l") > lum_min) & (F.col("_c") < chroma_max)))
     px = regions.keep_touching_regions(px, "_bright", "water", 4, "_hit")
     return px.withColumn("coast", F.col("_hit") & ~F.col("water")).drop("_l", "_c", "_bright", "_hit")
