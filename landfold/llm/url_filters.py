@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from landfold.llm.common import written
 from landfold.llm.components import connected_components
+from landfold.tables import joined_by_hot_key
 
 #: (action, host, path)
 Rule = tuple[str, str, str]
@@ -141,12 +142,14 @@ def judge_urls(urls: DataFrame, links: DataFrame, rules: Sequence[Rule]) -> Data
         .where("_alias is not null")
         .distinct()
     )
-    groups = connected_components(links.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b")))
+    groups = connected_components(links.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b")), native=True)
     reached = blocked.join(groups, blocked["_alias"] == groups["node"], "left").select("_alias", "component")
     hit = reached.where("component is not null").select("component").distinct()
     reached = reached.select("_alias").union(groups.join(hit, "component", "left_semi").select("node")).distinct()
+    # rows without host have no alias, and one address may have very many: neither gathers in a task
+    many = judged.groupBy("_alias").agg(F.count(F.lit(1)).alias("n"))
     return (
-        judged.join(reached.withColumn("_reached", F.lit(True)), "_alias", "left")
+        joined_by_hot_key(judged, reached.withColumn("_reached", F.lit(True)), "_alias", F.struct(*(c for c, t in ours.dtypes if "map<" not in t)), many, "left")
         .withColumn("rule", F.col("_best.rule"))
         .withColumn("verdict", F.coalesce("_best.action", F.when(F.col("_reached"), F.lit("block")), F.lit("allow")))
         .drop("_alias", "_best", "_reached")

@@ -140,7 +140,10 @@ def test_link_graph_equals_brute_force(spark):
 
     bad = {root(u) for u in urls if rule(u) == "block"}
     df = spark.createDataFrame(pages, "page_id int, url string, html string")
-    got = {r.url: r.verdict for r in url_filters.judge_urls(df.drop("html"), url_filters.page_links(df), queries.RULES).collect()}
+    judged = url_filters.judge_urls(df.drop("html"), url_filters.page_links(df), queries.RULES)
+    plan = judged._jdf.queryExecution().toString()
+    assert not [n for n in ("Python", "Arrow", "Pandas", "ExistingRDD") if n in plan.replace("LogicalRDD", "").replace("Scan ExistingRDD[page_id", "")]
+    got = {r.url: r.verdict for r in judged.collect()}
     assert got == {u: rule(u) or ("block" if root(u) in bad else "allow") for u in urls} and len(set(got.values())) == 2
 
 
