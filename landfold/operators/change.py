@@ -102,11 +102,13 @@ def raster_number(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     return df.withColumn("_in", inside).join(rows, [*keys, "y"]).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 
-def priority_order(df: DataFrame, priority: str, keys: list[str], out: str = "rank", quant: float = 0.25) -> DataFrame:
+def priority_order(df: DataFrame, priority: str, keys: list[str], out: str = "rank", quant: float = 0.25, cuts: DataFrame | None = None) -> DataFrame:
     """df(x, y, float priority) with its 0-based rank inside the keys: by bucket of the priority, ties in raster order.
 
     A bucket's rows are numbered by themselves and rank after the counts of the buckets before, so that no window
-    holds a whole site.
+    holds a whole site. cuts (keys, cut): the only numbers that ranks will be compared with. Then the histogram of
+    buckets tells the one that each cut falls in; only those are numbered, and any other pixel gets its bucket's first rank,
+    which stands on the same side of every cut as its own.
     """
     top = df.groupBy(*keys).agg(F.greatest(F.max(F.col(priority).cast("double")), F.lit(0.0)).alias("_max"))
     df = df.join(top, keys)
@@ -114,25 +116,36 @@ def priority_order(df: DataFrame, priority: str, keys: list[str], out: str = "ra
     df = df.withColumn("_b", F.least(nb - 1, F.floor(F.col(priority).cast("double") * ((nb - 1) / F.greatest("_max", F.lit(1e-9))))))
     sizes = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    df = raster_number(df, [*keys, "_b"], "_n").join(sizes, [*keys, "_b"])
-    return df.withColumn(out, F.col("_before") + F.col("_n")).drop("_max", "_b", "_n", "_before")
-
-
-def build_intervals(masks: DataFrame, seed: int = 1, jitter_px: float = 0) -> DataFrame:
+    sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), "_c")
+    if cuts is None:
+        df = raster_number(df, [*keys, "_b"], "_n").join(sizes.drop("_c"), [*keys, "_b"])
+        return df.withColumn(out, F.col("_before") + F.col("_n")).drop("_max", "_b", "_n", "_before")
+    hit = sizes.join(cuts.select(*keys, "cut").distinct(), keys).where("cut > _before and cut < _before + _c").select(*keys, "_b").distinct()
+    sizes = written(sizes.select(*keys, "_b", F.col("_before").alias("_start")).join(hit.withColumn("_hit", F.lit(True)), [*keys, "_b"], "left"), "buckets")
+    df = df.join(sizes, [*keys, "_b"]).drop("_max")
+    plain = df.where("_hit is null").withColumn(out, F.col("_start"))
+    cut = raster_number(df.where("_hit"), [*keys, "_b"], "_place").withColumn(out, F.col("_start") + F.col("_place")).drop("_place")
+    return plain.unionByName(cut).drop("_b", "_start", "_hit")
+
+
+def build_intervals(masks: DataFrame, seed: int = 1, jitter_px: float = 0, shares: DataFrame | None = None) -> DataFrame:
     """transitions with ``rank`` inside (site_id, k, kind): lost by distance to the earlier forest, gained to the earlier mask.
 
     masks: dense, with buffer and forest. Jitter draws count lost pixels first, then gained ones, in raster order.
+    shares (site_id, k, f): the only parts of the intervals that are asked for; then only the buckets they cut are ranked.
     """
     far = with_distances(masks.select(*PIXEL, "year", "buffer", "forest"), {"_f": "forest", "_b": "buffer"})
     moved = mask_transitions(far, carry=("_f", "_b")).withColumn("_p", (F.when(F.col("kind") == "lost", F.col("_f")).otherwise(F.col("_b")) / 3).cast("float"))
     moved = written(moved.drop("_f", "_b"), "moved")  # only changed pixels; numbers and ranks read them several times
     if jitter_px > 0:
-        moved = raster_number(moved, ["site_id", "k", "kind"], "_n")
+        jittered = raster_number(moved, ["site_id", "k", "kind"], "_n")
         lost = moved.where("kind = 'lost'").groupBy("site_id", "k").agg(F.count(F.lit(1)).alias("_lost"))
-        moved = moved.join(lost, ["site_id", "k"], "left").withColumn("_j", F.col("_n") + F.when(F.col("kind") == "gained", F.coalesce("_lost", F.lit(0))).otherwise(0))
-        moved = written(moved.withColumn("_p", (F.col("_p") + jitter(F.lit(seed) + F.col("k") * 7919, F.col("_j")) * jitter_px).cast("float")), "moved")
-    return priority_order(moved, "_p", ["site_id", "k", "kind"]).select("site_id", "scene_id", "k", "y0", "y1", "x", "y", "kind", "rank")
+        jittered = jittered.join(lost, ["site_id", "k"], "left").withColumn("_j", F.col("_n") + F.when(F.col("kind") == "gained", F.coalesce("_lost", F.lit(0))).otherwise(0))
+        moved = written(jittered.withColumn("_p", (F.col("_p") + jitter(F.lit(seed) + F.col("k") * 7919, F.col("_j")) * jitter_px).cast("float")).drop("_n", "_lost", "_j"), "moved")
+    cuts = None
+    if shares is not None:
+        cuts = moved.groupBy("site_id", "k", "kind").agg(F.count(F.lit(1)).alias("_c")).join(shares, ["site_id", "k"]).withColumn("cut", half_up(F.col("f") * F.col("_c")))
+    return priority_order(moved, "_p", ["site_id", "k", "kind"], cuts=cuts).select("site_id", "scene_id", "k", "y0", "y1", "x", "y", "kind", "rank")
 
 
 def interpolate_mask(masks: DataFrame, intervals: DataFrame, years: DataFrame, col: str = "buffer") -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -112,6 +112,26 @@ def connected_components(px: DataFrame, col: str | Column, conn: int = 8, tile:
     return labels.select(*PIXEL, F.coalesce("root", "_local").alias("region"))
 
 
+def region_labels(px: DataFrame, col: str | Column, conn: int = 8, tile: int = TILE) -> DataFrame:
+    """(site_id, scene_id, x, y, label, size) for the true pixels: regions are numbered 1.. in scan order of their first pixels.
+
+    Numbers and sizes are made of the pieces of regions inside tiles: a region is one row there, numbered inside the row of pixels
+    that it starts in, after the count of regions that start in rows before. Pixels meet their piece, whose rows a tile bounds.
+    """
+    on = px.where(col if isinstance(col, Column) else F.col(col)).select(*PIXEL)
+    labelled = written(label_pixels(on, {"_local": F.lit(True)}, conn, tile), "regions")
+    pieces = labelled.groupBy(*K, "_local").agg(F.count(F.lit(1)).alias("_n")).join(_roots(labelled, ["_local"], conn, tile).drop("_m"), [*K, "_local"], "left")
+    pieces = written(pieces.withColumn("root", F.coalesce("root", "_local")), "pieces")
+    whole = pieces.groupBy(*K, "root").agg(F.sum("_n").alias("size")).withColumn("_y", F.expr(f"root div {2**31}"))
+    rows = whole.groupBy(*K, "_y").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*K).orderBy("_y").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select(*K, "_y", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*K, "_y").orderBy("root"))
+    numbered = whole.withColumn("_in", inside).join(rows, [*K, "_y"]).select(*K, "root", (F.col("_before") + F.col("_in")).alias("label"), "size")
+    own = pieces.select(*K, "_local", "root").join(numbered, [*K, "root"]).drop("root")
+    return labelled.join(own, [*K, "_local"]).select(*PIXEL, "label", "size")
+
+
 def region_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy(*K, "region").agg(F.count(F.lit(1)).alias("size"))
 

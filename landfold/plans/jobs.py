@@ -60,11 +60,14 @@ def _frame_parts(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: in
     scenes = written(frame.scene_counts(masks), "scenes")
     own = written(frame.site_options(scenes, options), "options")
     setup = written(trend.projection_setups(scenes.withColumn("area_ha", F.col("n") * F.lit(px_area_ha)), own), "setup")
-    intervals = written(change.build_intervals(masks, seed, jitter_px), "intervals")
+    plan = written(frame.frame_plan(scenes, setup, years), "plan")
+    # pixels are ranked only where a frame's number of changed pixels falls inside a bucket
+    intervals = written(change.build_intervals(masks, seed, jitter_px, plan.where("mode <> 'pred'").select("site_id", "k", "f").distinct()), "intervals")
     last = F.max(F.when(F.col("year") <= F.col("start_year"), F.struct("k", "scene_id")))["scene_id"]
     starts = scenes.join(setup.select("site_id", "start_year"), "site_id").groupBy("site_id").agg(last.alias("scene_id")).join(own.select("site_id", "protect_px"), "site_id")
-    order = written(projection.removal_order(masks.join(starts, ["site_id", "scene_id"]), seed, jitter_px, F.col("protect_px")), "order")
-    return scenes, own, setup, written(frame.frame_plan(scenes, setup, years), "plan"), intervals, order
+    cuts = frame.future_cuts(scenes, setup, plan, px_area_ha).select("site_id", "cut")
+    order = written(projection.removal_order(masks.join(starts, ["site_id", "scene_id"]), seed, jitter_px, F.col("protect_px"), cuts=cuts), "order")
+    return scenes, own, setup, plan, intervals, order
 
 
 def frames(masks: DataFrame, years: DataFrame, px_area_ha: float, seed: int = 1, jitter_px: float = 6.0, options: DataFrame | None = None) -> DataFrame:

@@ -217,6 +217,7 @@ FROM (SELECT *, CASE greatest(nf, ns, no, nb) WHEN nf THEN 0 WHEN ns THEN 1 WHEN
 
 # regions and distance
 add("connected_components", "SELECT site_id, scene_id, x, y, region FROM l", labels("l", "m", "buffer", 8))
+add("region_labels", "SELECT site_id, scene_id, x, y, dense_rank() OVER (PARTITION BY site_id, scene_id ORDER BY region) AS label, count(*) OVER (PARTITION BY site_id, scene_id, region) AS size FROM l", labels("l", "m", "forest", 8))
 add("region_sizes", "SELECT site_id, scene_id, region, count(*) AS size FROM l GROUP BY ALL", labels("l", "m", "forest", 4))
 add("remove_small_regions", "SELECT site_id, scene_id, x, y FROM (SELECT *, count(*) OVER (PARTITION BY site_id, scene_id, region) AS n FROM l) WHERE n >= 64", labels("l", "m", "forest", 8))
 add("keep_border_regions", "SELECT site_id, scene_id, x, y FROM (SELECT l.*, bool_or(x <= 2 OR y <= 2 OR x >= width - 3 OR y >= height - 3) OVER (PARTITION BY site_id, scene_id, region) AS e FROM l JOIN sizes USING (site_id)) WHERE e", labels("l", "m", "forest", 4))

@@ -384,6 +384,11 @@ def connected_components(spark, sf_dir):
     return regions.connected_components(X.masks(spark, sf_dir), "buffer", 8, 32).select(*PIXEL, "region")
 
 
+@query
+def region_labels(spark, sf_dir):
+    return regions.region_labels(X.masks(spark, sf_dir), "forest", 8, 32)
+
+
 @query
 def region_sizes(spark, sf_dir):
     return regions.region_sizes(regions.connected_components(X.masks(spark, sf_dir), "forest", 4, 32)).select(*K, "region", "size")

@@ -79,6 +79,17 @@ def test_regions_equal_flood_fill_for_any_tile(spark, conn):
         assert got == want
 
 
+@pytest.mark.parametrize("conn", [4, 8])
+def test_labels_number_regions_in_scan_order(spark, conn):
+    for lines in [*DRAWN.values(), noise(21, 25, 14, 0.45)]:
+        first = flood(array(lines), conn)
+        number = {r: k + 1 for k, r in enumerate(sorted(set(first.values())))}
+        size = {r: list(first.values()).count(r) for r in number}
+        for tile in (4, 256):
+            got = {(r.x, r.y): (r.label, r.size) for r in regions.region_labels(grid(spark, lines), "m", conn, tile).collect()}
+            assert got == {at: (number[r], size[r]) for at, r in first.items()}
+
+
 def test_region_filters(spark):
     px = grid(spark, SPIRAL).withColumn("seed", F.expr("x = 0 and y = 3"))
     sizes = focal.raster_sizes(px)
@@ -261,6 +272,17 @@ def test_priority_order_is_stable(spark):
     assert {(r.x, r.y): r["rank"] for r in change.priority_order(df, "p", ["site_id"]).collect()} == want
 
 
+def test_ranks_by_selection_stand_right_to_every_cut(spark):
+    rnd = random.Random(12)
+    rows = [(s, x, y, rnd.choice([0.0, 0.1, 3.3, 3.4, 7.0, 90.0]), f"{x}-{y}") for s in (1, 2) for x in range(15) for y in range(12)]
+    px = spark.createDataFrame(rows, "site_id long, x long, y long, p float, more string")
+    full = {(r.site_id, r.more): r.rank for r in change.priority_order(px, "p", ["site_id"]).collect()}
+    cuts = {1: [0, 17, 60, 61, 180], 2: [90]}
+    some = change.priority_order(px, "p", ["site_id"], cuts=spark.createDataFrame([(s, c) for s, cs in cuts.items() for c in cs], "site_id long, cut long")).collect()
+    assert len(some) == len(full) and all((r.rank >= c) == (full[r.site_id, r.more] >= c) for r in some for c in cuts[r.site_id])
+    assert sum(r.rank != full[r.site_id, r.more] for r in some) > 150  # most buckets are not ranked
+
+
 def test_run_lengths_round_trip(spark):
     rnd = random.Random(9)
     rows = [(0, "a", x, y, rnd.choice([-1, 0, 0, 1])) for y in range(7) for x in range(5)] + [(1, "a", x, y, 0) for y in range(2) for x in range(2)]
