@@ -18,16 +18,19 @@ def read_scene_images(spark: SparkSession, path: str) -> DataFrame:
     """(site_id, scene_id, x, y, r, g, b) of image files named {site}_{scene}.{ending}; formats of Spark's image source.
 
     A scene may also be stored as several images, bands of rows named {site}_{scene}_{first row}.{ending}, so that
-    rasters larger than a task's memory can be read. An image's pixels are dealt out by bands of rows too.
+    rasters larger than a task's memory can be read. An image's pixels are dealt out by bands of rows too. A file that
+    can't be decoded is an error when its rows are read; ``unreadable_images`` lists such files.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    images = spark.read.format("image").load(path).select("image.*")
     name = F.regexp_extract("origin", r"([^/]+)\.[^.]+$", 1)
     part = F.split(name, "_")
-    images = images.select(part[0].cast("long").alias("site_id"), part[1].alias("scene_id"), F.coalesce(F.get(part, F.lit(2)).cast("long"), F.lit(0)).alias("first"), "width", "height", "nChannels", "data")
+    images = images.select(part[0].cast("long").alias("site_id"), part[1].alias("scene_id"), F.coalesce(F.get(part, F.lit(2)).cast("long"), F.lit(0)).alias("first"), "origin", "width", "height", "nChannels", "data")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for site, scene, first, w, h, c, data in frame.itertuples(index=False):
+            for site, scene, first, origin, w, h, c, data in frame.itertuples(index=False):
+                if w < 0:
+                    raise ValueError(f"no image that can be decoded: {origin}")
                 plane = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 for y0 in range(0, h, 256):
                     part = plane[y0 : y0 + 256]
@@ -38,6 +41,11 @@ def read_scene_images(spark: SparkSession, path: str) -> DataFrame:
     return images.mapInPandas(run, "site_id long, scene_id string, x long, y long, r long, g long, b long")
 
 
+def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the files that Spark's image source can't decode."""
+    return spark.read.format("image").load(path).where("image.width < 0").select(F.col("image.origin").alias("file"))
+
+
 def write_scene_images(px: DataFrame, folder: str, band_rows: int = 256) -> DataFrame:
     """(site_id, scene_id, first, file): 24-bit bitmaps of ``band_rows`` rows each, which ``read_scene_images`` puts together.
 

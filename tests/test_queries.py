@@ -15,7 +15,7 @@ SOME = [
     "forest_area_trend", "read_scene_images", "write_and_read_pixels", "regrid_nearest", "read_scene_config", "merge_settings", "merge_site_settings", "export_settings", "resolve_params", "read_photos", "write_area_table", "write_gps_listing",
     "append_scenes", "overlay_rgba", "focal_std", "morph_close", "remove_small_regions", "distance_transform", "upper_median", "otsu_threshold", "polygon_mask", "settlement_mask", "nearest_within",
     "apply_corrections", "water_votes", "prototype_scores", "decide_class", "clean_classes", "buffer_band", "lost_vs_base", "build_intervals", "frame_summary", "fit_trend", "removal_order", "rle_encode", "gps_listing", "tag_counts",
-    "water_mask", "classify_scene", "buffer_zone", "buffer_area_per_year",
+    "water_mask", "classify_scene", "buffer_zone", "buffer_area_per_year", "within_distance", "region_labels", "rle_runs", "frame_bases",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")

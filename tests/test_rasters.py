@@ -126,6 +126,16 @@ def test_images_in_bands(spark, tmp_path):
     assert sorted(map(tuple, images.read_scene_images(spark, f"{tmp_path}/bands").collect())) == sorted(map(tuple, px.collect()))
 
 
+def test_broken_images_are_not_passed_over(spark, tmp_path):
+    px = grid(spark, ["##", ".#"]).selectExpr("site_id", "scene_id", "x", "y", "1L AS r", "2L AS g", "3L AS b")
+    images.write_scene_images(px, f"file://{tmp_path}").count()
+    (tmp_path / "0_b.png").write_bytes(b"not an image")
+    assert [r.file.rsplit("/", 1)[1] for r in images.unreadable_images(spark, f"file://{tmp_path}").collect()] == ["0_b.png"]
+    with pytest.raises(Exception, match="0_b.png"):
+        images.read_scene_images(spark, f"file://{tmp_path}").collect()
+    assert images.read_scene_images(spark, f"file://{tmp_path}/*.bmp").count() == 4
+
+
 def test_distance_equals_brute_force(spark):
     for lines in [*DRAWN.values(), noise(3, 19, 11, 0.04), noise(4, 7, 30, 0.02)]:
         want = chamfer(array(lines))
