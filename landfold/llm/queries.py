@@ -52,6 +52,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every row. The table holds no history, so its rows are taken as two commits, parted by a hash of doc_id, over a ledger that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # two commits: about half of the rows come first, then all; of these only the blobs that are not in the ledger are scanned
     ledger = secret_scan.grown_ledger(docs.where(F.xxhash64("doc_id") < 0))
