@@ -64,10 +64,10 @@ def test_stages_take_odd_rows(spark):
 
 def test_sql_of_the_operators(spark):
     c = duckdb.connect()
-    for t in ("pages", "documents", "embeddings"):
+    for t in ("pages", "documents", "embeddings", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     plain = lambda f: sorted(str(tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r)) for r in f[sorted(f.columns)].itertuples(index=False))
     made = queries.queries()
     for name, sql in queries.oracle_sql().items():
         assert plain(made[name](spark, SF).toPandas()) == plain(c.execute(sql).fetchdf()), name
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in made if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in made if n != "pipeline") == list(range(1, 14))
