@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landfold.keys import PIXEL
+from landfold.tables import joined_by_hot_key, written
 
 
 def polygon_mask(vertices: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -98,19 +99,72 @@ def class_at_points(points: DataFrame, labels: DataFrame) -> DataFrame:
     return at.join(scenes, "site_id").join(where, ["site_id", "scene_id", "_x", "_y"], "left").withColumn("label", F.coalesce("label", F.lit("outside"))).drop("_x", "_y")
 
 
-def nearest_within(queries: DataFrame, points: DataFrame, max_d: float) -> DataFrame:
+#: Places that a cell of the point tree may hold before it is cut in four, and how often a cell may be cut.
+LEAF, DEPTH = 64, 40
+
+
+def point_tree(points: DataFrame, side: float, leaf: int = LEAF) -> list[DataFrame]:
+    """Levels of (_cell, _box, _pts): cells of ``side``, those of over ``leaf`` places cut in four until none is left.
+
+    points(site_id, point_id, x, y); equal places are one, with the smallest point_id, and points without a finite
+    place are left out. ``_box`` bounds a cell's places; ``_pts`` are the places of a cell that is not cut, else null.
+    A cell is cut at most DEPTH times. Each level writes the places that are still to be cut, and nothing else.
+    """
+    finite = F.greatest(F.abs("x"), F.abs("y")) < float("inf")
+    left = points.where(finite & ~F.isnan("x") & ~F.isnan("y") & F.col("site_id").isNotNull()).groupBy("site_id", "x", "y").agg(F.min("point_id").alias("point_id"))
+    left, levels = written(left, "places"), []
+    for level in range(DEPTH + 1):
+        here = left.withColumn("_cell", cell_at(F.col("x"), F.col("y"), side, level))
+        box = F.struct(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        nodes = written(here.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), box.alias("_box")), "cells")
+        cut = (F.col("n") > leaf) & F.lit(level < DEPTH)
+        kept = joined_by_hot_key(here, nodes.where(~cut).select("_cell"), "_cell", F.struct("x", "y"), nodes)
+        leaves = kept.groupBy("_cell").agg(F.collect_list(F.struct("x", "y", "point_id")).alias("_pts"))
+        levels.append(written(nodes.join(leaves, "_cell", "left").select("_cell", "_box", "_pts"), "tree"))
+        if not nodes.where(cut).take(1):
+            break
+        left = written(joined_by_hot_key(here, nodes.where(cut).select("_cell"), "_cell", F.struct("x", "y"), nodes).select(*left.columns), "places")
+    return levels
+
+
+def cell_at(x: Column, y: Column, side: float, level: int) -> Column:
+    """The cell of a place: halves of a level's cells are cells of the next."""
+    at = lambda c: F.floor(c / side * 2.0**level)
+    return F.struct(F.col("site_id").alias("site_id"), at(x).alias("i"), at(y).alias("j"))
+
+
+def nearest_within(queries: DataFrame, points: DataFrame, max_d: float, leaf: int = LEAF) -> DataFrame:
     """queries(query_id, site_id, x, y) with the nearest point(point_id, site_id, x, y) strictly below max_d, if any.
 
-    Both sides meet in cells of max_d; a query looks into its own and the eight cells around. The smallest point_id
-    wins ties.
+    The smallest point_id wins ties. Points stand in a tree of cells (``point_tree``). A query looks into its own cell
+    of max_d and the eight around; of the cells that it meets on a level those go whose box is farther than the
+    nearest place it is sure of, and the others that are cut are followed into their quarters. So a query compares
+    itself with the few leaves around its nearest place, however many points share a cell; every join has one row a
+    cell on the points' side, and cells with many queries are dealt over many tasks.
     """
-    cell = lambda c: F.floor(F.col(c) / max_d)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    q = queries.select("query_id", "site_id", "x", "y").withColumns({"_i": cell("x"), "_j": cell("y")})
-    q = q.withColumn("_di", F.explode(around)).withColumn("_dj", F.explode(around)).withColumns({"_i": F.col("_i") + F.col("_di"), "_j": F.col("_j") + F.col("_dj")})
-    p = points.select("site_id", "point_id", F.col("x").alias("_px"), F.col("y").alias("_py")).withColumns({"_i": cell("_px"), "_j": cell("_py")})
-    hit = q.join(p, ["site_id", "_i", "_j"]).withColumn("d", F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py"))).where(F.col("d") < max_d)
-    best = hit.groupBy("query_id").agg(F.min(F.struct("d", "point_id")).alias("_m"))
+    levels = point_tree(points, float(max_d), leaf)
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    now = queries.where("x is not null and y is not null and site_id is not null").select("query_id", F.col("x").alias("_x"), F.col("y").alias("_y"), cell_at(F.col("x"), F.col("y"), float(max_d), 0).alias("_at"), F.lit(float(max_d)).alias("_sure"))
+    now = now.withColumn("_di", step).withColumn("_dj", step)
+    now = now.select("query_id", "_x", "_y", "_sure", F.struct(F.col("_at.site_id").alias("site_id"), (F.col("_at.i") + F.col("_di")).alias("i"), (F.col("_at.j") + F.col("_dj")).alias("j")).alias("_cell"))
+    hits = []
+    for k, nodes in enumerate(levels):
+        met = joined_by_hot_key(now, nodes, "_cell", F.col("query_id"), now.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")))
+        beyond = lambda c, a, b: F.greatest(F.col(a) - F.col(c), F.lit(0.0), F.col(c) - F.col(b))
+        across = lambda c, a, b: F.greatest(F.abs(F.col(a) - F.col(c)), F.abs(F.col(b) - F.col(c)))
+        far = lambda f: F.hypot(f("_x", "_box.x0", "_box.x1"), f("_y", "_box.y0", "_box.y1"))
+        best = F.array_min(F.transform("_pts", lambda p: F.struct(F.hypot(F.col("_x") - p.x, F.col("_y") - p.y).alias("d"), p.point_id.alias("point_id"))))
+        met = met.withColumns({"_low": far(beyond), "_hit": best}).withColumn("_high", F.coalesce(F.col("_hit.d"), far(across)))
+        met = met.where(F.col("_low") < float(max_d)).withColumn("_sure", F.least("_sure", F.min("_high").over(Window.partitionBy("query_id")))).where("_low <= _sure")
+        met = written(met.select("query_id", "_x", "_y", "_sure", "_cell", "_hit"), "met") if k + 1 < len(levels) else met
+        hits.append(met.where(F.col("_hit.d") < float(max_d)).select("query_id", "_hit"))
+        quarter = F.explode(F.sequence(F.lit(0), F.lit(1)))
+        now = met.where("_hit is null").withColumn("_di", quarter).withColumn("_dj", quarter)
+        now = now.select("query_id", "_x", "_y", "_sure", F.struct(F.col("_cell.site_id").alias("site_id"), (F.col("_cell.i") * 2 + F.col("_di")).alias("i"), (F.col("_cell.j") * 2 + F.col("_dj")).alias("j")).alias("_cell"))
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    best = found.groupBy("query_id").agg(F.min("_hit").alias("_m"))
     return queries.join(best, "query_id", "left").select(*queries.columns, F.col("_m.point_id").alias("point_id"), F.col("_m.d").alias("d"))
 
 

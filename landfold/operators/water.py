@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landfold.keys import K
 from landfold.operators import focal, regions
 from landfold.operators.bands import grayscale_flag
-from landfold.operators.stats import upper_median
+from landfold.operators.stats import level_median
 
 
 def water_votes(bands: DataFrame, refs: DataFrame | None = None, abs_min: float = 18, rel_min: float = 10, tex_max: float = 10) -> DataFrame:
@@ -22,7 +22,7 @@ def water_votes(bands: DataFrame, refs: DataFrame | None = None, abs_min: float
         chosen = colour.join(usable, K, "left_semi")
         others = colour.join(usable.select("site_id").distinct(), "site_id", "left_anti")
         colour = chosen.unionByName(others)
-    limit = upper_median(colour, "blue").select(*K, F.greatest(F.lit(float(abs_min)), F.col("median") + rel_min).alias("_limit"))
+    limit = level_median(colour, "blue").select(*K, F.greatest(F.lit(float(abs_min)), F.col("median") + rel_min).alias("_limit"))
     seen = focal.tile_stats(colour.select(*K, "x", "y", "lum", "blue"), {"_t": ("std", "lum", 2)}).join(limit, K)
     vote = ((F.col("blue") > F.col("_limit")) & (F.col("_t") < tex_max)).cast("int")
     return seen.groupBy("site_id", "x", "y").agg(F.sum(vote).alias("votes"), F.count(F.lit(1)).alias("refs"))

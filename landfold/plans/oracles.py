@@ -228,6 +228,8 @@ add("within_distance", "SELECT site_id, scene_id, count(*) FILTER (d3 / 3.0 <= 6
 # thresholds and areas
 add("upper_median", """SELECT key, round(v, 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM (
 SELECT l_returnflag AS key, l_quantity::DOUBLE AS v FROM lineitem UNION ALL SELECT site_id || '/' || scene_id, blue FROM bands)) WHERE i = n // 2""")
+add("upper_median_of_prices", """SELECT l_linestatus, round(v, 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY l_linestatus) AS n FROM (
+SELECT l_linestatus, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) AS v FROM lineitem)) WHERE i = n // 2""")
 add("histogram256", "SELECT site_id, scene_id, least(greatest(floor(lum + 0.5), 0), 255)::INT AS bin, count(*) AS n FROM bands WHERE x >= 20 GROUP BY ALL")
 add("otsu_threshold", "SELECT key, threshold FROM a UNION ALL SELECT site_id || '/' || scene_id, threshold FROM o", OTSU.format(n="a", k="key", v="p_size", s="(SELECT p_brand AS key, p_size FROM part)") + ", " + OTSU.format(n="o", k="site_id, scene_id", v="lum", s="bands"))
 add("mask_area", "SELECT site_id, scene_id, round(count(*) FILTER (forest) * 0.0004::DOUBLE, 6) AS area_ha FROM m GROUP BY ALL")

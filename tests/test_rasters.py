@@ -1,5 +1,6 @@
 """Operators on small rasters drawn as text, against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -240,6 +241,24 @@ def test_thresholds(spark):
     assert {r.k: r.threshold for r in stats.otsu_threshold(df, "v", None, ["k"]).collect()} == {"a": 2, "b": 128, "c": 128}
 
 
+def test_median_by_rounds(spark):
+    rnd = random.Random(5)
+    values = {
+        "normal": [rnd.gauss(0, 1) for _ in range(4000)], "wide": [rnd.choice([-1, 1]) * 10.0 ** rnd.randint(-300, 300) for _ in range(3001)],
+        "heavy": [1.0] * 1500 + [2.0] * 1499 + [1 + k / 9999 for k in range(1, 900)], "nan": [float("nan")] * 1600 + [1.0] * 1500, "inf": [float("-inf")] * 900 + [float("inf")] * 800 + [0.5, -0.0],
+        "one": [3.25], "few": [2.0, 1.0], "none": [None] * 3, "holes": [None] * 5000 + [float(k) for k in range(1500)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(7)
+    want = {k: s[len(s) // 2] for k, vs in values.items() if (s := sorted((v for v in vs if v is not None), key=lambda v: (v != v, v)))}
+    for most in (1, 10_000):
+        got = {r.k: r["median"] for r in stats.upper_median(df, "v", ["k"], most).collect()}
+        assert got.keys() == want.keys() and all(got[k] == want[k] or got[k] != got[k] and want[k] != want[k] for k in want), most
+    big = spark.createDataFrame([("k", 2**60 + v) for v in rnd.sample(range(5000), 999)] + [("l", v) for v in range(999)], "k string, v long")
+    got = {r.k: r["median"] for r in stats.upper_median(big, "v", ["k"], 5).collect()}
+    assert got == {r.k: r["median"] for r in stats.level_median(big, "v", ["k"]).collect()} and got["l"] == 499
+    assert stats.upper_median(df.where("k = 'none'"), "v", ["k"], 1).collect() == []
+
+
 def test_polygons_and_discs(spark):
     sizes = spark.createDataFrame([(0, 12, 10)], "site_id long, width int, height int")
     rows = [(0, "k", "two", 0, 1.0, 1.0), (0, "k", "two", 1, 8.0, 8.0)] + [(0, "k", "box", k, x, y) for k, (x, y) in enumerate([(2.0, 1.0), (6.0, 1.0), (6.0, 4.0), (2.0, 4.0)])]
@@ -255,6 +274,25 @@ def test_nearest_is_strict_and_first_wins(spark):
     assert {r.query_id: (r.point_id, r.d) for r in geometry.nearest_within(q, p, 13.0).collect()} == {1: (5, 5.0), 2: (None, None)}
 
 
+def test_nearest_in_crowded_cells(spark):
+    rnd = random.Random(8)
+    p = [(rnd.randrange(9000), 0, 50 + rnd.gauss(0, 0.01), 50 + rnd.gauss(0, 0.01)) for _ in range(1200)] + [(k, 0, 61.0, 50.0) for k in range(300, 200, -1)]
+    p += [(9500 + k, rnd.randrange(2), rnd.uniform(-20, 90), rnd.uniform(-20, 90)) for k in range(60)] + [(9700, 0, 50.0, 38.0), (9699, 0, 50.0, 62.0), (9800, 0, None, 1.0), (9801, 0, float("nan"), 1.0), (9802, 0, float("inf"), 1.0)]
+    q = [(0, 50.0 + rnd.gauss(0, 0.02), 50.0 + rnd.gauss(0, 0.02)) for _ in range(500)] + [(0, rnd.uniform(-30, 100), rnd.uniform(-30, 100)) for _ in range(300)] + [(1, 50.0, 50.0), (0, 61.0, 50.0), (0, None, 3.0), (7, 1.0, 1.0)]
+    points = spark.createDataFrame(p, "point_id long, site_id long, x double, y double")
+    asked = spark.createDataFrame([(k, *r) for k, r in enumerate(q)], "query_id long, site_id long, x double, y double")
+    want = {}
+    for k, (site, x, y) in enumerate(q):
+        near = [] if x is None else [(d, i) for i, s, a, b in p if s == site and a is not None and (d := math.hypot(x - a, y - b)) < 13.0]
+        want[k] = min(near, default=(None, None))
+    for leaf in (16, 5000):
+        got = {r.query_id: (r.d, r.point_id) for r in geometry.nearest_within(asked, points, 13.0, leaf).collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and (got[k][0] is None) == (want[k][0] is None) for k in want), leaf
+        assert all(d is None or abs(d - want[k][0]) < 1e-12 for k, (d, _) in got.items())
+    assert len(geometry.point_tree(points, 13.0, 16)) > 8
+    assert geometry.nearest_within(asked, points.limit(0), 13.0).where("d is not null").count() == 0
+
+
 def mulberry(seed):
     a = seed & 0xFFFFFFFF
     while True:
