@@ -1,9 +1,10 @@
-"""Near-duplicate vectors by passes of random projections.
+"""Near-duplicate vectors by sorted projection passes.
 
-Each pass cuts the vectors of a label into runs with equal leading signs of random projections and compares every
-pair inside a run, in bounded blocks; verified pairs of all passes are united. A pair's chance to share a run depends
-on its own angle only, so that the recall holds however the other vectors lie. Equal vectors are first made one.
-Inside the united groups every pair is then compared, so that numbers of links are exact there.
+Each pass orders the vectors of a label lexicographically by the signs of random projections and compares every vector
+with a window of neighbours: the blocks of rows before, at and after its own place, and all of its run, the rows with
+equal leading signs, where that reaches farther. Verified pairs of all passes are united. A pair's chance to share a
+run depends on its own angle only, so that the recall holds however the other vectors lie; windows add to it. Equal
+vectors are first made one. Inside the united groups every pair is then compared, so that numbers of links are exact there.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landfold.llm.common import labels_of_pairs, passes_for, runs, shuffle_partitions, with_block_pairs, written
+from landfold.llm.common import labels_of_pairs, numbered, passes_for, runs, shuffle_partitions, with_block_pairs, written
 from landfold.llm.components import connected_components
 from landfold.tables import joined_by_hot_key
 
-#: Most signs in a pass's key.
+#: Signs that a pass orders by.
 BITS = 48
-#: Rows of one side of a block of pairs, in the passes and inside groups.
+#: Rows of one side of a block of pairs, in the passes (what a window reaches at least) and inside groups.
 RUN, CHUNK = 2048, 1024
 #: Vectors of a label that its number of signs is chosen by, and comparisons that cost as much as one more row in a pass.
 DRAWN, ROW_COST = 512, 2500
@@ -33,7 +34,7 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _plan(least: float, recall: float, row_cost: float):
+def _plan(least: float, recall: float, row_cost: float, window: int):
     """The cheapest number of signs for a space, by the angles of a few of its vectors, and the passes that it takes."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -41,32 +42,51 @@ def _plan(least: float, recall: float, row_cost: float):
         same = 1 - np.arccos(np.clip(u @ u.T, -1, 1)) / np.pi
         same = same[~np.eye(len(u), dtype=bool)] if len(u) > 1 else np.ones(1)
         tries = [passes_for(recall, (1 - np.arccos(least) / np.pi) ** b) for b in range(BITS + 1)]
-        bits = int(np.argmin([n * (row_cost + size * (same**b).mean()) for b, n in enumerate(tries)]))
+        met = [max(size * (same**b).mean(), min(size, 1.5 * window)) for b in range(BITS + 1)]
+        bits = int(np.argmin([n * (row_cost + m) for n, m in zip(tries, met)]))
         return pd.DataFrame({"space": [g["space"].iloc[0]], "bits": [bits], "passes": [tries[bits]]})
 
     return run
 
 
-def _keys(seed: int):
+def _keys(seed: int, window: int):
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
             for space, part in frame.groupby("space"):
-                x, bits = _unit(part["embedding"].to_numpy()), int(part["bits"].iloc[0])
-                weights = 1 << np.arange(bits, dtype=np.int64)
+                x, bits, size = _unit(part["embedding"].to_numpy()), int(part["bits"].iloc[0]), int(part["size"].iloc[0])
                 for turn in range(part["passes"].iloc[0]):
                     at = (x.shape[1], turn)
                     if at not in planes:
                         planes[at] = np.random.default_rng([seed, *at]).standard_normal((x.shape[1], BITS))
-                    code = ((x @ planes[at][:, :bits]) > 0) @ weights if bits else np.zeros(len(x), np.int64)
-                    yield pd.DataFrame({"key": part["key"].to_numpy(), "space": space, "turn": np.int32(turn), "code": code})
+                    code = ((x @ planes[at]) > 0) @ weights
+                    yield pd.DataFrame({"key": part["key"].to_numpy(), "space": space, "turn": np.int32(turn), "code": code, "lead": code >> BITS - bits, "last": (size - 1) // window})
 
     return run
 
 
+def window_blocks(codes: DataFrame, window: int) -> DataFrame:
+    """(space, turn, key, chunk, i, j): each row of a pass in every block of pairs of its window.
+
+    codes: space, turn, code, lead, key, last (the pass's last chunk). Rows stand in the order of their codes and make
+    chunks of ``window``; a row meets its own chunk, the one before and the one after, and in a run of equal leading signs that
+    reaches farther all chunks of that run.
+    """
+    rows = numbered(codes.withColumn("_pass", F.struct("space", "turn")), "_pass", ["code", "key"], "passes").withColumn("chunk", F.expr(f"n div {window}"))
+    rows = rows.withColumn("_run", F.struct("space", "turn", "lead"))
+    far = rows.groupBy("_run").agg(F.min("chunk").alias("_a"), F.max("chunk").alias("_b"), F.count(F.lit(1)).alias("n")).where("_b - _a > 1")
+    far = written(far, "runs")
+    rows = joined_by_hot_key(rows.select("_run", "key", "chunk", "last"), far.select("_run", "_a", "_b"), "_run", F.col("key"), far, "left")
+    other = F.explode(F.expr("sequence(least(coalesce(_a, chunk), greatest(chunk - 1, 0)), greatest(coalesce(_b, chunk), least(chunk + 1, last)))"))
+    rows = rows.select(F.col("_run.space").alias("space"), F.col("_run.turn").alias("turn"), "key", "chunk", other.alias("_other"))
+    return rows.withColumns({"i": F.least("chunk", "_other"), "j": F.greatest("chunk", "_other")}).drop("_other")
+
+
 def _linked(least: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(frames, ["space", "turn", "code", "i", "j"]):
+        for g in runs(frames, ["space", "turn", "i", "j"]):
             if len(g["key"]) < 2:
                 continue
             i, j, chunk, key = g["i"][0], g["j"][0], g["chunk"], g["key"]
@@ -98,14 +118,15 @@ def _count_links(least: float):
     return run
 
 
-def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.999, seed: int = 7, row_cost: float = ROW_COST) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.999, seed: int = 7, row_cost: float = ROW_COST, window: int = RUN) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors(vec_id, embedding, label).
 
     Two vectors are linked if their labels are equal and their cosine in double precision is at least ``least``.
-    A pair just at ``least`` shares all signs of a pass with a known probability, from which the number of passes
+    A pair just at ``least`` shares a pass's leading signs with a known probability, from which the number of passes
     follows so that it is compared with probability ``recall`` or more, whatever the other vectors are. The number
-    of signs only weighs costs (``row_cost``: comparisons that cost as much as a row in one more pass); with none,
-    as in all but large labels, every pair is compared. No pass is skipped and no partner is dropped.
+    of leading signs only weighs costs (``row_cost``: comparisons that cost as much as a row in one more pass); with
+    none, as in dense cones, the window is the whole label. A label of at most ``window`` vectors lies in one window of its
+    one pass. No pass is skipped and no partner is dropped.
     A vector that is null, empty, zero, or holds null or non-finite components, one with a null label, and one with
     a null vec_id link with nothing (0 links, own component, kept). Vectors of different length never link. Equal
     rows count as separate vectors linked to each other; an id given to several vectors joins their groups. Columns
@@ -125,18 +146,15 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.93, recall: f
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("size"))
     drawn = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) * F.col("size") < F.lit(DRAWN << 30)
     plans = classes.join(sizes, "space").where(drawn).select("space", "size", "embedding").groupBy("space")
-    plans = sizes.select("space").join(written(plans.applyInPandas(_plan(least, recall, row_cost), "space long, bits int, passes int"), "plans"), "space", "left")
-    plans = plans.na.fill({"bits": 0, "passes": 1})
-    codes = classes.select("key", "space", "embedding").join(plans, "space").mapInPandas(_keys(seed), "key binary, space long, turn int, code long")
-    codes = written(codes, "passes")
-    long = codes.groupBy("space", "turn", "code").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > RUN)
-    placed = codes.join(F.broadcast(long), ["space", "turn", "code"], "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    plans = sizes.select("space").join(written(plans.applyInPandas(_plan(least, recall, row_cost, window), "space long, bits int, passes int"), "plans"), "space", "left")
+    plans = plans.na.fill({"bits": 0, "passes": 1}).join(sizes, "space")
+    codes = classes.select("key", "space", "embedding").join(plans, "space").mapInPandas(_keys(seed, window), "key binary, space long, turn int, code long, lead long, last long")
     pairs = (
-        with_block_pairs(placed, "size", "key", RUN)
+        window_blocks(codes, window)
         .join(classes.select("key", "embedding"), "key")
-        .select("space", "turn", "code", "i", "j", "chunk", "key", "embedding")
-        .repartition(shuffle_partitions(spark), "space", "turn", "code", "i", "j")
-        .sortWithinPartitions("space", "turn", "code", "i", "j")
+        .select("space", "turn", "i", "j", "chunk", "key", "embedding")
+        .repartition(shuffle_partitions(spark), "space", "turn", "i", "j")
+        .sortWithinPartitions("space", "turn", "i", "j")
         .mapInPandas(_linked(least), "a binary, b binary")
     )
     same_id = classes.groupBy("first_id").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("many")).where("many > 1")

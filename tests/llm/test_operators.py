@@ -187,8 +187,8 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.embedding_near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("mean, row_cost", [(0.85, 2500), (0.7, 1)])  # without signs, with signs
-def test_dense_cone_equals_brute_force(spark, mean, row_cost):
+@pytest.mark.parametrize("mean, row_cost, window", [(0.85, 2500, 2048), (0.7, 1, 128)])  # without leading signs, with some
+def test_dense_cone_equals_brute_force(spark, mean, row_cost, window):
     rnd = np.random.default_rng(3)
     unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
     n, d, planted = 6000, 64, 300
@@ -201,11 +201,32 @@ def test_dense_cone_equals_brute_force(spark, mean, row_cost):
     low = embedding_dedup.labels_of_pairs(len(vec), a, b)
     links = np.bincount(np.concatenate([a, b]), minlength=len(vec))
     df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vec)], "vec_id long, embedding array<float>, label int").repartition(4)
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_duplicates(df, row_cost=row_cost).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_duplicates(df, row_cost=row_cost, window=window).collect()}
     missed = sum(got[k] != (links[k], low[k]) for k in range(len(vec)))
     assert len(a) >= planted and missed <= (0 if row_cost == 2500 else 0.001 * 2 * len(a) + 2)
 
 
+def test_windows_hold_neighbours_and_runs(spark):
+    rnd = random.Random(4)
+    codes = [(rnd.choice([5, 6]), t, rnd.choice([7, rnd.randrange(64)])) for t in range(2) for _ in range(150)]
+    rows = [(b"%04d" % k, space, turn, code, code >> 3) for k, (space, turn, code) in enumerate(codes)]
+    sizes = collections.Counter((r[1], r[2]) for r in rows)
+    df = spark.createDataFrame([(*r, (sizes[r[1], r[2]] - 1) // 10) for r in rows], "key binary, space long, turn int, code long, lead long, last long").repartition(5)
+    blocks = collections.defaultdict(set)
+    for r in embedding_dedup.window_blocks(df, 10).collect():
+        assert bytes(r.key) not in blocks[r.space, r.turn, r.i, r.j] and r.chunk in (r.i, r.j)
+        blocks[r.space, r.turn, r.i, r.j].add(bytes(r.key))
+    met = {(a, b) for part in blocks.values() for a in part for b in part if a < b}
+    for of in sizes:
+        order = sorted((r for r in rows if (r[1], r[2]) == of), key=lambda r: (r[3], r[0]))
+        for k, r in enumerate(order):
+            for m, o in enumerate(order[k + 1 :], k + 1):
+                pair = (min(r[0], o[0]), max(r[0], o[0]))
+                if m - k <= 10 or r[4] == o[4]:
+                    assert pair in met
+    assert all(len(part) <= 20 for part in blocks.values())
+
+
 # --- 3
 
 
@@ -349,6 +370,7 @@ def test_archives_round_trip(spark):
     texts = {r.page_id: bytes(r.payload).decode() for r in got if r.payload is not None}
     assert texts[92] == "ü" * 70_000 and texts[90] == ""
     assert warc.read_records(warc.archive_pages(pages.limit(0))).count() == 0
+    assert sorted(map(str, warc.read_records(warc.archive_pages(pages), flush=1).collect())) == sorted(map(str, got))  # one record a time
     assert {r.record_type for r in warc.read_records(warc.archive_pages(pages, 10**9)).collect()} == {"response"}
 
 
