@@ -25,6 +25,8 @@ from landfold.tables import joined_by_hot_key
 
 #: Bytes read or inflated at a time; payload bytes after which a task begins another archive.
 STEP, ROLL = 1 << 18, 1 << 28
+#: Payload bytes that the reader hands on at a time.
+FLUSH = 1 << 25
 INDEX = "archive string, offset long, length long, record_id string, record_type string"
 
 
@@ -184,17 +186,18 @@ def read_index(spark: SparkSession, normalised: DataFrame, folder: str) -> DataF
     return rows.join(normalised.select("archive"), "archive", "left_semi")
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, flush: int = FLUSH) -> DataFrame:
     """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to), each record by its own offset.
 
-    A revisit has a null payload; its size and digest are those that it states of the full payload. A response's are
+    A task hands its records on whenever ``flush`` bytes are together. A revisit has a null payload; its size and digest are those that it states of the full payload. A response's are
     taken from the payload, and a digest that differs from the stated one is an error.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, name = None, None
+        columns = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
         for frame in frames:
-            out = []
+            out, held = [], 0
             for path, offset, length in zip(frame["archive"], frame["offset"], frame["length"]):
                 if path != name:
                     stream, name = _open(path, "r"), path
@@ -211,7 +214,12 @@ def read_records(index: DataFrame) -> DataFrame:
                 if payload is not None and (digest_of(payload) != digest or len(payload) != full):
                     raise ValueError(f"{fields['WARC-Record-ID']} in {path} is damaged")
                 out.append((_id(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], payload, full, digest, _id(fields.get("WARC-Refers-To"))))
-            yield pd.DataFrame(out, columns=["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
+                held += len(payload or b"")
+                if held >= flush:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
     found = index.mapInPandas(run, "page_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string")
     return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
