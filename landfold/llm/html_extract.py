@@ -71,7 +71,7 @@ ENDED = re.compile(r"[.!?…:;][\"'”’»)\]]*\Z")
 #: Broken tags of one page that are ended at the next ``>`` instead; the page's later ones are text.
 MENDED = 16
 
-FEATURES = ("base", "inside", "outside", "named in", "outside named", "out element", "form", "named out", "partly named out", "partly named inside", "hidden", "header", "words", "few words", "ended", "linked", "heading", "cell")
+FEATURES = ("base", "inside", "outside", "named in", "outside named", "out element", "form", "named out", "partly named out", "partly named inside", "hidden", "header", "words", "few words", "ended", "linked", "linked inside", "kin linked", "kin linked inside", "heading", "cell")
 #: Capacities of the two kinds of ties.
 NEXT_TIE, SIBLING_TIE, COUSIN_TIE = 0.4, 0.5, 0.2
 
@@ -272,14 +272,18 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block."""
+    """A row of FEATURES for each block; its kin are the blocks under the same parent, as the items of a list are."""
     marked, named = any(b.home.inside for b in blocks), any(b.home.named for b in blocks)
     rows = np.zeros((len(blocks), len(FEATURES)))
+    kin: dict[int, list[float]] = {}
+    for b in blocks:
+        kin.setdefault(id(b.home.parent or b.home), []).append(min(1.0, b.linked / len(b.text)))
+    shares = {k: sum(v) / len(v) for k, v in kin.items()}
     for row, b in zip(rows, blocks):
-        e, words = b.home, b.text.count(" ") + 1
+        e, words, linked, share = b.home, b.text.count(" ") + 1, min(1.0, b.linked / len(b.text)), shares[id(b.home.parent or b.home)]
         row[:] = (
             1.0, e.inside, marked and not e.inside, e.named, not marked and named and not e.named, e.out, e.form, e.strong, e.weak and not e.inside, e.weak and e.inside, e.hidden, e.header,
-            min(words, 50) / 50, words <= 3, ENDED.search(b.text, max(0, len(b.text) - 8)) is not None, min(1.0, b.linked / len(b.text)), e.name in HEADINGS, e.name in ("td", "th"),
+            min(words, 50) / 50, words <= 3, ENDED.search(b.text, max(0, len(b.text) - 8)) is not None, linked, linked * e.inside, share, share * e.inside, e.name in HEADINGS, e.name in ("td", "th"),
         )
     return rows
 

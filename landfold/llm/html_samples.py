@@ -24,9 +24,9 @@ def _named(name: str) -> str:
     return f' class="{name}"' if name else ""
 
 
-def _noise(rnd: random.Random) -> str:
-    """A part that is not article: marked by an element, a name or not at all, of links, short lines or prose."""
-    kind, body = rnd.random(), []
+def _noise(rnd: random.Random, marked: bool = False) -> str:
+    """A part that is not article: marked by an element, a name or (unless ``marked``) not at all, of links, short lines or prose."""
+    kind, body = rnd.random() * (0.93 if marked else 1), []
     for _ in range(rnd.randint(1, 7)):
         shape = rnd.random()
         if shape < 0.45:
@@ -75,8 +75,13 @@ def _article(rnd: random.Random) -> tuple[str, list[str]]:
             block("blockquote", _words(rnd, 6, 30) + ".", rnd.choice(["reply", "quote", "", name]))
         elif shape < 0.8:
             body.append("<ul>")
+            linked = rnd.choice([0, 0, 0.3, 1])  # of the items, those that are all link
             for _ in range(rnd.randint(2, 5)):
-                block("li", _words(rnd, 1, 12) + rnd.choice([".", "", ""]))
+                if rnd.random() < linked:
+                    kept.append(_words(rnd, 1, 6))
+                    body.append(f"<li><a href=/w>{kept[-1]}</a></li>")
+                else:
+                    block("li", _words(rnd, 1, 12) + rnd.choice([".", "", ""]))
             body.append("</ul>")
         elif shape < 0.86:
             body.append("<table>")
@@ -96,7 +101,7 @@ def _article(rnd: random.Random) -> tuple[str, list[str]]:
             block("p", _words(rnd, 8, 40) + ".")
             body.append("</div>")
         if rnd.random() < 0.12:
-            body.append(_noise(rnd))
+            body.append(_noise(rnd, marked=True))
     return "".join(body), kept
 
 

@@ -645,6 +645,17 @@ PAGE = """<!doctype html><html><head><title>no</title><style>p{{x:"</p>"}}</styl
 <footer>&copy; site, all rights reserved and more words.</footer><!-- <p>no</p> --></body></html>"""
 
 
+def test_linked_lines_of_an_article_stay():
+    item = lambda *rows: "".join(f"<li>{r}</li>" for r in rows)
+    a = lambda t: f"<a href=x>{t}</a>"
+    nav = f"<nav><ul>{item(a('Home'), a('News'))}</ul></nav>"
+    assert html_extract.main_text(f"<article><h1>T</h1><ul>{item('one', 'two', a('three'))}</ul></article>") == "T\n\none\n\ntwo\n\nthree"
+    page = f"{nav}<article><h1>T</h1><p>Some prose that ends here.</p><ul>{item(a('one thing'), a('two'))}</ul><p>More prose after it.</p></article><footer>{a('About')}</footer>"
+    assert html_extract.main_text(page) == "T\n\nSome prose that ends here.\n\none thing\n\ntwo\n\nMore prose after it."
+    page = f"{nav}<div><h1>Title of this</h1><p>A long first paragraph that says a number of things about the matter.</p><p>No</p><p>{a('See the report')}</p></div><ul>{item(a('About'), a('Contact us'))}</ul>"
+    assert html_extract.main_text(page).split("\n\n")[1:] == ["A long first paragraph that says a number of things about the matter.", "No", "See the report"]
+
+
 def test_page_without_boilerplate():
     assert html_extract.main_text(PAGE.format()) == "\n\n".join(["Title & more", "First bold text goes on, with enough words to be an article.", "Second ☃ paragraph a < b stays.", "Short.", "Item one", "Item two"])
 
