@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables: each takes effect on what the one before it kept."""
 
+import collections
 import re
 
 import corpus_pipeline
@@ -57,9 +58,23 @@ def test_sequences_follow_the_mix_over_many_files(spark, tmp_path):
 
 def test_stages_take_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "token=abcdefgh12 and words", "en", None, 26)], queries.table(spark, SF, "documents").schema)
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).count()
+    rows = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    given = rows(odd)
+    good = rows(corpus_pipeline.keep_good(spark, odd, SF))
+    assert not good - given and all(good[r] in (0, given[r]) for r in given)
+    one = rows(corpus_pipeline.keep_one_copy(spark, odd, SF))
+    assert one == {(1, "", "en", "a", 0): 1, (2, "token=abcdefgh12 and words", "en", None, 26): 1}
+    masked = rows(corpus_pipeline.mask_secrets(spark, odd, SF))
+    plain, changed = masked & given, masked - given
+    assert plain == given - collections.Counter([(2, "token=abcdefgh12 and words", "en", None, 26)])
+    ((doc_id, text, _, _, n_chars),) = changed
+    assert doc_id == 2 and "abcdefgh12" not in text and text.endswith(" and words") and n_chars == len(text)
+    assert rows(corpus_pipeline.mix_sources(spark, odd, SF)) == given
+    packed = corpus_pipeline.pack(spark, odd, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.length) for r in packed if r.doc_id != 2) == [(False, 1, 1), (False, 1, 1), (True, 0, 1)]
+    assert len({r.sequence_id for r in packed}) == len(packed)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).count() == 0
 
 
 def test_sql_of_the_operators(spark):
