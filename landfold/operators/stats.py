@@ -73,24 +73,44 @@ def upper_median(df: DataFrame, col: str, keys: list[str] = K, most: int = 1_000
     return out
 
 
+def level(col: str) -> Column:
+    """A value rounded half-up and clamped to 0..255."""
+    return F.least(F.greatest(F.floor(F.col(col) + 0.5), F.lit(0)), F.lit(255)).cast("int")
+
+
 def histogram256(df: DataFrame, col: str, mask: str | None = None, keys: list[str] = K) -> DataFrame:
     """(keys, bin, n): values rounded half-up and clamped to 0..255."""
     df = df if mask is None else df.where(mask)
-    bin_ = F.least(F.greatest(F.floor(F.col(col) + 0.5), F.lit(0)), F.lit(255)).cast("int")
-    return df.groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys, level(col).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def otsu_threshold(df: DataFrame, col: str, mask: str | None = None, keys: list[str] = K) -> DataFrame:
     """(keys, threshold): the first bin that maximises the variance between classes; 128 if empty or never above 0."""
+    return _otsu(df.select(*keys).distinct(), histogram256(df, col, mask, keys), keys)
+
+
+def _otsu(of: DataFrame, h: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
-    h = histogram256(df, col, mask, keys)
     up = w.orderBy("bin")
     h = h.withColumns({"_b": F.sum("n").over(up), "_s": F.sum(F.col("bin") * F.col("n")).over(up), "_n": F.sum("n").over(w), "_t": F.sum(F.col("bin") * F.col("n")).over(w)})
     front = F.col("_n") - F.col("_b")
     gap = F.col("_s") / F.col("_b") - (F.col("_t") - F.col("_s")) / front
     h = h.withColumn("_v", F.when(front > 0, F.col("_b").cast("double") * front * gap * gap))
     best = h.where("_v > 0").groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("_v"), "bin")).alias("threshold"))
-    return df.select(*keys).distinct().join(best, keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(128)))
+    return of.join(best, keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(128)))
+
+
+def area_below_otsu(df: DataFrame, col: str, px_area_ha: float, keys: list[str] = K) -> DataFrame:
+    """(keys, threshold, area_ha): Otsu's threshold of not-null values and the area below it, from one histogram.
+
+    Each bin also counts its values below its own number, so that the area is exact: bins below the threshold, and
+    that part of the threshold's bin. Pixels are read once.
+    """
+    h = df.groupBy(*keys, level(col).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(col) < level(col)).alias("low"))
+    h = written(h, "histogram")
+    limit = _otsu(h.select(*keys).distinct(), h.select(*keys, "bin", "n"), keys)
+    below = F.expr("CASE WHEN bin < threshold THEN n WHEN bin = threshold THEN low ELSE 0 END")
+    return h.join(limit, keys).groupBy(*keys, "threshold").agg((F.sum(below) * F.lit(px_area_ha)).alias("area_ha"))
 
 
 def ha(mask: Column | str, px_area_ha: float) -> Column:

@@ -39,9 +39,7 @@ def bands(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark-forest area of each scene with its yearly change and the site's trend."""
-    b = bands(spark, sf_dir)
-    limit = stats.otsu_threshold(b, "lum")
-    area = b.join(limit, K).groupBy("site_id", "scene_id", "year").agg((F.count_if(F.col("lum") < F.col("threshold")) * F.lit(HA)).alias("area_ha"), F.first("threshold").alias("threshold"))
+    area = stats.area_below_otsu(bands(spark, sf_dir), "lum", HA, ["site_id", "scene_id", "year"])
     line = trend.fit_trend(area).select("site_id", "slope", "r2")
     return change.area_change_rate(area).join(line, "site_id").select("site_id", "scene_id", "year", "threshold", *r6("area_ha", "rate", "slope", "r2"))
 

@@ -241,6 +241,15 @@ def test_thresholds(spark):
     assert {r.k: r.threshold for r in stats.otsu_threshold(df, "v", None, ["k"]).collect()} == {"a": 2, "b": 128, "c": 128}
 
 
+def test_area_below_otsu_is_exact(spark):
+    rnd = random.Random(2)
+    values = {"a": [rnd.choice([40, 180]) + rnd.randint(-200, 200) / 8 for _ in range(500)], "b": [128.0, 127.5, 128.49], "c": [7.0] * 5, "d": [-3.0, 0.4, 300.0, 254.5]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    want = {r.k: r.threshold for r in stats.otsu_threshold(df, "v", None, ["k"]).collect()}
+    got = {r.k: (r.threshold, r.area_ha) for r in stats.area_below_otsu(df, "v", 0.5, ["k"]).collect()}
+    assert got == {k: (t, 0.5 * sum(v < t for v in values[k])) for k, t in want.items()}
+
+
 def test_median_by_rounds(spark):
     rnd = random.Random(5)
     values = {
