@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,21 +22,24 @@ from pyspark.sql import functions as F
 
 from landfold.llm.common import text_or_empty
 
-#: Words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers, half of them looked up since the other half was full.
+REMEMBERED = 1_200_000
 WORD = re.compile(r"[^ \n\t\r]+")
-#: Lower-cased text: runs of letters up to white space or one full stop or comma before it, and all else up to white space.
-PLAIN = re.compile(r"[a-zß-öø-ÿ]+(?=[ \n]|[.,](?:[ \n]|\Z)|\Z)|[.,](?=[ \n]|\Z)|[^ \n\t\r]+")
-LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-#: Beyond these letters, words go to the tokenizer as they stand.
-WIDE = re.compile("[^\x00-\u024f]")
+#: Runs of letters that lower-casing and normalizing leave as they are, and words of such letters, digits and signs.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+SIMPLE = re.compile("[!-@\\[-`{-~a-zß-öø-ÿ]+")
+#: Pieces of such a word, as the tokenizer's own pattern has them.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Texts with letters beyond these, which go to the tokenizer as they stand, or with what is white space to Python alone.
+WIDE = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
 
 
 class WordIds(dict):
     """Ids of a white-space separated word as little-endian bytes; the tokenizer drops white space and never joins across it.
 
-    The tokenizer lower-cases, and parts letters from a full stop or comma after them, so that such parts are looked
-    up alone. A run of plain letters is one piece of its own: it goes straight to the tokenizer's model.
+    The tokenizer lower-cases, and cuts words into runs of letters, digits and runs of signs: a simple word is put
+    together of its pieces' ids, and a piece goes straight to the tokenizer's model. When half of REMEMBERED is full, it
+    becomes the older half, whose words come back when they are met again.
     """
 
     def __init__(self, path: str):
@@ -43,34 +47,54 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.pieces = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.added = {t.content: struct.pack("<I", k) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.packed = [struct.pack("<I", k) for k in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.spelled = {k: self.pieces(chr(k))[0][0] for k in range(0xDF, 0x100) if LETTERS.fullmatch(chr(k))}
+        self.added = {t.content: self.packed[k] for k, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) <= 64 and LETTERS.fullmatch(word):
-            piece = word if word.isascii() else self.pieces(word)[0][0]
-            ids = [t.id for t in self.model(piece)]
-        elif any(t in word for t in self.added):
-            ids = [t.id for piece, _ in self.pieces(self.tokenizer.normalizer.normalize_str(word)) for t in self.model(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        data = struct.pack(f"<{len(ids)}I", *ids)
+        data = self.older.get(word)
+        if data is None:
+            if word.isascii() and word.isalpha() and word.islower() and len(word) <= 64:
+                packed = self.packed
+                data = b"".join([packed[t.id] for t in self.model(word)])
+            else:
+                data = self.made(word)
         if len(word) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = data
         return data
 
+    def made(self, word: str) -> bytes:
+        if len(word) <= 64 and SIMPLE.fullmatch(word):
+            pieces = PIECES.findall(word)
+            return self.piece(word.translate(self.spelled)) if len(pieces) == 1 else b"".join([self[piece] for piece in pieces])
+        if any(t in word for t in self.added):
+            return b"".join([self.piece(piece) for piece, _ in self.pieces(self.tokenizer.normalizer.normalize_str(word))])
+        return b"".join([self.packed[k] for k in self.tokenizer.encode(word, add_special_tokens=False).ids])
+
+    def piece(self, spelled: str) -> bytes:
+        return b"".join([self.packed[t.id] for t in self.model(spelled)])
+
     def of(self, text: str) -> bytes:
         if self.parts is not None and any(t in text for t in self.added):
             return b"".join(self.added.get(part) or self.plain(part) for part in self.parts.split(text))
         return self.plain(text)
 
     def plain(self, text: str) -> bytes:
-        words = WORD.findall(text) if WIDE.search(text) else PLAIN.findall(text.lower())
+        words = WORD.findall(text) if WIDE.search(text) else text.lower().split()
         return b"".join(map(self.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def piece_lengths(n: int, most: int) -> list[int]:
     rest = n % most
     return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
@@ -78,7 +102,7 @@ def piece_lengths(n: int, most: int) -> list[int]:
 
 def _pieces(path: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, made, part = WordIds(path), Counter(), TaskContext.get().partitionId()
+        words, made, part = word_ids(path), Counter(), TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             docs, out, ids = batch.column(0), [], []

@@ -346,6 +346,28 @@ def test_ids_of_odd_strings_equal_the_tokenizers():
         assert np.frombuffer(ids.of(text), "<u4").tolist() == want.ids, repr(text)
 
 
+def test_words_are_put_together_of_remembered_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    want = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    got = lambda text: np.frombuffer(ids.of(text), "<u4").tolist()
+    ids.tokenizer = None  # simple words don't go to the whole tokenizer
+    texts = ["It's 1,000 words... (naïve), a1b22c.", "''s 'st don't'll .'s x'S $$$ ab%%% été. ß, ÿ-ÿ", "<|ENDOFTEXT|> a<|startoftext|>.", "", " \xa0\x85\x0b"]
+    assert [got(t) for t in texts] == [want(t) for t in texts]
+    ids = packing.WordIds(path)
+    for k in [*range(1, 0x260), 0x300, 0x307, 0x30C, 0x2003, 0x3000]:
+        text = f"Ab{chr(k)}cd.{chr(k)} J{chr(k)}'s {chr(k)}. 1{chr(k)}, {chr(k) * 2}.."
+        assert got(text) == want(text), hex(k)
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    ids, rnd = packing.WordIds(path), random.Random(5)
+    for _ in range(300):
+        text = " ".join(rnd.choice(["one", "two.", "a1", "b's", "été,", "$$$"]) + "ab"[: rnd.randint(0, 2)] for _ in range(9))
+        assert got(text) == want(text) and len(ids) + len(ids.older) <= 8
+    assert packing.word_ids(path) is packing.word_ids(path)  # tasks of a worker share it
+
+
 def test_piece_lengths():
     for n in range(0, 9000, 7):
         parts = packing.piece_lengths(n, 4096)
