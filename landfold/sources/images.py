@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landfold.keys import K
+from landfold.tables import written
 
 
 def read_scene_images(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +84,19 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def regrid_nearest(px: DataFrame, width: int, height: int) -> DataFrame:
-    """px of any size on a grid of width x height, by the nearest source pixel. A source row meets its target rows in an equi-join."""
-    size = px.groupBy(*K).agg((F.max("x") + 1).alias("w0"), (F.max("y") + 1).alias("h0"))
-    grid = size.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    source = lambda t, n, m: F.least(F.floor((F.col(t) + 0.5) * F.col(n) / m), F.col(n) - 1)
-    grid = grid.select(*K, "tx", "ty", source("tx", "w0", width).alias("x"), source("ty", "h0", height).alias("y"))
-    return grid.join(px, [*K, "x", "y"]).drop("x", "y").withColumnsRenamed({"tx": "x", "ty": "y"})
+    """px of any size on a grid of width x height, by the nearest source pixel.
+
+    A source pixel finds its target columns and rows by arithmetic, so that no grid is made and no pixel meets another;
+    it meets one row a scene, the size, which is written first so that Spark knows how small it is.
+    """
+    size = written(px.groupBy(*K).agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h")), "sizes")
+
+    def targets(c: str, n: str, m: int) -> Column:
+        source = lambda t: F.least(F.floor((t + 0.5) * F.col(n) / m), F.col(n) - 1)
+        bound = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(m - 1)).cast("int")
+        # one more on either side than the quotients say; the rule itself decides
+        near = F.sequence(bound(F.floor(F.col(c) * m / F.col(n) - 0.5) - 1), bound(F.ceil((F.col(c) + 1) * m / F.col(n) - 0.5) + 1))
+        return F.explode(F.filter(near, lambda t: source(t) == F.col(c)))
+
+    rows = px.join(size, K).withColumn("_ty", targets("y", "_h", height)).withColumn("_tx", targets("x", "_w", width))
+    return rows.select(*K, F.col("_tx").alias("x"), F.col("_ty").alias("y"), *(c for c in px.columns if c not in (*K, "x", "y")))

@@ -479,3 +479,18 @@ def test_frames_by_counts_equal_frames_by_pixels(spark):
     assert got[1, 2003.0 + 1e-8][:2] == got[1, 2003.0][:2] and got[1, 2003.0 + 1e-8][3] == "obs"
     assert got[2, 1990.0][2] == 1995 and got[2, 2003.0][2] == 1995 and got[5, 2015.0][2:] == (2010.0, "pred") and got[4, 2003.0][2] is None and got[4, 2050.0][2] == 2004
     assert jobs.frames(masks.limit(0), years, 1.0).count() == 0
+
+
+def test_regrid_exchanges_no_grid(spark):
+    """Grids up and down in size, from rasters of their own size each, by the rule itself; nothing but the scenes' sizes is exchanged."""
+    rnd = random.Random(7)
+    rasters = {"a": (5, 3), "b": (1, 1), "c": (13, 29), "d": (40, 2)}
+    rows = [(0, s, x, y, rnd.randrange(256)) for s, (w, h) in rasters.items() for x in range(w) for y in range(h)]
+    values = {(s, x, y): v for _, s, x, y, v in rows}
+    px = spark.createDataFrame([*rows, (0, "a", -1, 0, 999), (0, "a", None, 0, 999), (0, None, 0, 0, 999)], "site_id long, scene_id string, x int, y int, v int")
+    for width, height in ((7, 13), (1, 1), (29, 40), (3, 100)):
+        made = images.regrid_nearest(px, width, height)
+        want = {(s, tx, ty): values[s, min(int((tx + 0.5) * w / width), w - 1), min(int((ty + 0.5) * h / height), h - 1)] for s, (w, h) in rasters.items() for tx in range(width) for ty in range(height)}
+        got = made.collect()
+        assert len(got) == len(want) and {(r.scene_id, r.x, r.y): r.v for r in got} == want
+        assert "Exchange hashpartitioning" not in made._jdf.queryExecution().toString()
