@@ -91,32 +91,68 @@ def feature_vector(bands: DataFrame, smooth: int = 3, tex_radius: int = 2) -> Da
     return focal_means(df, {"f_edge": "_e"}, max(smooth, tex_radius)).drop("_t", "_w", "_l", "_e")
 
 
+def _running_sum(a: np.ndarray, r: int, axis: int) -> np.ndarray:
+    c = np.cumsum(np.concatenate([np.zeros_like(a.take([0], axis)), a], axis), axis)
+    n = a.shape[axis]
+    hi, lo = np.minimum(np.arange(n) + r + 1, n), np.maximum(np.arange(n) - r, 0)
+    return c.take(hi, axis) - c.take(lo, axis)
+
+
 def box_sum(a: np.ndarray, r: int) -> np.ndarray:
     """Sum over the clipped window, by cumulative sums."""
-    for axis in (0, 1):
-        c = np.cumsum(np.concatenate([np.zeros_like(a.take([0], axis)), a], axis), axis)
-        n = a.shape[axis]
-        hi, lo = np.minimum(np.arange(n) + r + 1, n), np.maximum(np.arange(n) - r, 0)
-        a = c.take(hi, axis) - c.take(lo, axis)
+    return _running_sum(_running_sum(a, r, 0), r, 1)
+
+
+def _short_sum(a: np.ndarray, r: int, axis: int) -> np.ndarray:
+    """The same sums along one axis added up directly: running sums carry the rounding of the whole tile."""
+    n = a.shape[axis]
+    wide = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)])
+    return sum(wide[k : k + n] if axis == 0 else wide[:, k : k + n] for k in range(2 * r + 1))
+
+
+def _window_total(a: np.ndarray, inside: np.ndarray, r: int) -> np.ndarray:
+    """Sums along rows, then those of the raster's own pixels along columns, as window functions make them."""
+    for axis in (1, 0):
+        a = (_short_sum if r <= 8 else _running_sum)(np.where(inside, a, 0), r, axis)
     return a
 
 
-def _tile_features(lum, chroma, green, inside, border, smooth: int, tex: int) -> list[np.ndarray]:
-    mean = lambda a, r: box_sum(np.where(inside, a, 0.0), r) / np.maximum(box_sum(inside.astype(float), r), 1) if r > 0 else a
-    std = lambda a, r: np.sqrt(np.maximum(0, mean(a * a, r) - mean(a, r) ** 2))
-    low = np.where(inside, lum, np.inf)
-    for axis in (0, 1):
+def _beside(a: np.ndarray, inside: np.ndarray, axis: int) -> np.ndarray:
+    """The next pixel's value less the one's before along an axis; NaN where one of them is missing."""
+    n = a.shape[axis]
+    place = np.arange(n).reshape((-1, 1) if axis == 0 else (1, -1))
+    before = np.maximum.accumulate(np.where(inside, place, -1), axis)
+    after = np.flip(np.minimum.accumulate(np.flip(np.where(inside, place, n), axis), axis), axis)
+    pad = lambda v, side, fill: np.pad(v, [side if k == axis else (0, 0) for k in (0, 1)], constant_values=fill)
+    before = pad(before.take(range(n - 1), axis), (1, 0), -1)
+    after = pad(after.take(range(1, n), axis), (0, 1), n)
+    step = np.take_along_axis(a, np.minimum(after, n - 1), axis) - np.take_along_axis(a, np.maximum(before, 0), axis)
+    return np.where((before >= 0) & (after < n), step, np.nan)
+
+
+def _tile_features(lum, chroma, green, inside, smooth: int, tex: int) -> list[np.ndarray]:
+    """As ``feature_vector``: pixels that the raster lacks don't count, those without a value (NaN) count in means but add nothing."""
+
+    def mean(a: np.ndarray, r: int) -> np.ndarray:
+        if r <= 0:
+            return a
+        known = inside & ~np.isnan(a)
+        made = _window_total(np.where(known, a, 0.0), inside, r) / np.maximum(_window_total(inside.astype(np.int64), inside, r), 1)
+        return made if (known == inside).all() else np.where(_window_total(known.astype(np.int64), inside, r) > 0, made, np.nan)
+
+    std = lambda a, r: np.sqrt(np.fmax(0, mean(a * a, r) - mean(a, r) ** 2))
+    low = np.where(np.isnan(lum), np.inf, lum)
+    for axis in (1, 0):
         pad = [(tex, tex) if k == axis else (0, 0) for k in (0, 1)]
+        low = np.where(inside, low, np.inf)
         low = np.lib.stride_tricks.sliding_window_view(np.pad(low, pad, constant_values=np.inf), 2 * tex + 1, axis).min(-1)
-    edge = np.zeros_like(lum)
-    edge[1:-1, 1:-1] = 0.5 * np.hypot(lum[1:-1, 2:] - lum[1:-1, :-2], lum[2:, 1:-1] - lum[:-2, 1:-1])
-    edge[border] = 0
-    low = np.where(np.isfinite(low), low, 0.0)
+    edge = np.nan_to_num(0.5 * np.hypot(_beside(lum, inside, 1), _beside(lum, inside, 0)))
+    low = np.where(np.isfinite(low), low, np.nan)
     return [mean(a, smooth) for a in (lum, chroma, green, std(lum, tex), low, std(lum, 2 * tex + 1))] + [mean(edge, max(smooth, tex))]
 
 
 def features_in_tile(g: pd.DataFrame, smooth: int, tex: int) -> tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """The seven features of a tile's pixels(x, y, lum, chroma, green, width, height) as arrays, and the pixels' places in them."""
+    """The seven features of a tile's pixels(x, y, lum, chroma, green) as arrays, and the pixels' places in them."""
     x0, y0 = g["x"].min(), g["y"].min()
     h, w = int(g["y"].max() - y0 + 1), int(g["x"].max() - x0 + 1)
     at = (g["y"].to_numpy() - y0, g["x"].to_numpy() - x0)
@@ -127,11 +163,13 @@ def features_in_tile(g: pd.DataFrame, smooth: int, tex: int) -> tuple[list[np.nd
         planes.append(a)
     inside = np.zeros((h, w), bool)
     inside[at] = True
-    width, height = (int(g[c].iloc[0]) for c in ("width", "height"))
-    border = np.zeros((h, w), bool)
-    border[[k for k in (0, height - 1) if y0 <= k < y0 + h] - y0, :] = True
-    border[:, [k for k in (0, width - 1) if x0 <= k < x0 + w] - x0] = True
-    return _tile_features(*planes, inside, border, smooth, tex), at
+    return _tile_features(*planes, inside, smooth, tex), at
+
+
+def band_tiles(bands: DataFrame, sizes: DataFrame, smooth: int, tex_radius: int, tile: int) -> DataFrame:
+    """(site_id, scene_id, x, y, lum, chroma, green, tx, ty): what a task needs for the features of its tile, for a grouping by tile."""
+    px = bands.select(*PIXEL, "lum", "chroma", "green").join(sizes, "site_id")
+    return to_tiles(px, 2 * tex_radius + 1 + max(smooth, tex_radius), tile).drop("width", "height")
 
 
 def to_tiles(px: DataFrame, halo: int, tile: int) -> DataFrame:

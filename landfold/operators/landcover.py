@@ -45,33 +45,66 @@ def _floored(variances: DataFrame, var_floor: float | DataFrame) -> DataFrame:
     return rows.withColumn("va", F.transform("va", lambda v: F.greatest(v, F.col("varFloor")))).drop("varFloor")
 
 
-def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float | DataFrame = 9.0) -> tuple[DataFrame, DataFrame]:
-    """Prototypes (site_id, scene_id, class, circle_id, n, mu) and class variances (site_id, scene_id, class, n, va).
-
-    A circle is a mean of its pixels' features, if it has at least 4; a class's variance is pooled over its circles.
-    """
+def _circle_dots(samples: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(site_id, scene_id, class, circle_id, x, y): the pixels of every circle."""
     radius = F.greatest(F.col("r").cast("int"), F.lit(1))
-    dots = disc_pixels(samples.withColumn("r", radius), F.col("r").cast("double"), sizes).select(*K, "class", "circle_id", F.col("px").alias("x"), F.col("py").alias("y"))
-    seen = dots.join(features, PIXEL)
+    return disc_pixels(samples.withColumn("r", radius), F.col("r").cast("double"), sizes).select(*K, "class", "circle_id", F.col("px").alias("x"), F.col("py").alias("y"))
+
+
+def _trained(seen: DataFrame, var_floor: float | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prototypes and variances of circles' pixels with their features."""
     per = seen.groupBy(*K, "class", "circle_id").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.avg(f) for f in FEATURES)).alias("mu"), F.array(*(F.var_pop(f) for f in FEATURES)).alias("_v"))
     per = written(per.where("n >= 4"), "circles")  # a row a circle, read for prototypes and variances
     pooled = [F.sum(F.col("_v")[k] * F.col("n")) / F.sum("n") for k in range(len(FEATURES))]
     return per.drop("_v"), _floored(per.groupBy(*K, "class").agg(F.array(*pooled).alias("va"), F.sum("n").alias("n")), var_floor)
 
 
+def train_prototypes(features: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float | DataFrame = 9.0) -> tuple[DataFrame, DataFrame]:
+    """Prototypes (site_id, scene_id, class, circle_id, n, mu) and class variances (site_id, scene_id, class, n, va).
+
+    A circle is a mean of its pixels' features, if it has at least 4; a class's variance is pooled over its circles.
+    """
+    return _trained(_circle_dots(samples, sizes).join(features, PIXEL), var_floor)
+
+
+def train_from_bands(bands: DataFrame, samples: DataFrame, sizes: DataFrame, var_floor: float | DataFrame = 9.0, smooth: int = 3, tex_radius: int = 2, tile: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``train_prototypes`` from bands, by one exchange of pixels.
+
+    A task has a tile of bands with its halo and those pixels of circles that lie in the tile. It makes the features and
+    hands on the circles' ones alone, so that no other feature is exchanged or written. The tile's size does not change a result.
+    """
+    dots = _circle_dots(samples, sizes).where("scene_id is not null").withColumns({"tx": F.expr(f"x div {tile}"), "ty": F.expr(f"y div {tile}")})
+    shown = [*K, "class", "circle_id", *FEATURES]
+
+    def run(g: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(of):
+            return pd.DataFrame(columns=shown)
+        found, at = focal.features_in_tile(g, smooth, tex_radius)
+        return of.merge(g[["x", "y"]].assign(**{n: a[at] for n, a in zip(FEATURES, found)}), on=["x", "y"])[shown]
+
+    schema = ", ".join(f"{c} {t}" for c, t in dots.select(*K, "class", "circle_id").dtypes) + "".join(f", {f} double" for f in FEATURES)
+    tiles = focal.band_tiles(bands, sizes, smooth, tex_radius, tile).groupBy(*K, "tx", "ty")
+    return _trained(tiles.cogroup(dots.groupBy(*K, "tx", "ty")).applyInPandas(run, schema), var_floor)
+
+
 def share_variance(variances: DataFrame, var_floor: float | DataFrame = 9.0) -> DataFrame:
     """(site_id, scene_id, va): one variance over all classes, weighted by their pixels."""
     shared = [F.sum(F.col("va")[k] * F.col("n")) / F.sum("n") for k in range(len(FEATURES))]
     return _floored(variances.groupBy(*K).agg(F.array(*shared).alias("va")), var_floor)
 
 
+def _scene_arrays(prototypes: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row a scene: arrays of prototypes (_p_forest ...) and va."""
+    lists = [F.collect_list(F.when(F.col("class") == c, F.col("mu"))).alias(f"_p_{c}") for c in CLASSES]
+    return prototypes.groupBy(*K).agg(*lists).join(shared, K)
+
+
 def prototype_scores(features: DataFrame, prototypes: DataFrame, shared: DataFrame) -> DataFrame:
     """features with score_forest ... score_built: the best prototype's -0.5 * squared distance; null without one.
 
     The model is one row a scene (arrays of prototypes), so that the join moves no pixel.
     """
-    lists = {c: F.collect_list(F.when(F.col("class") == c, F.col("mu"))).alias(f"_p_{c}") for c in CLASSES}
-    model = prototypes.groupBy(*K).agg(*lists.values()).join(shared, K)
+    model = _scene_arrays(prototypes, shared)
     px = features.join(model, K, "left")
 
     def score(name: str) -> Column:
@@ -86,6 +119,33 @@ def prototype_scores(features: DataFrame, prototypes: DataFrame, shared: DataFra
     return px.withColumns({f"score_{c}": score(c) for c in CLASSES}).drop("va", *(f"_p_{c}" for c in CLASSES))
 
 
+def score_tiles(bands: DataFrame, prototypes: DataFrame, shared: DataFrame, sizes: DataFrame, smooth: int = 3, tex_radius: int = 2, tile: int = 256) -> DataFrame:
+    """(site_id, scene_id, x, y, score_forest ... score_built): the scores of ``prototype_scores`` from bands, by one exchange of pixels.
+
+    A task has a tile of bands with its halo and its scene's row of prototypes; it makes the features and scores its own
+    pixels, so that no feature is exchanged or written. The tile's size does not change a result.
+    """
+    models = focal.tile_grid(_scene_arrays(prototypes, shared), sizes, tile)
+    names = [*PIXEL, *(f"score_{c}" for c in CLASSES)]
+
+    def run(g: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame(columns=names)
+        own = ((g["x"] // tile == g["tx"].iloc[0]) & (g["y"] // tile == g["ty"].iloc[0])).to_numpy()
+        out = g.loc[own, PIXEL].copy()
+        if len(model):
+            found, at = focal.features_in_tile(g, smooth, tex_radius)
+            f, va = [a[at][own] for a in found], model["va"].iloc[0]
+        for c in CLASSES:
+            of = model[f"_p_{c}"].iloc[0] if len(model) else []
+            out[f"score_{c}"] = np.max([-0.5 * sum((a - m) * (a - m) / v for a, m, v in zip(f, mu, va)) for mu in of], axis=0) if len(of) else np.nan
+        return out[names]
+
+    schema = ", ".join(f"{c} {t}" for c, t in bands.select(*PIXEL).dtypes) + "".join(f", {n} double" for n in names[len(PIXEL) :])
+    tiles = focal.band_tiles(bands, sizes, smooth, tex_radius, tile).groupBy(*K, "tx", "ty")
+    return tiles.cogroup(models.groupBy(*K, "tx", "ty")).applyInPandas(run, schema)
+
+
 def decide_class(px: DataFrame) -> DataFrame:
     """px with ``cls``: the best class on land, 'open' for what is none of the others, null off land.
 

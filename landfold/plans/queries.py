@@ -552,27 +552,26 @@ def samples_for_scene(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    f = focal.feature_vector(bands(spark, sf_dir))
     s = landcover.samples_for_scene(circles(spark, sf_dir), X.masks(spark, sf_dir).select(*K).distinct())
-    return (f, *landcover.train_prototypes(f, s, X.sizes(spark, sf_dir)))
+    return landcover.train_from_bands(bands(spark, sf_dir), s, X.sizes(spark, sf_dir))
 
 
 @query
 def train_prototypes(spark, sf_dir):
-    _, p, _ = trained(spark, sf_dir)
+    p, _ = trained(spark, sf_dir)
     return p.select(*K, "class", "circle_id", "n", *(F.round(F.col("mu")[k], 5).alias(f"mu{k}") for k in range(7)))
 
 
 @query
 def share_variance(spark, sf_dir):
-    _, _, v = trained(spark, sf_dir)
+    _, v = trained(spark, sf_dir)
     return landcover.share_variance(v).select(*K, *(F.round(F.col("va")[k], 4).alias(f"va{k}") for k in range(7)))
 
 
 @query
 def prototype_scores(spark, sf_dir):
-    f, p, v = trained(spark, sf_dir)
-    return landcover.prototype_scores(f, p, landcover.share_variance(v)).select(*PIXEL, *(F.round(f"score_{c}", 4).alias(f"score_{c}") for c in landcover.CLASSES))
+    p, v = trained(spark, sf_dir)
+    return landcover.score_tiles(bands(spark, sf_dir), p, landcover.share_variance(v), X.sizes(spark, sf_dir)).select(*PIXEL, *(F.round(f"score_{c}", 4).alias(f"score_{c}") for c in landcover.CLASSES))
 
 
 def scored(spark, sf_dir) -> DataFrame:

@@ -494,3 +494,33 @@ def test_regrid_exchanges_no_grid(spark):
         got = made.collect()
         assert len(got) == len(want) and {(r.scene_id, r.x, r.y): r.v for r in got} == want
         assert "Exchange hashpartitioning" not in made._jdf.queryExecution().toString()
+
+
+def _trained_scene(spark, seed):
+    """Bands of two scenes with missing pixels, some without a value, and a last row that ends early; circles of which some are too small."""
+    rnd = random.Random(seed)
+    rows = [(0, s, x, y, None if rnd.random() < 0.02 else rnd.randint(0, 255), rnd.randint(0, 255), rnd.randint(0, 255)) for s in "abc" for x in range(31) for y in range(22) if rnd.random() > 0.03 and (y < 21 or x < 12)]
+    b = bands.spectral_bands(spark.createDataFrame(rows, "site_id long, scene_id string, x long, y long, r int, g int, b int"))
+    circles = [(0, "a", "forest", "f", 5.0, 4.0, 3), (0, "a", "forest", "g", 12.0, 10.0, 4), (0, "a", "open", "o", 25.0, 20.5, 5), (0, "a", "sparse", "none", 90.0, 4.0, 3), (0, "b", "built", "b", 0.0, 0.0, 2)]
+    return b, spark.createDataFrame(circles, "site_id long, scene_id string, class string, circle_id string, x double, y double, r int")
+
+
+def _near(a, b):
+    """Equal rows, where numbers may differ by rounding; lists are compared by place."""
+    flat = lambda r: [v for c in r for v in (c if isinstance(c, list) else [c])]
+    return len(a) == len(b) and all(u == v or (isinstance(u, float) and isinstance(v, float) and abs(u - v) < 1e-6) for p, q in zip(a, b) for u, v in zip(flat(p), flat(q)))
+
+
+def test_scores_by_tiles_equal_columns(spark):
+    b, circles = _trained_scene(spark, 12)
+    sizes, features = focal.raster_sizes(b), focal.feature_vector(b)
+    p, v = landcover.train_prototypes(features, circles, sizes)
+    shared = landcover.share_variance(v)
+    scores = [f"score_{c}" for c in landcover.CLASSES]
+    by_pixel = lambda df: sorted(map(tuple, df.select("scene_id", "x", "y", *scores).collect()), key=lambda r: r[:3])
+    want = by_pixel(landcover.prototype_scores(features, p, shared))
+    assert {r[0] for r in want if r[3] is not None} == {"a"} and {r[0] for r in want if r[6] is not None} == {"b"}
+    for tile in (9, 256):
+        made = landcover.score_tiles(b, p, shared, sizes, tile=tile)
+        assert _near(by_pixel(made), want)
+        assert "Window" not in made._jdf.queryExecution().toString()
