@@ -524,3 +524,13 @@ def test_scores_by_tiles_equal_columns(spark):
         made = landcover.score_tiles(b, p, shared, sizes, tile=tile)
         assert _near(by_pixel(made), want)
         assert "Window" not in made._jdf.queryExecution().toString()
+
+
+def test_training_by_tiles_equals_columns(spark):
+    b, circles = _trained_scene(spark, 13)
+    sizes = focal.raster_sizes(b)
+    rows = lambda df: sorted(map(tuple, df.select("scene_id", "class", "circle_id", "n", "mu").collect()))
+    want = rows(landcover.train_prototypes(focal.feature_vector(b), circles, sizes)[0])
+    assert {r[2] for r in want} == {"b", "f", "g", "o"}
+    for tile in (9, 256):
+        assert _near(rows(landcover.train_from_bands(b, circles, sizes, tile=tile)[0]), want)
