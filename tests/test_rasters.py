@@ -534,3 +534,13 @@ def test_training_by_tiles_equals_columns(spark):
     assert {r[2] for r in want} == {"b", "f", "g", "o"}
     for tile in (9, 256):
         assert _near(rows(landcover.train_from_bands(b, circles, sizes, tile=tile)[0]), want)
+
+
+def test_shared_variance_by_tiles_equals_columns(spark):
+    b, circles = _trained_scene(spark, 14)
+    sizes = focal.raster_sizes(b)
+    rows = lambda df: sorted(map(tuple, landcover.share_variance(df).select("scene_id", "va").collect()))
+    want = rows(landcover.train_prototypes(focal.feature_vector(b), circles, sizes)[1])
+    assert len(want) == 2 and max(want[0][1]) > 9
+    for tile in (9, 256):
+        assert _near(rows(landcover.train_from_bands(b, circles, sizes, tile=tile)[1]), want)
