@@ -544,3 +544,21 @@ def test_shared_variance_by_tiles_equals_columns(spark):
     assert len(want) == 2 and max(want[0][1]) > 9
     for tile in (9, 256):
         assert _near(rows(landcover.train_from_bands(b, circles, sizes, tile=tile)[1]), want)
+
+
+def _one_raster_of_many_sites(spark):
+    """Masks of two rasters, options of sites over them, and the same with masks copied for each site."""
+    rnd = random.Random(17)
+    made = [(r, f"s{k}", float(year), x, y, rnd.random() < 0.6 - 0.1 * k, rnd.random() < 0.2, rnd.random() < 0.1) for r, years in ((1, [2000, 2004, 2010]), (2, [1998, 2006])) for k, year in enumerate(years) for x in range(8) for y in range(6)]
+    sets = [(10, 1, "all", "linear", None, 0.0), (11, 1, "prev", "exp", "s1", 2.0), (12, 1, "s1", "last", None, None), (20, 2, "first", "linear", None, 0.0), (1, None, "all", "linear", "s1", 3.0), (99, 7, "all", "linear", None, 0.0)]
+    columns = "site_id long, scene_id string, year double, x long, y long, buffer boolean, forest boolean, built boolean"
+    options = spark.createDataFrame(sets, "site_id long, raster_id long, base string, model string, start_id string, protect_px double")
+    copies = [(s, *row[1:]) for s, of, *_ in sets for row in made if row[0] == (of or s)]
+    years = spark.createDataFrame([(t,) for t in (1996.0, 1999.0, 2004.0, 2007.3, 2010.0, 2013.0, 2030.0)], "t double")
+    return spark.createDataFrame(made, columns), options, spark.createDataFrame(copies, columns), options.drop("raster_id"), years
+
+
+def test_frames_of_sites_over_one_raster(spark):
+    masks, options, copies, own, years = _one_raster_of_many_sites(spark)
+    got = sorted(map(tuple, jobs.frames(masks, years, 1.0, options=options).collect()))
+    assert {r[0] for r in got} == {1, 10, 11, 12, 20} and got == sorted(map(tuple, jobs.frames(copies, years, 1.0, options=own).collect()))
