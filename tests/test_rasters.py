@@ -562,3 +562,9 @@ def test_frames_of_sites_over_one_raster(spark):
     masks, options, copies, own, years = _one_raster_of_many_sites(spark)
     got = sorted(map(tuple, jobs.frames(masks, years, 1.0, options=options).collect()))
     assert {r[0] for r in got} == {1, 10, 11, 12, 20} and got == sorted(map(tuple, jobs.frames(copies, years, 1.0, options=own).collect()))
+
+
+def test_frame_pixels_of_sites_over_one_raster(spark):
+    masks, options, copies, own, years = _one_raster_of_many_sites(spark)
+    got = sorted(map(tuple, jobs.frame_pixels(masks, years, 1.0, options=options).collect()))
+    assert {r[0] for r in got} == {1, 10, 11, 12, 20} and got == sorted(map(tuple, jobs.frame_pixels(copies, years, 1.0, options=own).collect()))
